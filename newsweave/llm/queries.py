@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsweave.llm import quality
 from newsweave.llm.minhash import near_duplicates
+from newsweave.llm.packing import packed
+from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer file lies; the package is found at run time and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +25,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=0)
+    return read_token_files(spark, folder)
+
+
+def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, max_len=2048)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_host_quality": op2_host_quality,
+    "op4_rans_token_files": op4_rans_token_files,
+    "op8_tiered_packing": op8_tiered_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_host_quality": quality.ORACLE_SQL,
+}
