@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import quality
+from newsweave.llm import decontaminate, quality, secret_scan
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -35,17 +35,28 @@ def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, max_len=2048)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_host_quality": op2_host_quality,
     "op4_rans_token_files": op4_rans_token_files,
+    "op5_trigram_secret_scan": op5_trigram_secret_scan,
     "op8_tiered_packing": op8_tiered_packing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_host_quality": quality.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
