@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import decontaminate, quality, secret_scan
+from newsweave.llm import decontaminate, license_scan, page_text, quality, secret_scan, toxicity
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -29,6 +29,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(_table(spark, sf_dir, "documents"))
+
+
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=0)
@@ -39,10 +43,18 @@ def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, max_len=2048)
 
 
+def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,13 +62,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_host_quality": op2_host_quality,
+    "op3_license_sentences": op3_license_sentences,
     "op4_rans_token_files": op4_rans_token_files,
     "op5_trigram_secret_scan": op5_trigram_secret_scan,
+    "op7_page_main_text": op7_page_main_text,
     "op8_tiered_packing": op8_tiered_packing,
+    "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_host_quality": quality.ORACLE_SQL,
+    "op3_license_sentences": license_scan.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }

@@ -16,6 +16,8 @@ SLICE_BYTES = 1 << 22
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WORD_GAP = np.zeros(256, bool)  # everything in ASCII that is neither a letter nor a digit
+WORD_GAP[:128] = [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -63,9 +65,9 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each document the index of its first word (one more at the end)."""
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[1:-1]
