@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import decontaminate, license_scan, page_text, quality, secret_scan, toxicity
+from newsweave.llm import attention_lm, decontaminate, license_scan, page_text, quality, secret_scan, toxicity
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -43,6 +43,10 @@ def op5_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_attention_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_license_sentences": op3_license_sentences,
     "op4_rans_token_files": op4_rans_token_files,
     "op5_trigram_secret_scan": op5_trigram_secret_scan,
+    "op6_attention_lm_score": op6_attention_lm_score,
     "op7_page_main_text": op7_page_main_text,
     "op8_tiered_packing": op8_tiered_packing,
     "op9_cnn_toxicity": op9_cnn_toxicity,
