@@ -10,7 +10,10 @@ not exclude is verified on the full shingle sets of the whole texts.
 Scale. Documents with equal sets collapse into one class first. Within a key every class is compared
 with the key's smallest class only (a star, linear in the group); after the links found so far are
 closed into components, only pairs of one key that lie in different components are looked at, and the
-join itself drops those whose estimate excludes a link. No cap on groups, no pairs within a component.
+join itself drops those that cannot be linked. No cap on groups, no pairs within a component. What drops
+a pair is its sizes, its estimate (4.5 standard deviations below the threshold) or its odd sketch: every
+bit in which two odd sketches differ needs an element that the sets do not share, so more such bits than
+a link allows exclude it for certain.
 
 Edge cases. Null, empty and blank texts have an empty set, are linked with nothing and form their own
 component. A text of fewer words than a shingle is one shingle. Repeated rows give one result row each
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.textscan import mix, shingle_sets, text_slices
-from newsweave.plans.durable import durable
+from newsweave.plans.durable import broadcast_if_small, durable
 from newsweave.plans.graph import connected_components
 
 REGISTERS = 256
@@ -37,6 +40,8 @@ BUCKET_BITS = 8
 MANTISSA_BITS = 10
 FILL_ROUNDS = 96
 PLANES = 8  # longs of packed register bits: two planes of 256 bits
+ODD = 16  # longs of the odd sketch: 1,024 bits
+MAX_BROADCAST_IDS = 2_000_000
 MISS_PROBABILITY = 1e-7  # of a pair at the threshold, over all bands
 
 
@@ -100,10 +105,10 @@ def banding(threshold: float, miss: float = MISS_PROBABILITY) -> tuple[int, int]
 
 
 def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, planes`` for each row of ``doc_id, text``.
+    """``doc_id, n_shingles, set_a, set_b, bands, planes, odd`` for each row of ``doc_id, text``.
 
     ``set_a`` and ``set_b`` fingerprint the whole set, ``bands`` are the candidate keys, ``planes`` the
-    two low bits of each (mixed) register packed into longs.
+    two low bits of each (mixed) register and ``odd`` the parity of each of 1,024 cells of the set.
     """
     rows, bands = banding(threshold)
     order = np.argsort(mix(np.arange(REGISTERS, dtype=np.uint64) + np.uint64(77)))[: rows * bands]
@@ -126,6 +131,9 @@ def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
                 low = mix(regs.astype(np.uint64))
                 planes = np.concatenate([np.packbits((low >> np.uint64(p)) & np.uint64(1), axis=1).view(np.uint64) for p in (20, 21)], axis=1)
                 keys, planes = keys.view(np.int64), np.ascontiguousarray(planes).view(np.int64)
+                cells = np.concatenate([mix(s + np.uint64(5)) >> np.uint64(54) for s in sets]).astype(np.int64) + np.repeat(np.arange(len(sets)), sizes) * 64 * ODD
+                parity = (np.bincount(cells, minlength=len(sets) * 64 * ODD) & 1).astype(np.uint8)
+                odd = np.packbits(parity).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -134,27 +142,26 @@ def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
                         pa.array(prints[1].view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
                         pa.ListArray.from_arrays(np.arange(0, len(sets) * PLANES + 1, PLANES, dtype=np.int32), pa.array(planes.reshape(-1))),
+                        pa.ListArray.from_arrays(np.arange(0, len(sets) * ODD + 1, ODD, dtype=np.int32), pa.array(odd)),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "planes"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "planes", "odd"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, planes array<long>"
+        scan, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, planes array<long>, odd array<long>"
     )
 
 
-def _excluded(threshold: float, prefix_a: str, prefix_b: str) -> F.Column:
-    """True where sizes or the corrected estimate (less five standard deviations) rule the link out."""
+def _excluded(threshold: float, p: str, q: str) -> F.Column:
+    """True where sizes, odd sketches or the corrected estimate rule out a link between rows ``p`` and ``q``."""
     half = PLANES // 2
-    words = [
-        f"bit_count(({prefix_a}.planes[{i}] ^ {prefix_b}.planes[{i}]) | ({prefix_a}.planes[{i + half}] ^ {prefix_b}.planes[{i + half}]))"
-        for i in range(half)
-    ]
-    estimate = f"1 - ({' + '.join(words)}) / {REGISTERS}.0 / 0.75"
-    small, large = f"least({prefix_a}.n_shingles, {prefix_b}.n_shingles)", f"greatest({prefix_a}.n_shingles, {prefix_b}.n_shingles)"
-    spread = threshold * (1 - threshold)
-    slack = f"5 * sqrt({spread} / least({REGISTERS}, {small}) + {1.3 / REGISTERS * 0.25})" if threshold < 1 else "0.0"
-    return F.expr(f"({small} < {threshold} * {large} - 1e-6) OR ({estimate} < {threshold} - {slack})")
+    differ = " + ".join(f"bit_count(({p}.planes[{i}] ^ {q}.planes[{i}]) | ({p}.planes[{i + half}] ^ {q}.planes[{i + half}]))" for i in range(half))
+    apart = " + ".join(f"bit_count({p}.odd[{i}] ^ {q}.odd[{i}])" for i in range(ODD))
+    small, large = f"least({p}.n_shingles, {q}.n_shingles)", f"greatest({p}.n_shingles, {q}.n_shingles)"
+    allowed = f"{(1 - threshold) / (1 + threshold)} * ({p}.n_shingles + {q}.n_shingles)"
+    agree = threshold + (1 - threshold) / 4  # expected share of equal two-bit registers at the threshold
+    slack = f"4.5 * sqrt({agree * (1 - agree) / 0.75**2} / least({REGISTERS}, {small}))"
+    return F.expr(f"({small} < {threshold} * {large} - 1e-6) OR ({apart} > {allowed} + 1e-6) OR (1 - ({differ}) / {REGISTERS}.0 / 0.75 < {threshold} - {slack})")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, width: int) -> DataFrame:
@@ -179,7 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, width: int) ->
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(compare, "a long, b long")
 
 
@@ -193,16 +200,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     rows = durable(sketches(docs, threshold, width), "sketches")
     same = ["n_shingles", "set_a", "set_b"]
     members = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    classes = durable(members.where("class_id IS NOT NULL").join(rows.select("doc_id", *same, "bands", "planes"), same).where("doc_id = class_id").dropDuplicates(["class_id"]), "classes")
+    classes = durable(members.where("class_id IS NOT NULL").join(rows.select("doc_id", *same, "bands", "planes", "odd"), same).where("doc_id = class_id").dropDuplicates(["class_id"]), "classes")
 
     keys = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("id"))
     firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shape = classes.select(F.col("class_id").alias("id"), "n_shingles", "planes")
+    shape = classes.select(F.col("class_id").alias("id"), "n_shingles", "planes", "odd")
     stars = keys.join(firsts, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     x, y = shape.alias("x"), shape.alias("y")
     stars = durable(stars.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(~_excluded(threshold, "x", "y")).select("a", "b"), "stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    needed = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def needed(pairs: DataFrame) -> DataFrame:
+        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        return texts.join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi")
+
     links = durable(_verified(stars, needed(stars), percent, width), "links")
     labels = connected_components(links, "a", "b")
 
