@@ -14,7 +14,8 @@ def blocking_keys(normal: Column, raw: Column) -> Column:
     """Keys of which two matching names share at least one in practice: the normal form, each token, the first
     four characters, the initials, and the form without spaces cut to four characters.
 
-    Pairs that agree in none of them (edits in the first characters of every token) are missed.
+    Pairs that agree in none of them are missed: edits in every token's start and end, and names of three or
+    four characters, whose edit limit would let them match almost any other such name.
     """
     tokens = F.split(normal, " ")
     squeezed = F.replace(normal, F.lit(" "), F.lit(""))
