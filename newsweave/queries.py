@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsweave.functions import names as N
 from newsweave.functions import text as T
 from newsweave.operators import aliases as AL
+from newsweave.operators import articles as AR
 from newsweave.operators import clusters as CL
 from newsweave.operators import dedup as DD
 from newsweave.operators import delivery as DL
@@ -21,6 +22,7 @@ from newsweave.operators import similarity as SI
 from newsweave.operators import vectors as VE
 from newsweave.sources import bindings as B
 from newsweave.sources import feeds as FE
+from newsweave.sources import pages as PG
 from newsweave.streaming import pipelines as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +178,39 @@ def feed_decode_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.join(entries.select("feed_url", "url"), "feed_url").select(F.col("feed_url").cast("long").alias("page_id"), "url", "status", "entries")
 
 
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>|<!--.*?-->', ' ', 'g'),
+ '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"""
+
+
+@query(r"""WITH h AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), p AS (SELECT page_id, url, """ + _PLAIN.replace("{x}", r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + r""" AS title, """
+ + _PLAIN.replace("{x}", r"CASE WHEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g') END") + r""" AS body FROM h)
+SELECT page_id, url, title, CASE WHEN body = '' THEN '' ELSE 'Title: ' || title || chr(10) || 'Body: ' || body || chr(10) END AS text, CASE WHEN body = '' THEN 'failed' ELSE 'ok' END AS status FROM p""")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PG.page_articles(B.table(spark, sf_dir, "pages"))
+
+
+_RECORD_SQL = "r AS (SELECT doc_id AS id, lang AS category, source AS tiny_summary, CASE WHEN lang = 'de' THEN NULL ELSE {'article_body': CASE WHEN lang = 'en' THEN text END, 'summary': source, 'tiny_title': source, 'pub_date': '2024-03-05', 'quality': n_chars % 4} END AS a FROM documents)"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as article records; German ones were not analysed."""
+    body = F.when(F.col("lang") == "en", F.col("text"))
+    parts = F.struct(body.alias("article_body"), F.col("source").alias("summary"), F.col("source").alias("tiny_title"), F.lit("2024-03-05").alias("pub_date"), (F.col("n_chars") % 4).alias("quality"))
+    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("tiny_summary"), F.when(F.col("lang") != "de", F.to_json(parts)).alias("analysis"))
+
+
+@query(f"WITH {_RECORD_SQL} SELECT id, category, coalesce(a.quality, 0)::INT AS quality, a.tiny_title AS title, tiny_summary, a.pub_date AS event_date, length(coalesce(a.article_body, tiny_summary))::INT AS chars FROM r WHERE category IN ('en', 'de')")
+def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir).where("category IN ('en', 'de')")
+    details = AR.article_details(records).withColumn("event_date", F.col("event_date").cast("string"))
+    return details.join(AR.article_text(records).select("id", F.length("text").alias("chars")), "id")
+
+
+@query(f"WITH {_RECORD_SQL} SELECT CASE WHEN a IS NULL THEN 'failed' ELSE 'ok' END AS outcome, count(*) AS n FROM r GROUP BY 1")
+def backfill_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AR.run_counters(AR.backfill_input(_records(spark, sf_dir)).select(F.col("status").alias("outcome")))
+
+
 # --- scores and dates ---------------------------------------------------------------------------------
 
 @query("""SELECT doc_id, CASE quality + 1 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE 0 END + CASE toxic + 2 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS score FROM labels""")
