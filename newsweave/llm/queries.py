@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import attention_lm, decontaminate, license_scan, page_text, quality, secret_scan, toxicity
+from newsweave.llm import attention_lm, decontaminate, license_scan, minhash, page_text, quality, secret_scan, toxicity
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -77,7 +77,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.ORACLE_SQL,
     "op2_host_quality": quality.ORACLE_SQL,
+    "op5_trigram_secret_scan": secret_scan.ORACLE_SQL,
     "op3_license_sentences": license_scan.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }

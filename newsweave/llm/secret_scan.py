@@ -237,3 +237,21 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
+
+
+def _spans_sql(order: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, place AS s, place + length(hits[i]) AS e FROM (
+  SELECT *, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS place FROM (
+  SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS hits,
+  regexp_extract_all(text, '{pattern}', {rule.group}) AS parts FROM t))) WHERE length(parts[i]) >= {rule.at_least}"""
+
+
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_spans_sql(o, r) for o, r in enumerate(RULES))}),
+g AS (SELECT doc_id, count_if(ord = 0)::BIGINT AS n_assign, count_if(ord = 1)::BIGINT AS n_access, count_if(ord = 2)::BIGINT AS n_hex,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id
+"""
