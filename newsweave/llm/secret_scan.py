@@ -190,9 +190,13 @@ def _named(found: Column, order: int, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def scanned(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Each row of ``docs`` (``doc_id, text`` and ``extra``) with ``found``: all spans by start, then kind as listed."""
-    keyed = docs.select("doc_id", *extra, F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+def scanned(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """``doc_id, text, found`` for each row of ``docs``: all spans by start, then kind as listed.
+
+    With ``keep`` the other columns of ``docs`` come along in the struct ``row``, and ``was_null`` for the text.
+    """
+    whole = [F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].isNull().alias("was_null")] if keep else []
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *whole).withColumn("text_key", F.xxhash64("text"))
     chosen = durable(candidates(keyed), "candidates").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "rules")
     joined = keyed.join(broadcast_if_small(chosen, MAX_BROADCAST_CANDIDATES), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
     text = F.col("text")
@@ -200,7 +204,7 @@ def scanned(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     for order, rule in enumerate(RULES):
         picked = F.array_contains("rules", rule.kind) if trigram_query(rule.pattern) else text.rlike(rule.pattern)
         lists.append(F.when(picked, _named(spans(text, rule), order, rule.kind)).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
-    return joined.select("doc_id", *extra, "text", F.array_sort(F.flatten(F.array(*lists))).alias("found"))
+    return joined.select("doc_id", "text", *(["row", "was_null"] if keep else []), F.array_sort(F.flatten(F.array(*lists))).alias("found"))
 
 
 def _joined(found: Column) -> Column:
@@ -219,7 +223,6 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of every kind replaced by ``mark`` (overlapping spans by one mark); ``n_chars`` follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
     def cut(text: Column, found: Column) -> Column:
         def step(done: Column, s: Column) -> Column:
@@ -231,12 +234,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         parts = F.aggregate(found, begin, step)
         return bind(parts, lambda p: F.concat(F.array_join(p["out"], ""), F.substring(text, p["at"] + 1, F.length(text))))
 
-    rows = scanned(docs.withColumn("__was_null", F.col("text").isNull()), (*others, "__was_null"))
-    clean = F.when(F.col("__was_null"), F.lit(None).cast("string")).otherwise(F.when(F.size("found") == 0, F.col("text")).otherwise(cut(F.col("text"), F.col("found"))))
-    out = rows.withColumn("text", clean)
+    rows = scanned(docs, keep=True)
+    none = F.size("found") == 0
+    new = {"text": F.when(F.col("was_null"), F.lit(None).cast("string")).when(none, F.col("text")).otherwise(cut(F.col("text"), F.col("found")))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(none, F.col("row.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _spans_sql(order: int, rule: Rule) -> str:

@@ -46,7 +46,8 @@ def edge_rows():
 @pytest.fixture(scope="module")
 def edges(spark):
     df = spark.createDataFrame(edge_rows(), "doc_id long, text string")
-    return df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("h").alias("source"), F.lit(0).cast("long").alias("n_chars"), F.lit(1).alias("key"), F.lit(2).alias("n"), F.lit(3).alias("bands"))
+    clashing = [F.lit(k).alias(c) for k, c in enumerate(("key", "n", "bands", "rules", "found", "row", "words", "text_key", "label", "id"))]
+    return df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("h").alias("source"), F.lit(0).cast("long").alias("n_chars"), *clashing)
 
 
 @pytest.fixture(scope="module")
@@ -353,6 +354,21 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()} <= set(rows)
 
 
+def test_pipeline_stages_take_edge_cases(spark, edges, empty):
+    import corpus_pipeline as C
+
+    for name, stage in C.STAGES:
+        for docs in (edges, empty):
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns or sorted(out.columns) == sorted(docs.columns)
+            if docs is empty:
+                assert not rows
+            elif name == "near_dedup":
+                assert [r.doc_id for r in rows].count(7) == 1 and None in {r.doc_id for r in rows}
+
+
 def test_oracles(spark, sf_dir):
     from compare import same_rows
 
