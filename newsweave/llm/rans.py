@@ -47,14 +47,16 @@ class Tables:
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.limit = self.freq << np.uint64(63 - SCALE_BITS)
         self.usual = int(np.argmax(freq))
 
 
-def _row_ranks(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the set flags, their ranks within the row, and the count of each row."""
-    seen = np.cumsum(flags, axis=1)
-    rows = np.nonzero(flags)[0]
-    return rows, seen[flags] - 1, seen[:, -1]
+def _places(flags: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat positions of the set flags, their rows, and consecutive places from ``begin`` on within each row."""
+    flat = np.flatnonzero(flags)
+    rows = flat // LANES
+    shift = begin - (np.cumsum(counts) - counts)
+    return flat, rows, np.take(shift, rows) + np.arange(len(flat))
 
 
 def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
@@ -62,7 +64,7 @@ def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
     steps = np.array([-(-len(b) // LANES) for b in blocks], np.int64)
     order = np.argsort(-steps, kind="stable")
     most = int(steps.max(initial=0))
-    ids = np.full((len(blocks), most * LANES), tables.usual, np.uint32)
+    ids = np.full((len(blocks), most * LANES), tables.usual, np.intp)
     for row, b in enumerate(order):
         ids[row, : len(blocks[b])] = blocks[b]
     ids = ids.reshape(len(blocks), most, LANES)
@@ -75,15 +77,17 @@ def encode_blocks(blocks: list[np.ndarray], tables: Tables) -> list[bytes]:
     mark_at = np.zeros((len(blocks), marks), np.int64)
     for t in range(most - 1, -1, -1):
         live = int(np.searchsorted(-sorted_steps, -t, "left"))
-        now, f = ids[:live, t], tables.freq[ids[:live, t]]
+        now = ids[:live, t]
+        f = np.take(tables.freq, now)
         x = state[:live]
-        full = x >= (f << np.uint64(63 - SCALE_BITS))
-        rows, ranks, counts = _row_ranks(full)
+        full = x >= np.take(tables.limit, now)
+        counts = np.count_nonzero(full, axis=1)
         at[:live] -= counts
-        words[rows, at[rows] + ranks] = x[full] & np.uint64(0xFFFFFFFF)
-        x = np.where(full, x >> np.uint64(32), x)
+        flat, rows, places = _places(full, at[:live], counts)
+        words[rows, places] = np.take(x, flat) & np.uint64(0xFFFFFFFF)
+        x = x >> (full.astype(np.uint64) << np.uint64(5))
         share = x // f
-        state[:live] = (share << np.uint64(SCALE_BITS)) + (x - share * f) + tables.cum[now]
+        state[:live] = (share << np.uint64(SCALE_BITS)) + (x - share * f) + np.take(tables.cum, now)
         if t % EVERY == 0:
             mark_state[:live, t // EVERY] = state[:live]
             mark_at[:live, t // EVERY] = at[:live]
@@ -131,12 +135,13 @@ def decode_blocks(raws: list[bytes], tables: Tables, parts: int = 256) -> list[n
         for t in range(int(long[0])):
             live = int(np.searchsorted(-long, -t, "left"))
             slot = x[:live] & mask
-            now = tables.slots[slot]
+            now = np.take(tables.slots, slot.view(np.int64))
             ids[:live, t] = now
-            y = tables.freq[now] * (x[:live] >> np.uint64(SCALE_BITS)) + slot - tables.cum[now]
+            y = np.take(tables.freq, now) * (x[:live] >> np.uint64(SCALE_BITS)) + slot - np.take(tables.cum, now)
             low = y < LOW
-            rows, ranks, counts = _row_ranks(low)
-            y[low] = (y[low] << np.uint64(32)) | words[at[rows] + ranks]
+            counts = np.count_nonzero(low, axis=1)
+            hits, _, places = _places(low, at[:live], counts)
+            y.reshape(-1)[hits] = (np.take(y, hits) << np.uint64(32)) | np.take(words, places)
             at[:live] += counts
             x[:live] = y
         for row, part in enumerate(pick):

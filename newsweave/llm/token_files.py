@@ -62,8 +62,10 @@ def _token_counts(tokens: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=1 << 16)
+            column = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if len(column) and column.buffers()[2] is not None:
+                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
