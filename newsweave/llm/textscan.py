@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,7 +29,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n >> 16) + 1 << 16
         for at, base in enumerate((_BASE, _UNBASE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -49,15 +50,16 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     """Yield ``(first_row, end_row, bytes, offsets)`` for runs of whole texts; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    body = texts.buffers()[2]
-    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(sizes)])
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, len(texts))
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        hi = min(max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1), len(texts))
+        part = texts.slice(lo, hi - lo).cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        body = part.buffers()[2]
+        data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+        yield lo, hi, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         lo = hi
 
 
@@ -126,9 +128,10 @@ class SubwordCoder:
     library encodes each distinct piece; results are kept in a bounded table and strung together.
     """
 
-    MAX_PIECES = 1_000_000
+    MAX_PIECES = 700_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+        self.max_pieces = max_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -186,7 +189,7 @@ class SubwordCoder:
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.where) > self.MAX_PIECES:
+        if len(self.where) > self.max_pieces:
             self._clear()
         rows = self.rows_of(data, starts[index], ends[index], hashes)
         rows = rows[inverse]
@@ -212,8 +215,9 @@ class SubwordCoder:
 _coders: dict[str, SubwordCoder] = {}
 
 
-def subword_coder(path: str) -> SubwordCoder:
-    """One coder for each file and Python worker."""
+def subword_coder(path: str, max_pieces: int = SubwordCoder.MAX_PIECES) -> SubwordCoder:
+    """One coder for each file and Python worker; ``max_pieces`` bounds its table (about 200 bytes each)."""
     if path not in _coders:
-        _coders[path] = SubwordCoder(path)
+        _coders[path] = SubwordCoder(path, max_pieces)
+    _coders[path].max_pieces = max_pieces
     return _coders[path]
