@@ -30,6 +30,8 @@ from newsweave.llm.textscan import subword_coder, text_slices
 
 POOL_IDS = 1 << 21
 STEP_IDS = 1 << 15
+TABLE_PIECES = 250_000  # with the slices below this bounds a worker's memory
+TEXT_BYTES = 1 << 20
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 
 Piece = tuple[int, int, int]  # length, document, start
@@ -101,7 +103,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int =
         raise ValueError("max_len must be a power of two")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = subword_coder(tokenizer_path)
+        coder = subword_coder(tokenizer_path, TABLE_PIECES)
         task = TaskContext.get().partitionId() << 33
         sequence, group = 0, 0
         open_groups: dict[int, tuple[int, int]] = {}
@@ -131,7 +133,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int =
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), TEXT_BYTES):
                 ids, ends = coder.encode_slice(data, offsets)
                 for k in range(hi - lo):
                     own = np.append(ids[ends[k] : ends[k + 1]], ids.dtype.type(end_id))
