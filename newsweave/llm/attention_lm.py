@@ -78,7 +78,7 @@ def _chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                         pa.array([np.append(keys[order].view(np.int64), END_HASH)], pa.list_(pa.int64())),
                         pa.array([np.append(counts[order], train.sum())], pa.list_(pa.int64())),
                         pa.array([ids.astype("<u2").tobytes()], pa.binary()),
-                        pa.array([np.diff(bounds).astype("<u2").tobytes()], pa.binary()),
+                        pa.array([np.diff(bounds).astype("<u4").tobytes()], pa.binary()),  # a word without spaces may be a whole text
                     ],
                     ["chunk", "doc_ids", "lengths", "train", "words", "keys", "counts", "ids", "id_counts"],
                 )
@@ -286,7 +286,7 @@ def _unpack(row: dict) -> tuple[np.ndarray, ...]:
         np.frombuffer(_inflated(row["words"]), "<u4"),
         np.frombuffer(row["lengths"], "<i4").astype(np.int64),
         np.frombuffer(row["ids"], "<u2"),
-        np.frombuffer(row["id_counts"], "<u2").astype(np.int64),
+        np.frombuffer(row["id_counts"], "<u4").astype(np.int64),
     )
 
 

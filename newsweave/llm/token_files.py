@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,39 @@ def _token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _coded_together(rows: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[list[tuple[list, list]]]:
+    """Blocks (documents and their ids) to be coded side by side, in order of ``rows``.
+
+    The coder pads all blocks of a call to the longest one, so a document of ``BLOCK_IDS`` ids or more goes
+    without company: what waits is handed on before it.
+    """
+    waiting: list[tuple[list, list]] = []
+    names, parts, size = [], [], 0
+    for doc, ids in rows:
+        if len(ids) >= BLOCK_IDS:
+            if names:
+                waiting.append((names, parts))
+                names, parts, size = [], [], 0
+            if waiting:
+                yield waiting
+            yield [([doc], [ids])]
+            waiting = []
+            continue
+        names.append(doc)
+        parts.append(ids)
+        size += len(ids)
+        if size >= BLOCK_IDS:
+            waiting.append((names, parts))
+            names, parts, size = [], [], 0
+            if len(waiting) >= AT_ONCE:
+                yield waiting
+                waiting = []
+    if names:
+        waiting.append((names, parts))
+    if waiting:
+        yield waiting
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) into the folder ``path``."""
     spark = docs.sparkSession
@@ -88,44 +121,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, shard = Tables(shared.value), TaskContext.get().partitionId()
         first = 0
-        waiting: list[tuple[list, list]] = []
-        names, parts, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal first, waiting
-            blocks = [np.concatenate(ids) for _, ids in waiting]
+        for blocks_in in _coded_together((doc, np.frombuffer(raw.as_buffer(), "<u2")) for batch in batches for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            blocks = [np.concatenate(ids) for _, ids in blocks_in]
             sizes = [len(b) for b in blocks]
             starts = [first + sum(sizes[:k]) for k in range(len(sizes))]
-            out = pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * len(blocks), pa.int64()),
                     pa.array(starts, pa.int64()),
                     pa.array(sizes, pa.int64()),
-                    pa.array([docs_in for docs_in, _ in waiting], pa.list_(pa.int64())),
-                    pa.array([[len(i) for i in ids] for _, ids in waiting], pa.list_(pa.int64())),
+                    pa.array([docs_in for docs_in, _ in blocks_in], pa.list_(pa.int64())),
+                    pa.array([[len(i) for i in ids] for _, ids in blocks_in], pa.list_(pa.int64())),
                     pa.array(encode_blocks(blocks, tables), pa.binary()),
                 ],
                 ["shard", "first_id", "n_ids", "doc_ids", "doc_tokens", "payload"],
             )
-            first, waiting = first + sum(sizes), []
-            return out
-
-        for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u2")
-                names.append(doc)
-                parts.append(ids)
-                size += len(ids)
-                if size >= BLOCK_IDS:
-                    waiting.append((names, parts))
-                    heavy = size > AT_ONCE * BLOCK_IDS  # a very long document is coded without company
-                    names, parts, size = [], [], 0
-                    if heavy or len(waiting) >= AT_ONCE:
-                        yield flush()
-        if names:
-            waiting.append((names, parts))
-        if waiting:
-            yield flush()
+            first += sum(sizes)
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
     ordered.select("doc_id", "ids").mapInArrow(

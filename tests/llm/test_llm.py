@@ -374,3 +374,27 @@ def test_oracles(spark, sf_dir):
 
     for name, sql in queries.ORACLE_SQL.items():
         same_rows(queries.QUERIES[name](spark, sf_dir), sql, sf_dir)
+
+
+def test_long_documents_are_coded_alone():
+    size = token_files.BLOCK_IDS
+    lengths = [5, size - 6, 7, 3 * size, 9, size, 2, *[size // 2] * 4]
+    rows = [(k, np.full(n, k, np.uint16)) for k, n in enumerate(lengths)]
+    groups = list(token_files._coded_together(iter(rows)))
+    assert [d for g in groups for names, _ in g for d in names] == list(range(len(rows)))
+    assert [len(i) for g in groups for _, parts in g for i in parts] == lengths
+    assert all(len(g) == 1 and g[0][0] == [k] for g in groups for k in (3, 5) if any(k in names for names, _ in g))
+    assert max(sum(map(len, parts)) for g in groups if len(g) > 1 for _, parts in g) < 2 * size
+
+
+def test_a_word_of_more_than_65535_ids(spark):
+    rows = [(k, "some plain words of text " * 40) for k in range(1, 6)] + [(9, "before " + "a1" * 40_000 + " after it"), (10, "words after it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in attention_lm.scored(df, queries.tokenizer_file()).collect()}
+    assert [got[9].n_tokens, got[10].n_tokens] == [5, 4] and got[9].score < got[10].score < 0
+    folder = token_files.fresh_folder(spark, "t")
+    token_files.write_token_files(df, folder, queries.tokenizer_file(), 0)
+    read = {r.doc_id: r for r in token_files.read_token_files(spark, folder).collect()}
+    for (i, _), ids in zip(rows, token_ids([t for _, t in rows]), strict=True):
+        assert (read[i].n_tokens, read[i].ids_crc32) == (len(ids) + 1, crc([*ids, 0]))
+    assert read[9].n_tokens > 1 << 16
