@@ -1,12 +1,17 @@
 """Licence recognition by sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends and after ``.``, ``!`` or ``?`` before white space), each is
-normalised (lower case, runs of other characters than letters and digits become one space) and looked up
-among the known licence sentences. A document's identifiers, in text order, are then matched against
+A text is normalised (lower case, runs of other characters than letters and digits become one mark), with
+three marks: between words, at a possible sentence end (line ends, and white space after ``.``, ``!``, ``?``
+or ``:``) and at a blank line. A known licence sentence is found where its words stand between two ends, also
+when it is wrapped over lines, with or without comment leaders, but not across a blank line; of two that
+begin at one place the longer counts. A document's identifiers, in text order, are then matched against
 rules: a rule holds when its identifiers occur in its order, other sentences may lie between.
 
+The SQL knows no wrapped sentences: it looks each piece between two ends up by itself. Both agree wherever
+every known sentence stands on one line, as in the given tables.
+
 Scale. Everything happens inside a row, so there is no shuffle and no join. Texts without any of the
-anchor words (the longest word of each known sentence) are not cut at all, which loses nothing.
+anchor words (the longest word of each known sentence) are not searched at all, which loses nothing.
 
 Edge cases. Null and empty texts have no sentence. Repeated sentences are listed each time; repeated
 rows are judged each. Null ids, extra columns and empty tables are fine.
@@ -58,17 +63,25 @@ def _plain(sentence: str) -> str:
 
 KNOWN = {_plain(text): name for name, text in SENTENCES.items()}
 ANCHORS = sorted({max(text.split(), key=len) for text in KNOWN})
+# Capitals cannot occur in the lower-cased text: S is a possible sentence end, H a blank line or an end of the text.
+PATTERN = "(?<=[SH])(" + "|".join(text.replace(" ", "[ S]") for text in sorted(KNOWN, key=len, reverse=True)) + ")(?=[SH])"
+
+
+def _marked(text: Column) -> Column:
+    """The words of ``text`` with one space, ``S`` or ``H`` between them, and ``H`` at both ends."""
+    marks = F.regexp_replace(F.regexp_replace(lower_ascii(text), r"\n[^a-z0-9\n]*(?=\n)", "H"), ENDS, "S")
+    words = F.regexp_replace(F.concat(F.lit("H"), marks, F.lit("H")), "[^a-z0-9SH]+", " ")
+    return F.regexp_replace(F.regexp_replace(words, " ?S[ S]*", "S"), " ?S?H[ SH]*", "H")
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of ``text``, in order."""
     known = F.create_map(*[F.lit(x) for item in KNOWN.items() for x in item])
-    normal = lambda s: F.trim(F.regexp_replace(lower_ascii(s), "[^a-z0-9]+", " "))
     low = F.lower(text)
     anchored = F.lit(False)
     for word in ANCHORS:
         anchored = anchored | F.contains(low, F.lit(word))
-    found = F.filter(F.transform(F.filter(F.split(text, ENDS), lambda s: F.length(s) > 0), lambda s: F.try_element_at(known, normal(s))), lambda n: n.isNotNull())
+    found = F.transform(F.regexp_extract_all(_marked(text), F.lit(PATTERN), F.lit(1)), lambda s: F.element_at(known, F.translate(s, "S", " ")))
     return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from unittest import mock
@@ -398,3 +399,23 @@ def test_a_word_of_more_than_65535_ids(spark):
     for (i, _), ids in zip(rows, token_ids([t for _, t in rows]), strict=True):
         assert (read[i].n_tokens, read[i].ids_crc32) == (len(ids) + 1, crc([*ids, 0]))
     assert read[9].n_tokens > 1 << 16
+
+
+def test_wrapped_licences(spark):
+    s = license_scan.SENTENCES
+    wrap = lambda names, lead, eol="\n": f"{eol}{lead.rstrip()}{eol}".join(eol.join(lead + x for x in textwrap.wrap(s[n], 72)) for n in names)
+    header = "/*\n * Copyright 2020 A. Body\n *\n{}\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint x;"
+    rows = [
+        (1, "The MIT License\n\nCopyright (c) A\n\n" + wrap(["mit-grant", "mit-notice"], "") + "\n\nTHE SOFTWARE IS"),
+        (2, header.format(" * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at")),
+        (3, "#!/bin/sh\n" + wrap(["gpl-free", "gpl-hope"], "# ") + "  See the\n# GNU General Public License for more details.\n"),
+        (4, wrap(["bsd-redist"], "// ") + "\n//\n// 1. " + s["bsd-source"].replace("list of", "list\n//    of")),
+        (5, wrap(["mit-grant", "mit-notice"], "", "\r\n")),
+        (6, "Released under\n\nthe MIT License."),
+        (7, "It was Released under\nthe MIT License."),
+        (8, "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with the License."),
+        (9, s["mit-line"] + " " + s["ccby-line"] + "\n" + s["mit-lic"] + ". . . ."),
+    ]
+    got = {r.doc_id: r for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].licences for k in range(1, 8)] == ["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-2-Clause", "MIT", "", ""]
+    assert [got[k].sentence_ids for k in (1, 2, 8, 9)] == ["mit-grant,mit-notice", "apache-grant,apache-copy", "apache-grant", "mit-line,ccby-line,mit-lic"]
