@@ -12,8 +12,9 @@ training words less the mass of words seen once, which goes to the attention mod
 (Good-Turing escape). So the scores are those of one proper distribution over word sequences.
 
 Training. Counts of words and ids cover all texts that are not held out. Weights are fitted by data-
-parallel rounds: every task passes over all its training chunks, takes one window in ``TRAIN_EVERY`` of
-each chunk (a rate, so it grows with the corpus), and the weights, a few thousand numbers, are averaged.
+parallel rounds: every task passes over all windows of all its training texts, and the weights, a few
+thousand numbers, are averaged. The targets are the ids a window would score, so a round learns each id of
+a text once, its end id included, and none of another text.
 
 Scale. A chunk is a run of documents: its vocabulary with counts and word ids, and its words as indexes
 into that vocabulary. Only vocabularies are shuffled (a frequent word is one row per chunk), never words.
@@ -41,7 +42,6 @@ SIZE = 16
 HIDDEN = 24
 WINDOW = 32
 STRIDE = 24
-TRAIN_EVERY = 16
 ROUNDS = 2
 BATCH = 256
 CHUNK_BYTES = 1 << 22  # text of one chunk: larger chunks repeat fewer words
@@ -150,7 +150,8 @@ class AttentionLm:
         """Log-probabilities of the next class at the last ``tail`` places of each window of ``inputs``."""
         x = self.embed[inputs] + self.place
         last = x[:, -tail:]
-        q, k, v = last @ self.query, x @ self.key, x @ self.value
+        flat = x.reshape(-1, SIZE)  # one product over all windows
+        q, k, v = (last.reshape(-1, SIZE) @ self.query).reshape(last.shape), (flat @ self.key).reshape(x.shape), (flat @ self.value).reshape(x.shape)
         s = (q @ k.transpose(0, 2, 1)) * np.float32(SIZE**-0.5) + self.mask[-tail:]
         s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
@@ -202,31 +203,36 @@ class AttentionLm:
             self.work[name] = np.empty(size, np.float32)
         return self.work[name][:size].reshape(shape)
 
-    def train_step(self, inputs: np.ndarray, targets: np.ndarray, moments: list, step: int) -> float:
-        """One Adam step on windows with a target at every place."""
-        z, (x, last, q, k, v, s, both, h) = self.forward(inputs, WINDOW)
+    def train_step(self, inputs: np.ndarray, targets: np.ndarray, moments: list, step: int, counted: np.ndarray | None = None) -> float:
+        """One Adam step on windows with a target at each of their last places, of which ``counted`` marks those that count."""
+        tail = targets.shape[1]
+        z, (x, last, q, k, v, s, both, h) = self.forward(inputs, tail)
         flat = targets.reshape(-1)
-        n = np.float32(len(flat))
-        loss = -float(z[np.arange(len(flat)), flat].mean())
-        g = np.exp(z)
-        g[np.arange(len(flat)), flat] -= 1
-        g /= n
+        share = np.full(len(flat), 1 / len(flat), np.float32) if counted is None else counted.reshape(-1).astype(np.float32) / np.float32(counted.sum())
+        at = np.arange(0, z.size, CLASSES) + flat
+        loss = -float(z.reshape(-1)[at] @ share)
+        g = np.exp(z, out=z)
+        g.reshape(-1)[at] -= 1
+        g *= share[:, None]
         grads = {"out": h.T @ g, "bias": g.sum(0)}
         gh = (g @ self.out.T) * (h > 0)
         grads["hidden"], grads["bend"] = both.T @ gh, gh.sum(0)
         gb = (gh @ self.hidden.T).reshape(*last.shape[:2], 2 * SIZE)
-        gx, ga = gb[..., :SIZE].copy(), gb[..., SIZE:]
+        gx, ga = np.zeros_like(x), gb[..., SIZE:]
+        gx[:, -tail:] = gb[..., :SIZE]
         gs = ga @ v.transpose(0, 2, 1)
         gv = s.transpose(0, 2, 1) @ ga
-        gs = s * (gs - (gs * s).sum(-1, keepdims=True)) * np.float32(SIZE**-0.5)
+        gs -= (gs * s).sum(-1, keepdims=True)
+        gs *= s
+        gs *= np.float32(SIZE**-0.5)
         gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        rows = x.reshape(-1, SIZE)
-        for name, d in (("query", gq), ("key", gk), ("value", gv)):
-            grads[name] = rows.T @ d.reshape(-1, SIZE)
-            gx += d @ getattr(self, name).T
+        for name, rows, d, to in (("query", last, gq, gx[:, -tail:]), ("key", x, gk, gx), ("value", x, gv, gx)):
+            d = d.reshape(-1, SIZE)  # one product over all windows
+            grads[name] = rows.reshape(-1, SIZE).T @ d
+            to += (d @ getattr(self, name).T).reshape(to.shape)
         grads["place"] = gx.sum(0)
-        grads["embed"] = np.zeros_like(self.embed)
-        np.add.at(grads["embed"], inputs.reshape(-1), gx.reshape(-1, SIZE))
+        taken = inputs.reshape(-1)
+        grads["embed"] = np.stack([np.bincount(taken, column, CLASSES + 1) for column in gx.reshape(-1, SIZE).T], axis=1).astype(np.float32)
         for name, (m, w2) in zip(self.NAMES, moments, strict=True):
             d, w = grads[name], getattr(self, name)
             m += 0.1 * (d - m)
@@ -259,6 +265,14 @@ def _windows(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.minimum(start + STRIDE, bounds[1:][text])
 
 
+def _training_windows(classes: np.ndarray, bounds: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the scored part of every window of the training texts, and its text: each id is in one of them."""
+    start, stop = _windows(classes, bounds)
+    text = np.searchsorted(bounds, start, "right") - 1
+    keep = train[text]
+    return start[keep], stop[keep], text[keep]
+
+
 def _gathered(classes: np.ndarray, bounds: np.ndarray, start: np.ndarray, texts_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs (the class before each place, ``CLASSES`` before a text) and targets of windows that end at ``start + STRIDE``."""
     at = start[:, None] - (WINDOW - STRIDE) + np.arange(WINDOW)[None, :]
@@ -324,18 +338,14 @@ def fit(chunks: DataFrame, classes: Classes, end: int) -> np.ndarray:
                     words, lengths, ids, id_counts = _unpack(row)
                     every, _, bounds = _streams(words, lengths, ids, id_counts, end)
                     own = named.of[every]
-                    start, _ = _windows(own, bounds)
-                    text = np.searchsorted(bounds, start, "right") - 1
-                    keep = np.frombuffer(row["train"], bool)[text] & (start + STRIDE <= bounds[text + 1])
-                    rng = np.random.default_rng([turn, row["chunk"]])
-                    keep &= rng.random(len(start)) < 1 / TRAIN_EVERY
-                    start, text = start[keep], text[keep]
-                    order = rng.permutation(len(start))
+                    start, stop, text = _training_windows(own, bounds, np.frombuffer(row["train"], bool))
+                    order = np.random.default_rng([turn, row["chunk"]]).permutation(len(start))
                     for lo in range(0, len(order), BATCH):
                         pick = order[lo : lo + BATCH]
                         inputs, targets = _gathered(own, bounds, start[pick], bounds[text[pick]])
+                        counted = start[pick][:, None] + np.arange(STRIDE) < stop[pick][:, None]
                         step += 1
-                        model.train_step(inputs, targets, moments, step)
+                        model.train_step(inputs, targets[:, -STRIDE:], moments, step, counted)
             if step:
                 yield pa.RecordBatch.from_arrays([pa.array([float(step)]), pa.array([model.flat().astype(np.float64)])], ["steps", "weights"])
 

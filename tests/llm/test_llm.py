@@ -419,3 +419,44 @@ def test_wrapped_licences(spark):
     got = {r.doc_id: r for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k].licences for k in range(1, 8)] == ["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-2-Clause", "MIT", "", ""]
     assert [got[k].sentence_ids for k in (1, 2, 8, 9)] == ["mit-grant,mit-notice", "apache-grant,apache-copy", "apache-grant", "mit-line,ccby-line,mit-lic"]
+
+
+def test_every_id_of_a_training_text_is_learnt_once():
+    bounds = np.array([0, 1, 5, 29, 53, 110, 111])
+    classes = np.arange(111) % attention_lm.CLASSES
+    train = np.array([True, True, False, True, True, True])
+    start, stop, text = attention_lm._training_windows(classes, bounds, train)
+    learnt = np.concatenate([np.arange(a, b) for a, b in zip(start, stop, strict=True)])
+    assert learnt.tolist() == [k for k in range(111) if not 5 <= k < 29]
+    assert (start >= bounds[text]).all() and (stop <= bounds[text + 1]).all()
+
+
+def test_training_learns_the_ends_of_short_texts(spark):
+    end, n = 9, 400
+    ids = np.arange(2, dtype=np.uint16)  # texts of one id 1 and the end
+    counts = np.zeros(end + 1, np.int64)
+    counts[[1, end]] = n
+    row = (0, bytes(attention_lm._deflated(np.ones(n, "<u4").tobytes())), np.ones(n, "<i4").tobytes(), np.ones(n, bool).tobytes(), ids.astype("<u2").tobytes(), np.ones(2, "<u4").tobytes())
+    chunks = spark.createDataFrame([row], "chunk long, words binary, lengths binary, train binary, ids binary, id_counts binary")
+    with mock.patch.object(attention_lm, "SINGLE", 8):
+        classes = attention_lm.Classes(counts)
+    start = attention_lm.AttentionLm().flat()
+    weights = attention_lm.fit(chunks.repartition(1), classes, end)
+    inputs = np.full((1, attention_lm.WINDOW), attention_lm.CLASSES)
+    inputs[0, -attention_lm.STRIDE + 1 :] = classes.of[1]
+    targets = np.full((1, attention_lm.STRIDE), classes.of[end])
+    before, after = (attention_lm.AttentionLm().load(w).target_log10(inputs, targets)[0, 1] for w in (start, weights))
+    assert after > before + 0.1
+
+
+def test_uncounted_places_teach_nothing():
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, attention_lm.CLASSES, (4, n)) for n in (attention_lm.WINDOW, attention_lm.STRIDE))
+    counted = rng.random(y.shape) < 0.5
+    other = np.where(counted, y, (y + 7) % attention_lm.CLASSES)
+    flats = []
+    for t in (y, other):
+        lm = attention_lm.AttentionLm()
+        lm.train_step(x, t, [(np.zeros_like(w), np.zeros_like(w)) for w in lm.weights()], 1, counted)
+        flats.append(lm.flat())
+    assert np.array_equal(*flats)
