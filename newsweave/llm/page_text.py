@@ -5,12 +5,15 @@ its ratio is the number of text characters over the number of tags met (plus one
 enclosing element or attribute marks furniture (menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments). Ratios are smoothed with a Gaussian; lines above the
 threshold (one standard deviation of the page's smoothed ratios, at most half their maximum) form the
-content cluster. Each cluster selects the region it lies in (its ``article`` or ``main`` element, else
-the element that holds the block), and every line of the region that is not furniture is kept, so short
-headings and paragraphs stay.
+content clusters. A line of a cluster whose own ratio is above the threshold too selects the region it lies
+in (its ``article`` or ``main`` element, else the element that holds the block); every line of the region that
+is not furniture is kept, so short headings and paragraphs stay, and so are headings of a cluster outside of
+its region. Beside selected articles another region stands if it has as much content as the largest of them.
+Attributes and forms are only evidence of furniture: on a page without an unmarked article they do not count
+for an element that holds more than half of the page's text.
 
 Edge cases. Null, empty and text-free pages give an empty text. Unclosed and stray tags are tolerated;
-a construct on which the parser gives up ends the page there. Repeated rows and null ids are kept, extra
+a construct on which the parser gives up is text. Repeated rows and null ids are kept, extra
 columns are ignored. Memory is bounded by one Arrow batch and one page's lines.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +41,67 @@ MARKED = frozenset(
 PAGE_TOP = frozenset("header masthead topbar".split())  # furniture outside of an article, unless named as its own
 OWN = frozenset("article entry post story".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+SOFT = frozenset(["form"])  # may be wrapped around a whole page
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HOLDERS = BLOCKS - HEADINGS - frozenset("address caption dd dt figcaption li p pre summary".split())
 SIGMA = 1.0
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Place(NamedTuple):
+    """Where text stands: in hard furniture, in elements marked as furniture, in a region, in which holding element."""
+
+    hard: bool = False
+    marks: tuple[int, ...] = ()
+    region: int = 0
+    holder: int = 0
+    heading: bool = False
+
+
 class _Lines(HTMLParser):
-    """Collects ``(text, tags, furniture, region)`` for each block of a page."""
+    """Collects ``(text, tags, place)`` for each block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, inside furniture, region
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.stack: list[tuple[str, Place]] = []
+        self.lines: list[tuple[str, int, Place]] = []
         self.text: list[str] = []
         self.tags = 0
         self.serial = 0
-        self.place = (False, 0)
+        self.place = Place()
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except (AssertionError, ValueError):
+            self.handle_data(self.rawdata[i : i + 2])
+            return i + 2
 
     def close_line(self) -> None:
         words = _SPACE.sub(" ", "".join(self.text)).strip()
         if words:
-            self.lines.append((words, self.tags, *self.place))
+            self.lines.append((words, self.tags, self.place))
             self.tags = 0
         self.text = []
 
-    def _top(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def _top(self) -> Place:
+        return self.stack[-1][1] if self.stack else Place()
+
+    def _is_hard(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+        """Furniture by the element itself, or not shown at all."""
+        if tag in FURNITURE - SOFT or (tag == "header" and not region):
+            return True
+        if tag in ("html", "body", "main"):
+            return False
+        for name, value in attrs:
+            value = (value or "").lower()
+            if name == "style" and "display:none" in value.replace(" ", "") or name == "hidden" or name == "aria-hidden" and value == "true":
+                return True
+        return False
 
-    def _is_furniture(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
-        if tag in FURNITURE or (tag == "header" and not region):
+    def _is_marked(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+        if tag in SOFT:
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -75,9 +111,7 @@ class _Lines(HTMLParser):
                 words = set(_WORD.findall(value))
                 if words & MARKED or (not region and words & PAGE_TOP and not words & OWN):
                     return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "role" and value.strip() in ROLES:
                 return True
         return False
 
@@ -96,12 +130,16 @@ class _Lines(HTMLParser):
                     break
                 if self.stack[k][0] in BLOCKS:
                     break
-        furniture, region = self._top()
-        furniture = furniture or self._is_furniture(tag, attrs, region)
-        if tag in ("article", "main") and not furniture:
-            self.serial += 1
+        hard, marks, region, holder, heading = self._top()
+        hard = hard or self._is_hard(tag, attrs, region)
+        self.serial += 1
+        if self._is_marked(tag, attrs, region):
+            marks += (-self.serial if region else self.serial,)  # negative: inside an article, where a mark always counts
+        if tag in ("article", "main") and not hard:
             region = self.serial
-        self.stack.append((tag, furniture, region))
+        if tag in HOLDERS:
+            holder = self.serial
+        self.stack.append((tag, Place(hard, marks, region, holder, tag in HEADINGS or heading and tag not in BLOCKS)))
         self._settle()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -145,24 +183,37 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):
-        pass  # a malformed declaration: what came before it stands
+    parser.feed(html)
+    parser.close()
     parser.close_line()
-    if not parser.lines:
-        return ""
-    furniture = np.array([x[2] for x in parser.lines])
+    lines = parser.lines
+    held: dict[int, int] = {}  # characters in elements marked as furniture
+    for text, _, place in lines:
+        for mark in place.marks if not place.hard else ():
+            held[mark] = held.get(mark, 0) + len(text)
+    total = sum(len(text) for text, _, place in lines if not place.hard)
+    sure = any(place.region and not place.hard and not place.marks for _, _, place in lines)
+    furniture = np.array([place.hard or any(sure or m < 0 or 2 * held[m] <= total for m in place.marks) for _, _, place in lines], bool)
     if furniture.all():
         return ""
-    ratios = np.array([0.0 if bad else len(text) / (tags + 1) for text, tags, bad, _ in parser.lines])
+    ratios = np.array([0.0 if bad else len(text) / (tags + 1) for (text, tags, _), bad in zip(lines, furniture, strict=True)])
     level = smoothed(ratios)
-    chosen = (level >= min(float(level.std()), float(level[~furniture].max()) / 2)) & ~furniture
-    regions = {parser.lines[k][3] for k in np.flatnonzero(chosen)}
-    if any(regions):
-        regions.discard(0)  # an article or main element holds the content; loose lines around it do not
-    return "\n".join(text for text, _, bad, region in parser.lines if not bad and region in regions)
+    least = min(float(level.std()), float(level[~furniture].max()) / 2)
+    cluster = (level >= least) & ~furniture
+    chosen = cluster & (ratios >= least) if (cluster & (ratios >= least)).any() else cluster
+    content: dict[tuple[bool, int], int] = {}  # characters by region
+    for k in np.flatnonzero(chosen):
+        place = _region(lines[k][2])
+        content[place] = content.get(place, 0) + len(lines[k][0])
+    article = max((n for (within, _), n in content.items() if within), default=0)
+    kept = {place for place, n in content.items() if place[0] or n >= article}
+    loose = not article  # an article has its headings inside
+    return "\n".join(text for k, (text, _, place) in enumerate(lines) if not furniture[k] and (_region(place) in kept or loose and cluster[k] and place.heading))
+
+
+def _region(place: Place) -> tuple[bool, int]:
+    """The article or main element, else the holding element."""
+    return (True, place.region) if place.region else (False, place.holder)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -460,3 +460,25 @@ def test_uncounted_places_teach_nothing():
         lm.train_step(x, t, [(np.zeros_like(w), np.zeros_like(w)) for w in lm.weights()], 1, counted)
         flats.append(lm.flat())
     assert np.array_equal(*flats)
+
+
+def test_pages_by_ratio():
+    long = "A sentence of the main text that goes on for a good while, with no tag inside, as main text does. " * 2
+    paras = "".join(f"<p>{k} {long}</p>" for k in range(5))
+    links = "<ul>" + "".join(f"<li><a href=/{k}><b>Link {k}</b></a></li>" for k in range(12)) + "</ul>"
+    text = page_text.main_text(f"<body>{links}<div id=x><h1>Title</h1>{paras}<p>End.</p></div>{links}</body>")
+    assert "Link" not in text and text.startswith("Title\n0 A sentence") and text.endswith("\nEnd.")
+    text = page_text.main_text(f"<article><h2>Teaser</h2><p>{long}</p></article><div>{paras}</div>")
+    assert all(f"{k} A sentence" in text for k in range(5))
+    for wrap in ("<div class='page sidebar widget'>", "<form action=/>"):
+        text = page_text.main_text(f"<body>{wrap}<div>{paras}</div><div class=ad>Buy {long}</div></body>")
+        assert "4 A sentence" in text and "Buy" not in text
+    text = page_text.main_text(f"<article>{paras}<section class=comments>{paras.replace('A sentence', 'Reader')}{paras}</section></article>")
+    assert "4 A sentence" in text and "Reader" not in text
+
+
+def test_pages_resume_after_what_the_parser_rejects():
+    for bad in ("<![weird[x]]>", "<!ELEMENT [", "<![if !IE]>", "<!DOCTYPE html [<!foo>]>"):
+        assert "Behind it." in page_text.main_text(f"<div><p>Before it.</p>{bad}<p>Behind it.</p></div>"), bad
+    with mock.patch("html.parser.HTMLParser.parse_html_declaration", side_effect=AssertionError):
+        assert "Behind it." in page_text.main_text("<div><p>Before it.</p><!x><p>Behind it.</p></div>")
