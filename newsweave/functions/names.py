@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 from newsweave.functions.porter2 import stem
 
@@ -113,6 +113,25 @@ def _close_spelling(a: str, b: str, kind: str) -> bool:
     return shared >= longest // 3
 
 
+def edit_keys(form: str, kind: str, left: bool) -> list[str]:
+    """Keys of which a left and a right form within the edit limit share one at least, where no long common start is asked for.
+
+    A left form is cut into one segment more than edits are allowed, so one of them is left whole; a right form
+    gives the pieces that may be such a segment of a form of any length in reach.
+    """
+    limit = EDITS.get(kind, 2)
+    if _size(form) > 15 and not any(map(str.isnumeric, form)):
+        return []
+    keys = set()
+    for n in [len(form)] if left else range(max(1, len(form) - limit), len(form) + limit + 1):
+        for i in range(limit + 1):
+            begin, end = i * n // (limit + 1), (i + 1) * n // (limit + 1)
+            for shift in [0] if left else range(-limit, limit + 1):
+                if begin + shift >= 0 and end + shift <= len(form):
+                    keys.add(f"s:{limit}:{n}:{i}:{form[begin + shift : end + shift]}")
+    return sorted(keys)
+
+
 def fuzzy_match(a: str, b: str, raw_a: str, raw_b: str, kind: str) -> bool:
     """Whether two normal forms (with their raw names) name one entity: a chain of type-specific evidence."""
     words_a, words_b = a.split(), b.split()
@@ -149,6 +168,14 @@ def normalize_name(name: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([None if n is None else normal_form(n, k or "OTHER") for n, k in zip(name, kind, strict=True)], dtype=object)
 
 
+def edit_key_columns(normal: Column, kind: Column, left: bool) -> Column:
+    @F.pandas_udf(ArrayType(StringType()))
+    def keys(forms: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([edit_keys(n or "", k or "OTHER", left) for n, k in zip(forms, kinds, strict=True)], dtype=object)
+
+    return keys(normal, kind)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -11,11 +11,11 @@ WEIGHTS = {"PRIMARY": 1.0, "SECONDARY": 0.6, "MENTIONED": 0.3}
 
 
 def blocking_keys(normal: Column, raw: Column) -> Column:
-    """Keys of which two matching names share at least one in practice: the normal form, each token, the first
-    four characters, the initials, and the form without spaces cut to four characters.
+    """Keys that two matching names mostly share: the normal form, each token, the first four characters, the
+    initials, and the form without spaces cut to four characters.
 
-    Pairs that agree in none of them are missed: edits in every token's start and end, and names of three or
-    four characters, whose edit limit would let them match almost any other such name.
+    With ``names.edit_keys`` no pair that matches by its edit distance is missed; pairs that match by Jaro-Winkler or
+    by containment alone are, if they agree in none of these keys.
     """
     tokens = F.split(normal, " ")
     squeezed = F.replace(normal, F.lit(" "), F.lit(""))
@@ -34,7 +34,8 @@ def name_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     Every distinct pair that shares a blocking key is verified once, by the rules of the left type.
     """
     prepared = lambda df: df.where("name IS NOT NULL").select("name", "type").distinct().withColumn("normal", N.normalize_name("name", "type"))
-    keyed = lambda df, s: df.select(F.col("name").alias(f"name_{s}"), F.col("type").alias(f"type_{s}"), F.col("normal").alias(f"normal_{s}"), F.explode(blocking_keys(F.col("normal"), F.col("name"))).alias("key"))
+    keys = lambda s: F.array_union(blocking_keys(F.col("normal"), F.col("name")), N.edit_key_columns(F.col("normal"), F.col("type"), s == "a"))
+    keyed = lambda df, s: df.select(F.col("name").alias(f"name_{s}"), F.col("type").alias(f"type_{s}"), F.col("normal").alias(f"normal_{s}"), F.explode(keys(s)).alias("key"))
     a, b = keyed(prepared(left), "a"), keyed(prepared(right), "b")
     pairs = a.join(b, "key").where(N.compatible_types(F.col("type_a"), F.col("type_b"))).drop("key").distinct()
     same = pairs.where("normal_a = normal_b")

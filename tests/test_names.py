@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from newsweave.functions import names as N
@@ -40,3 +42,29 @@ def test_blocked_join_finds_all_matches(spark):
     want = {(a, s, b, t) for a, s in rows for b, t in rows if (s == t or {s, t} <= pair) and N.names_match(a, b, s)}
     assert got <= want
     assert all(max(len(w[0]), len(w[2])) <= 4 for w in want - got)  # tiny names, where the edit limit allows almost anything
+
+
+def test_join_finds_all_matches_by_edit_distance(spark):
+    from newsweave.operators.matching import name_matches
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnoprstuv"
+    rows = {("hansen", "PERSON"), ("henson", "PERSON"), ("marten", "PERSON"), ("morton", "PERSON")}
+    for _ in range(60):
+        word = [rng.choice(letters) for _ in range(rng.randrange(3, 14))]
+        kind = rng.choice(["PERSON", "LOCATION", "PRODUCT", "ORGANIZATION"])
+        rows.add(("".join(word), kind))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(word))
+            word[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        rows.add(("".join(word) or "x", kind))
+    rows = sorted(rows)
+    names = spark.createDataFrame(rows, "name string, type string")
+    got = {tuple(r) for r in name_matches(names, names).collect()}
+    pair = {"PRODUCT", "ORGANIZATION"}
+    every = [(a, s, b, t) for a, s in rows for b, t in rows if s == t or {s, t} <= pair]
+    want = {w for w in every if N.names_match(w[0], w[2], w[1])}
+    by_edits = {w for w in want if N._close_spelling(N.normal_form(w[0], w[1]), N.normal_form(w[2], w[3]), w[1])}
+    assert ("hansen", "PERSON", "henson", "PERSON") in got and len(by_edits) > len(rows)
+    assert got <= want and by_edits <= got
+    print("links", len(want), "found", len(got))
