@@ -99,8 +99,7 @@ def _spaced_ids(coder, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     source = np.repeat(starts - 1 - bounds[:-1], sizes) + np.arange(bounds[-1])
     spaced = data[np.maximum(source, 0)]
     spaced[bounds[:-1]] = 0x20
-    ids, ends_of = coder.encode_spans(spaced, bounds[:-1], bounds[1:], bounds)
-    return ids, ends_of
+    return coder.encode_pieces(spaced, bounds[:-1], ~coder.ends_clear(data, ends))
 
 
 class Classes:

@@ -83,12 +83,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE)
     return starts, np.flatnonzero(after) + 1, np.searchsorted(starts, offsets)
 
 
+HASH_BYTES = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span that depends on its bytes and length only."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span that depends on its bytes and length only; spans ascend.
+
+    Runs of spans of about ``HASH_BYTES`` bytes are hashed one after another, which bounds the work arrays.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + HASH_BYTES, "right")))
+        base = starts[lo]
+        part, first, after = data[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base
+        up, down = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        out[lo:hi] = mix((total[after] - total[first]) * down[first] + (after - first).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -125,10 +139,13 @@ class SubwordCoder:
 
     A byte-level tokenizer never lets a token cross from a non-space character to a following white
     space character, so a text falls into independent pieces there (white space, then a word). The
-    library encodes each distinct piece; results are kept in a bounded table and strung together.
+    library encodes pieces not met before, strung together; the lengths of the ids' bytes tell the pieces
+    apart again. Results are kept in a bounded hash table of flat arrays (about 50 bytes a piece); every hit is
+    compared with the piece's own bytes, so equal hashes cannot give wrong ids. A full table keeps the pieces
+    that were met again since it was last thinned.
     """
 
-    MAX_PIECES = 700_000
+    MAX_PIECES = 1_000_000
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         self.max_pieces = max_pieces
@@ -136,15 +153,29 @@ class SubwordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.id_bytes = np.zeros(size, np.int64)  # in a byte-level vocabulary a character stands for a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.id_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
+        self.id_type = np.uint16 if size <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
-        self.where: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        self.pieces = 0
+        self.slots = np.full(1 << 15, -1, np.int32)
+        self.key = np.zeros(1 << 14, np.uint64)
+        self.again = np.zeros(1 << 14, bool)
+        self.at, self.raw = np.zeros((1 << 14) + 1, np.int64), np.zeros(1 << 17, np.uint8)
+        self.begin, self.flat = np.zeros((1 << 14) + 1, np.int64), np.zeros(1 << 16, self.id_type)
+
+    @staticmethod
+    def ends_clear(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the last character before each of ``ends`` is surely no space, so that a piece may begin there."""
+        last = data[ends - 1]
+        before = data[np.maximum(ends - 2, 0)]
+        plain = (last < 0x80) & ((last < 0x1C) | (last > 0x1F)) & ~_SPACE[last]
+        return plain | ((last >= 0x80) & ~((before == 0xC2) | (before == 0x9A) | (before == 0x80) | (before == 0x81)))
 
     @staticmethod
     def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -155,69 +186,172 @@ class SubwordCoder:
         space = _SPACE[data]
         cut = space.copy()
         cut[1:] &= ~space[:-1]
-        cut[1:] &= (data[:-1] < 0x1C) | (data[:-1] > 0x1F)
         if len(cut):
             cut[0] = False
         at = np.flatnonzero(cut)
-        last = data[at - 1]
-        before = data[np.maximum(at - 2, 0)]
-        cut[at] = (last < 0x80) | ~((before == 0xC2) | (before == 0x9A) | (before == 0x80) | (before == 0x81))
+        cut[at] = SubwordCoder.ends_clear(data, at)
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, pieces: list[str], hashes: list[int]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        rows = [e.ids for e in encoded]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        need, have = self.used + int(counts.sum()), len(self.where)
-        while len(self.flat) < need:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.begin) < have + len(rows):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used : need] = np.fromiter((i for r in rows for i in r), self.flat.dtype, need - self.used)
-        self.begin[have : have + len(rows)] = self.used + np.cumsum(counts) - counts
-        self.count[have : have + len(rows)] = counts
-        self.where.update(zip(hashes, range(have, have + len(rows)), strict=True))
-        self.used = need
-
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the end of each text's ids with a leading 0."""
         starts = self.piece_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        return self.encode_spans(data, starts, ends, offsets)
-
-    def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, index, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.where) > self.max_pieces:
-            self._clear()
-        rows = self.rows_of(data, starts[index], ends[index], hashes)
-        rows = rows[inverse]
-        counts = self.count[rows]
+        lone = np.zeros(len(starts), bool)  # a text's first and last piece touch no other
+        edges = np.searchsorted(starts, offsets)
+        lone[edges[:-1][edges[:-1] < len(starts)]] = True
+        lone[edges[1:][edges[1:] > 0] - 1] = True
+        ids, ends = self.encode_pieces(data, starts, lone)
+        return ids, ends[edges]
+
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that begin at ``starts`` (from 0 on) and fill ``data``; the end of each piece's ids with a leading 0."""
+        bounds = np.append(starts, len(data))
+        rows = self._rows(data, bounds, np.zeros(len(starts), bool) if lone is None else lone)
+        counts = self.begin[rows + 1] - self.begin[rows]
         filled = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(counts, out=filled[1:])
-        at = np.repeat(self.begin[rows] - filled[:-1], counts) + np.arange(filled[-1])
-        return self.flat[at], filled[np.searchsorted(starts, offsets)]
-
-    def rows_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The table row of each distinct piece, after encoding those not met before."""
-        keys = hashes.tolist()
-        rows = list(map(self.where.get, keys))
-        new = [k for k, r in enumerate(rows) if r is None]
-        if new:
-            raw = data.tobytes()
-            lo, hi = starts[new].tolist(), ends[new].tolist()
-            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(lo, hi, strict=True)], [keys[k] for k in new])
-            rows = list(map(self.where.get, keys))
-        return np.array(rows, np.int64)
+        at = np.repeat(self.begin[rows] - filled[:-1], counts)
+        at += np.arange(filled[-1])
+        return np.take(self.flat, at), filled
+
+    def _rows(self, data: np.ndarray, bounds: np.ndarray, lone: np.ndarray) -> np.ndarray:
+        """The table row of each piece, after encoding those not met before."""
+        keys = span_hashes(data, bounds[:-1], bounds[1:])
+        rows = self._find(keys)
+        known = np.flatnonzero(rows >= 0)
+        self.again[rows[known]] = True
+        new = np.flatnonzero(rows < 0)
+        if self.pieces + len(new) > self.max_pieces and self.pieces:
+            self._thin()
+            rows = self._find(keys)
+            new = np.flatnonzero(rows < 0)
+        if len(new):
+            hashes, first, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            added = self._learn(data, bounds, new[first], lone)
+            self._enter(hashes, added)
+            rows[new] = added[inverse]
+        sizes = np.diff(bounds)
+        wrong = sizes != self.at[rows + 1] - self.at[rows]
+        if not wrong.any():  # pieces fill the data, so all bytes are compared at once
+            at = np.repeat(self.at[rows] - bounds[:-1], sizes)
+            at += np.arange(len(data))
+            differ = np.flatnonzero(np.take(self.raw, at) != data)
+            wrong[np.searchsorted(bounds, differ, "right") - 1] = True
+        else:
+            wrong[:] = True
+        if wrong.any():  # equal hashes of different pieces: rows of their own that no key leads to
+            for k in np.flatnonzero(wrong):
+                rows[k] = self._learn(data, bounds, np.array([k]), lone)[0]
+        return rows
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it is not in the table."""
+        mask = len(self.slots) - 1
+        place = (keys >> np.uint64(20)).astype(np.int64) & mask
+        rows = np.take(self.slots, place).astype(np.int64)
+        open_ = np.flatnonzero((rows >= 0) & (np.take(self.key, rows, mode="clip") != keys))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & mask
+            rows[open_] = self.slots[place[open_]]
+            there = rows[open_]
+            open_ = open_[(there >= 0) & (np.take(self.key, there, mode="clip") != keys[open_])]
+        return rows
+
+    def _enter(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Make distinct ``keys``, none of them in the table, lead to ``rows``."""
+        self.key[rows] = keys
+        if 2 * self.pieces > len(self.slots):
+            self.slots = np.full(1 << int(3 * self.pieces).bit_length(), -1, np.int32)
+            rows = np.arange(self.pieces)
+            keys = self.key[: self.pieces]
+        mask = len(self.slots) - 1
+        place = (keys >> np.uint64(20)).astype(np.int64) & mask
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.slots[place[left]] < 0
+            self.slots[place[left[free]]] = rows[left[free]]
+            left = left[self.slots[place[left]] != rows[left]]
+            place[left] = (place[left] + 1) & mask
+
+    def _learn(self, data: np.ndarray, bounds: np.ndarray, which: np.ndarray, lone: np.ndarray) -> np.ndarray:
+        """New rows for the pieces ``which``."""
+        which = np.asarray(which)
+        apart = lone[which]
+        order = np.concatenate([which[~apart], which[apart]])
+        sizes = bounds[order + 1] - bounds[order]
+        ends = np.cumsum(sizes)
+        raw = data[np.repeat(bounds[order] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        joined = int(np.count_nonzero(~apart))
+        ids, counts = self._encoded(raw, ends - sizes, ends, joined)
+        have, n = self.pieces, len(order)
+        self.raw = _room(self.raw, self.at[have] + len(raw))
+        self.flat = _room(self.flat, self.begin[have] + len(ids))
+        self.at, self.begin, self.key, self.again = (_room(x, have + n + 1) for x in (self.at, self.begin, self.key, self.again))
+        self.raw[self.at[have] : self.at[have] + len(raw)] = raw
+        self.flat[self.begin[have] : self.begin[have] + len(ids)] = ids
+        self.at[have + 1 : have + n + 1] = self.at[have] + ends
+        self.begin[have + 1 : have + n + 1] = self.begin[have] + np.cumsum(counts)
+        self.again[have : have + n] = False
+        self.pieces += n
+        rows = np.empty(n, np.int64)
+        rows[np.argsort(apart, kind="stable")] = have + np.arange(n)
+        return rows
+
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of each piece's; the first ``joined`` pieces may be encoded in one string."""
+        parts, counts = [], []
+        if joined:
+            text = raw[: ends[joined - 1]].tobytes().decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            after = np.cumsum(self.id_bytes[ids])
+            cut = np.searchsorted(after, ends[:joined]) + 1
+            if len(ids) and cut[-1] == len(ids) and np.array_equal(after[cut - 1], ends[:joined]):
+                parts, counts = [ids], [np.diff(cut, prepend=0)]
+            else:
+                joined = 0  # bytes that are no UTF-8, or a tokenizer whose ids do not stand for bytes
+        body = raw.tobytes()
+        pieces = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[joined:].tolist(), ends[joined:].tolist(), strict=True)]
+        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else ():
+            parts.append(np.array(e.ids, np.int64))
+            counts.append(np.array([len(e.ids)]))
+        return np.concatenate(parts).astype(self.id_type), np.concatenate(counts)
+
+    def _thin(self) -> None:
+        """Keep the pieces met again, or none if they fill half of the table."""
+        keep = np.flatnonzero(self.again[: self.pieces])
+        if 2 * len(keep) > self.max_pieces:
+            return self._clear()
+        old = self.key, self.at, self.raw, self.begin, self.flat
+        self._clear()
+        for name, bounds, body in (("at", old[1], old[2]), ("begin", old[3], old[4])):
+            sizes = bounds[keep + 1] - bounds[keep]
+            ends = np.cumsum(sizes)
+            taken = body[np.repeat(bounds[keep] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+            setattr(self, name, np.append(np.int64(0), ends))
+            setattr(self, "raw" if name == "at" else "flat", _room(taken, 1 << 16))
+        self.pieces = len(keep)
+        self.again = np.zeros(len(keep) + 1, bool)
+        self.key = _room(np.zeros(1, np.uint64), len(keep) + 1)
+        self.slots = np.full(1 << max(15, int(3 * self.pieces).bit_length()), -1, np.int32)
+        self._enter(old[0][keep], np.arange(len(keep)))
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array`` with room for ``size`` entries, grown by half at least."""
+    if len(array) >= size:
+        return array
+    grown = np.zeros(max(int(size), len(array) * 3 // 2), array.dtype)
+    grown[: len(array)] = array
+    return grown
 
 
 _coders: dict[str, SubwordCoder] = {}
 
 
 def subword_coder(path: str, max_pieces: int = SubwordCoder.MAX_PIECES) -> SubwordCoder:
-    """One coder for each file and Python worker; ``max_pieces`` bounds its table (about 200 bytes each)."""
+    """One coder for each file and Python worker; ``max_pieces`` bounds its table."""
     if path not in _coders:
         _coders[path] = SubwordCoder(path, max_pieces)
     _coders[path].max_pieces = max_pieces
     return _coders[path]
+

@@ -35,41 +35,47 @@ AT_ONCE = 64  # blocks coded side by side
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian 16-bit ids of the whole text, then ``end_id``) for each row."""
+    """``doc_id, n_tokens, ids`` (little-endian 16-bit ids of the whole text, then ``end_id``) for each row.
+
+    Each partition adds one row with ``counts`` alone: how often it has each id, in 64 bits.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subword_coder(tokenizer_path)
-        if coder.flat.dtype != np.uint16:
+        if coder.id_type != np.uint16:
             raise ValueError("vocabularies of more than 65,536 ids are not supported")
+        total = np.zeros(1 << 16, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 ids, ends = coder.encode_slice(data, offsets)
                 closed = np.insert(ids, ends[1:], end_id)
+                total += np.bincount(closed, minlength=1 << 16)
                 bounds = ends + np.arange(len(ends))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(np.diff(bounds)),
                         pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(bounds * 2), pa.py_buffer(closed.astype("<u2"))]).cast(pa.binary()),
+                        pa.nulls(hi - lo, pa.binary()),
                     ],
-                    ["doc_id", "n_tokens", "ids"],
+                    names,
                 )
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _token_counts(tokens: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            column = batch.column(0).cast(pa.large_binary())
-            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            if len(column) and column.buffers()[2] is not None:
-                total += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2"), minlength=1 << 16)
+            for raw in batch.column(0):
+                total += np.frombuffer(raw.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.where("counts IS NOT NULL").select("counts").mapInArrow(add, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _coded_together(rows: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[list[tuple[list, list]]]:
@@ -138,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             )
             first += sum(sizes)
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
+    ordered = tokens.where("ids IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
     ordered.select("doc_id", "ids").mapInArrow(
         encode, "shard long, first_id long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
     ).write.option("compression", "none").parquet(f"{path}/blocks")
