@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.plans.durable import durable
+from newsweave.plans.durable import delete_folder, durable
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         after = durable(
             lower.join(roots, lower.label == roots.root, "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was"),
             "labels",
+            replaces=labels,
         )
         changed = after.where("label <> was").limit(1).count()
-        labels = after.select("node", "label")
         if not changed:
-            return labels
+            delete_folder(edges.sparkSession, both.durable_path)
+            return after.select("node", "label")
+        labels = after
