@@ -5,13 +5,11 @@ three marks: between words, at a possible sentence end (line ends, and white spa
 or ``:``) and at a blank line. A known licence sentence is found where its words stand between two ends, also
 when it is wrapped over lines, with or without comment leaders, but not across a blank line; of two that
 begin at one place the longer counts. A document's identifiers, in text order, are then matched against
-rules: a rule holds when its identifiers occur in its order, other sentences may lie between.
+rules: a rule holds when its identifiers occur in its order, other sentences may lie between. A licence that
+is part of another one's text (``PART_OF``) is not named beside it.
 
-The SQL knows no wrapped sentences: it looks each piece between two ends up by itself. Both agree wherever
-every known sentence stands on one line, as in the given tables.
-
-Scale. Everything happens inside a row, so there is no shuffle and no join. Texts without any of the
-anchor words (the longest word of each known sentence) are not searched at all, which loses nothing.
+Scale. Everything happens inside a row, so there is no shuffle and no join. Texts without any of the anchor
+words (few words, one of which every known sentence has) are not searched at all, which loses nothing.
 
 Edge cases. Null and empty texts have no sentence. Repeated sentences are listed each time; repeated
 rows are judged each. Null ids, extra columns and empty tables are fine.
@@ -22,62 +20,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.words import bind, lower_ascii
-
-# Licence sentences by identifier, in their published wording.
-SENTENCES = {
-    "mit-line": "Released under the MIT License.",
-    "mit-lic": "Licensed under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "apache-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-grant": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "apache-copy": "You may obtain a copy of the License at",
-    "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "ccbync-line": "Licensed under CC BY-NC 4.0.",
-    "ccby-line": "Licensed under CC BY 4.0.",
-    "bsd-redist": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-}
-# Rules in order of licence; each is a sequence of sentence identifiers.
-RULES = (
-    ("MIT", ("mit-line",)),
-    ("MIT", ("mit-lic",)),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("Apache-2.0", ("apache-line",)),
-    ("Apache-2.0", ("apache-grant", "apache-copy")),
-    ("GPL-3.0-only", ("gpl3-line",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("CC-BY-NC-4.0", ("ccbync-line",)),
-    ("CC-BY-4.0", ("ccby-line",)),
-    ("BSD-2-Clause", ("bsd-redist", "bsd-source")),
-)
-ENDS = r"\n|(?<=[.!?:])\s+"
+from newsweave.llm.license_texts import PART_OF, RULES, SENTENCES
+from newsweave.llm.words import LOWER, UPPER, bind, lower_ascii
 
 
 def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def _cover(sentences: list[str], least: int = 6) -> list[str]:
+    """Few words of ``least`` letters or more, one of which every sentence has."""
+    left, words = [set(x for x in s.split() if len(x) >= least) for s in sentences], []
+    while left:
+        words.append(max(sorted({x for s in left for x in s}), key=lambda x: sum(x in s for s in left)))
+        left = [s for s in left if words[-1] not in s]
+    return words
+
+
 KNOWN = {_plain(text): name for name, text in SENTENCES.items()}
-ANCHORS = sorted({max(text.split(), key=len) for text in KNOWN})
+ANCHORS = _cover(list(KNOWN))
 # Capitals cannot occur in the lower-cased text: S is a possible sentence end, H a blank line or an end of the text.
 PATTERN = "(?<=[SH])(" + "|".join(text.replace(" ", "[ S]") for text in sorted(KNOWN, key=len, reverse=True)) + ")(?=[SH])"
+STEPS = (
+    (r"\n(?:[^a-z0-9\n]*\n)+", "H"),
+    (r"([.!?:])[\x20\x09-\x0D]+", "$1S"),
+    (r"\n", "S"),
+    (r"[^a-z0-9SH]+", " "),
+    (r" ?S[ S]*", "S"),
+    (r" ?S?H[ SH]*", "H"),
+)
 
 
 def _marked(text: Column) -> Column:
     """The words of ``text`` with one space, ``S`` or ``H`` between them, and ``H`` at both ends."""
-    marks = F.regexp_replace(F.regexp_replace(lower_ascii(text), r"\n[^a-z0-9\n]*(?=\n)", "H"), ENDS, "S")
-    words = F.regexp_replace(F.concat(F.lit("H"), marks, F.lit("H")), "[^a-z0-9SH]+", " ")
-    return F.regexp_replace(F.regexp_replace(words, " ?S[ S]*", "S"), " ?S?H[ SH]*", "H")
+    marked = F.concat(F.lit("H"), lower_ascii(text), F.lit("H"))
+    for pattern, to in STEPS:
+        marked = F.regexp_replace(marked, pattern, to)
+    return marked
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of ``text``, in order."""
     known = F.create_map(*[F.lit(x) for item in KNOWN.items() for x in item])
-    low = F.lower(text)
+    low = lower_ascii(text)
     anchored = F.lit(False)
     for word in ANCHORS:
         anchored = anchored | F.contains(low, F.lit(word))
@@ -94,26 +79,38 @@ def licences(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licences`` (both joined by commas) for each row of ``docs``."""
     rows = docs.select("doc_id", bind(sentence_ids(F.coalesce("text", F.lit(""))), lambda x: x).alias("ids"))
     names = F.array(*[F.when(_holds(F.col("ids"), ids), F.lit(name)) for name, ids in RULES])
-    return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(names))), ",").alias("licences")
-    )
+    whole = F.create_map(*[F.lit(x) for item in PART_OF.items() for x in item])
+    alone = bind(F.array_sort(F.array_distinct(F.array_compact(names))), lambda found: F.filter(found, lambda n: ~F.coalesce(F.array_contains(found, F.try_element_at(whole, n)), F.lit(False))))
+    held = F.when(F.size("ids") == 0, F.lit("")).otherwise(F.array_join(alone, ","))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), held.alias("licences"))
 
 
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def _marked_sql() -> str:
+    marked = f"'H' || translate(coalesce(text, ''), '{UPPER}', '{LOWER}') || 'H'"
+    for pattern, to in STEPS:
+        marked = f"regexp_replace({marked}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return marked
+
+
 ORACLE_SQL = f"""
 WITH known(plain, name) AS (VALUES {_values(list(KNOWN.items()))}),
-steps(rule, licence, step, name) AS (VALUES {_values([(r, lic, k + 1, n) for r, (lic, ids) in enumerate(RULES) for k, n in enumerate(ids)])}),
-s AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos
-      FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents)),
-hit AS (SELECT doc_id, pos, name FROM s JOIN known ON trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = plain),
-one AS (SELECT doc_id, rule, licence, min(pos) AS pos FROM hit JOIN steps ON hit.name = steps.name AND step = 1 GROUP BY ALL),
-two AS (SELECT one.doc_id, one.licence, one.rule FROM one JOIN steps ON one.rule = steps.rule AND step = 2 JOIN hit ON hit.doc_id = one.doc_id AND hit.name = steps.name AND hit.pos > one.pos),
-held AS (SELECT DISTINCT doc_id, licence FROM one WHERE rule NOT IN (SELECT rule FROM steps WHERE step = 2) UNION SELECT DISTINCT doc_id, licence FROM two),
-ids AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY pos) AS ids FROM hit GROUP BY doc_id),
-lic AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM held GROUP BY doc_id)
+rules(licence, steps) AS (VALUES {_values([(lic, "%" + "%".join(f",{n}," for n in ids) + "%") for lic, ids in RULES])}),
+part_of(part, whole) AS (VALUES {_values(list(PART_OF.items()))}),
+m AS (SELECT doc_id, string_split({_marked_sql()}, 'H') AS blocks FROM documents WHERE regexp_matches(lower(text), '{"|".join(ANCHORS)}')),
+b AS (SELECT doc_id, unnest(range(len(blocks))) AS block, unnest(blocks) AS words FROM m),
+p AS (SELECT doc_id, block, string_split(words, 'S') AS parts FROM b WHERE words <> ''),
+i AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p),
+j AS (SELECT *, unnest(range(i, least(len(parts), i + {max(len(k.split()) for k in KNOWN)}) + 1)) AS j FROM i),
+found AS (SELECT doc_id, block, i, j, name FROM j JOIN known ON plain = array_to_string(parts[i:j], ' ')),
+hit AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.block = f.block AND g.i <= f.i AND g.j >= f.j AND g.j - g.i > f.j - f.i)),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY block, i) AS ids, string_agg(',' || name || ',', '' ORDER BY block, i) AS run FROM hit GROUP BY doc_id),
+held AS (SELECT DISTINCT doc_id, licence FROM ids JOIN rules ON run LIKE steps),
+alone AS (SELECT * FROM held h WHERE NOT EXISTS (SELECT 1 FROM part_of JOIN held w ON w.licence = whole WHERE part = h.licence AND w.doc_id = h.doc_id)),
+lic AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM alone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
 FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id
 """
