@@ -186,6 +186,30 @@ def fuzzy_names(a: pd.Series, b: pd.Series, raw_a: pd.Series, raw_b: pd.Series,
     return pd.Series([fuzzy_match(*row) for row in zip(a, b, raw_a, raw_b, kind, strict=True)], dtype=bool)
 
 
+def settled(a: Column, b: Column, kind: Column) -> Column:
+    """What built-in functions can tell about two different normal forms of people, places and the like: true, false, or null.
+
+    Forms within the edit limit match, unless a type-specific rule rejects them; forms whose lengths and common
+    start keep them below the Jaro-Winkler threshold do not. Products and organisations have further evidence
+    and are left open, and so is everything in between.
+    """
+    simple = ~kind.isin("PRODUCT", "ORGANIZATION")
+    limit = F.when(kind == "LOCATION", EDITS["LOCATION"]).otherwise(2)
+    words = lambda x: F.size(F.array_distinct(F.split(x, " ")))
+    other_size = (kind == "LOCATION") & (words(a) != words(b))
+    plural = lambda x, y: x.endswith("s") & x.startswith(y) & (F.octet_length(x) > F.octet_length(y))
+    rejected = other_size | ((kind == "PERSON") & (plural(a, b) | plural(b, a)))
+    longest = F.greatest(F.octet_length(a), F.octet_length(b))
+    near = (F.abs(F.octet_length(a) - F.octet_length(b)) <= limit) & F.when(kind == "LOCATION", F.levenshtein(a, b, EDITS["LOCATION"]) >= 0).otherwise(F.levenshtein(a, b, 2) >= 0)
+    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+    same = lambda n: (F.left(a, F.lit(n)) == F.left(b, F.lit(n))).cast("int")
+    start = F.least(same(1) + same(2) + same(3) + same(4), F.least(F.length(a), F.length(b)))
+    jaro = (2 + ratio) / 3
+    most = jaro + 0.1 * start * (1 - jaro)
+    threshold = F.when(kind == "PERSON", JARO_WINKLER["PERSON"]).otherwise(0.85)
+    return F.when(simple & rejected, False).when(simple & near & (longest <= 15), True).when(simple & ~near & (most < threshold - 1e-9), False)
+
+
 def compatible_types(a: Column, b: Column) -> Column:
     """Equal types, or a product and an organisation."""
     pair = ("PRODUCT", "ORGANIZATION")

@@ -85,18 +85,23 @@ def token_estimate(text: Column) -> Column:
     return words + F.coalesce(F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]")), F.lit(0)) + F.floor(words / 2)
 
 
+def too_long(text: Column, limit: int = 8192) -> Column:
+    """Whether the estimate exceeds a model's context."""
+    return token_estimate(text) > limit
+
+
 def chat_markup(markdown: Column) -> Column:
-    """Markdown to chat markup: headings and bold to ``*b*``, italics, strikes, links, images, lists, line ends."""
+    """Markdown to chat markup: bold, strikes, code blocks, headings, bullets, links, line ends, in this order."""
     steps = (
-        (r"\r\n", "\n"),
-        (r"(?m)^#{1,6}\s+(.+)$", "*$1*"),
-        (r"\*\*(.+?)\*\*", "*$1*"),
-        (r"__(.+?)__", "*$1*"),
-        (r"~~(.+?)~~", "~$1~"),
-        (r"!\[([^\]]*)\]\(([^)\s]+)\)", "<$2|$1>"),
-        (r"\[([^\]]+)\]\(([^)\s]+)\)", "<$2|$1>"),
-        (r"(?m)^\s*[-*+]\s+", "• "),
-        (r"(?m)^>\s?", "> "),
+        (r"\*\*(.*?)\*\*", "*$1*"),
+        (r"__(.*?)__", "*$1*"),
+        (r"~~(.*?)~~", "~$1~"),
+        (r"```(?:\s*\n)?(.*?)```", "```\n$1\n```"),
+        (r"(?m)^#{1,3}[^\S\n]*([^\n]+)$", "*$1*"),
+        (r"(?m)^[^\S\n]*[-*]\s+", "• "),
+        (r"\[(.*?)\]\((.*?)\)", "<$2|$1>"),
+        (r"\r\n?", "\n"),
+        (r"\*{3,}(.+?)\*{3,}", "*$1*"),
     )
     for pattern, to in steps:
         markdown = F.regexp_replace(markdown, pattern, to)
@@ -104,30 +109,45 @@ def chat_markup(markdown: Column) -> Column:
 
 
 def feed_time(value: Column) -> Column:
-    """A feed's date as a timestamp: RFC 3339, RFC 2822, ISO with a compact offset, and naive forms as UTC."""
+    """A feed's date as a timestamp: RFC 3339, RFC 2822, ISO with a compact offset, and naive forms as UTC.
+
+    The shape of a text picks the one form it is parsed by.
+    """
     text = F.trim(value)
-    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s+(GMT|UT|UTC|Z)$", " +0000")
-    tries = [
-        F.try_to_timestamp(text, F.lit(p))
-        for p in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
-    ]
-    tries.insert(1, F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss XX")))
-    return F.coalesce(*tries)
+    at = lambda t, p: F.try_to_timestamp(t, F.lit(p))
+    mail = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s+(GMT|UT|UTC|Z)$", " +0000")
+    clock = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+    return (
+        F.when(text.rlike(clock + r"(\.\d+)?([+-]\d{2}:\d{2}|Z)$"), at(F.regexp_replace(text, r"\.(\d{1,6})\d*", ".$1"), "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]XXX"))
+        .when(text.rlike(r"^([A-Za-z]{3},\s*)?\d{1,2} [A-Za-z]{3} \d{4} "), at(mail, "d MMM yyyy HH:mm:ss XX"))
+        .when(text.rlike(clock + r"[+-]\d{4}$"), at(text, "yyyy-MM-dd'T'HH:mm:ssXX"))
+        .when(text.rlike(clock + "$"), at(text, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), at(text, "yyyy-MM-dd HH:mm:ss"))
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), at(text, "yyyy-MM-dd"))
+    )
 
 
 def lenient_date(value: Column, month_precision: bool = True) -> Column:
-    """A date from many spellings; a bare ``yyyy-MM`` is its first day (or January 1 without ``month_precision``)."""
+    """A date from many spellings; a bare ``yyyy-MM`` is its first day (or January 1 without ``month_precision``).
+
+    The shape of a text picks the form; day/month/year comes before month/day/year where both are possible.
+    """
     text = F.trim(value)
-    forms = ("yyyy-MM-dd", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "MMMM d, yyyy", "d MMMM yyyy")
-    iso = F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1), F.lit("yyyy-MM-dd")).cast("date")
-    tries = [iso, *[F.try_to_timestamp(text, F.lit(p)).cast("date") for p in forms]]
-    year = F.regexp_extract(text, r"^(\d{4})", 1)
-    quarter = F.regexp_extract(text, r"^\d{4}-[Qq]([1-4])$", 1)
-    tries.append(F.when(quarter != "", F.make_date(year.try_cast("int"), (quarter.try_cast("int") - 1) * 3 + 1, F.lit(1))))
-    if month_precision:
-        tries.append(F.try_to_timestamp(F.concat(F.regexp_extract(text, r"^(\d{4}-\d{2})$", 1), F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date"))
-    tries.append(F.when(year != "", F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))))
-    return F.coalesce(*tries)
+    day = lambda t, p: F.try_to_timestamp(t, F.lit(p)).cast("date")
+    year = F.regexp_extract(text, r"^(\d{4})", 1).try_cast("int")
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    quarter = F.regexp_extract(text, r"^\d{4}-[Qq]([1-4])$", 1).try_cast("int")
+    iso = F.substring(text, 1, 10)
+    return (
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.coalesce(day(iso, "yyyy-MM-dd"), new_year))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.coalesce(day(text, "yyyy/M/d"), new_year))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(day(text, "d/M/yyyy"), day(text, "M/d/yyyy")))
+        .when(text.rlike(r"^\p{L}+ \d{1,2}, \d{4}$"), day(text, "MMMM d, yyyy"))
+        .when(text.rlike(r"^\d{1,2} \p{L}+ \d{4}$"), day(text, "d MMMM yyyy"))
+        .when(text.rlike(r"^\d{4}-[Qq][1-4]$"), F.make_date(year, (quarter - 1) * 3 + 1, F.lit(1)))
+        .when(text.rlike(r"^\d{4}-\d{2}$") & F.lit(month_precision), F.coalesce(day(F.concat(text, F.lit("-01")), "yyyy-MM-dd"), new_year))
+        .when(text.rlike(r"^\d{4}"), new_year)
+    )
 
 
 def event_date_in(text: Column) -> Column:
@@ -165,6 +185,7 @@ def device_token(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9A-Fa-f]{64}$"), F.lit(False))
 
 
+# The weights of both scores.
 def entity_score(person: Column, organization: Column, location: Column, event: Column, product: Column, near: Column) -> Column:
     return 0.25 * person + 0.2 * organization + 0.1 * location + 0.1 * event + 0.2 * product + 0.15 * near
 

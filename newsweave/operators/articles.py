@@ -40,3 +40,21 @@ def needing_summary(clusters: DataFrame) -> DataFrame:
 def run_counters(outcomes: DataFrame) -> DataFrame:
     """How often each outcome of a run occurred."""
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def with_delivery(articles: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``articles`` with the ``r2_url`` of the latest upload (``normalized_url, r2_url, at``) of their URL, else their own."""
+    last = uploads.where("r2_url IS NOT NULL").groupBy("normalized_url").agg(F.max_by("r2_url", "at").alias("new_url"))
+    return articles.join(last, "normalized_url", "left").withColumn("r2_url", F.coalesce("new_url", "r2_url")).select(*articles.columns)
+
+
+def with_event_dates(articles: DataFrame, found: DataFrame) -> DataFrame:
+    """``articles`` with the event date found for them (``id, event_date``) where it is not blank."""
+    new = found.where("trim(event_date) <> ''").groupBy("id").agg(F.max("event_date").alias("new_date"))
+    return articles.join(new, "id", "left").withColumn("event_date", F.coalesce("new_date", "event_date")).select(*articles.columns)
+
+
+def labelled_corpus(spark, path: str) -> DataFrame:
+    """``file, title, body, topic, relevant`` of labelled articles: JSON objects ``{title, body, relevance: {topic: Yes or No}}``."""
+    rows = spark.read.schema("title STRING, body STRING, relevance MAP<STRING, STRING>").json(path, multiLine=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return rows.select("file", "title", "body", F.explode("relevance").alias("topic", "answer")).select("file", "title", "body", "topic", T.says_yes(F.col("answer")).alias("relevant"))

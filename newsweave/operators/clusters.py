@@ -1,38 +1,94 @@
-"""Story clusters: order-faithful leader clustering, merges, lineage, significance."""
+"""Story clusters: order-faithful leader clustering, records, merges, lineage, significance, reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweave.plans.durable import durable
+from newsweave.plans.durable import broadcast_if_small, durable
 from newsweave.plans.graph import connected_components
 
+MAX_BROADCAST_CLASSES = 500_000
+SIZED = 16  # sets of up to so many elements are joined by the sizes of both sides
+
+
+def set_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets: ``rep, set, n`` for each, and ``id, rep`` for each set of ``id, entity`` rows.
+
+    ``rep`` is the smallest id with that set. Only classes of several sets are looked up again, so a set that a
+    third of all ids share costs one row of the lookup.
+    """
+    shaped = durable(rows.where("id IS NOT NULL AND entity IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("entity")).alias("set")).withColumn("key", F.xxhash64("set")), "sets")
+    classes = durable(shaped.groupBy("key", "set").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "classes")
+    shared = broadcast_if_small(durable(classes.where("many > 1").select("key", "set", "rep"), "shared"), MAX_BROADCAST_CLASSES)
+    members = shaped.join(shared, ["key", "set"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return classes.select("rep", "set", F.size("set").alias("n")), members
+
+
+def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` (``a < b``) of different sets (``rep, set, n``) with Jaccard at or above ``threshold``.
+
+    Elements are ordered by rarity. Sets of sizes n and m must share ``t / (1 + t) * (n + m)`` elements, which
+    leaves a short prefix of each in which they must meet; small sets are keyed by element and both sizes, so that
+    sizes that cannot link never meet, larger ones by element and the prefix for any size. Only ids and sizes ride
+    along; sets are fetched for the pairs that met.
+    """
+    t = F.lit(threshold)
+    items = classes.select("rep", "n", F.explode("set").alias("entity"))
+    frequency = items.groupBy("entity").agg(F.count("*").alias("f"))
+    ordered = items.join(frequency, "entity").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "entity"))), lambda x: x["entity"]).alias("o"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9).cast("int"))
+    most = F.floor(F.col("n") / t + 1e-9).cast("int")
+    need = lambda m: F.ceil(t / (1 + t) * (F.col("n") + m) - 1e-9).cast("int")
+    possible = lambda m: (need(m) <= F.least(F.col("n"), m)) & ~((m == F.col("n")) & (need(m) >= m))  # noqa: E731  equal sizes that must share all are equal sets
+    none = F.array().cast("array<int>")
+    partners = F.when((F.col("n") <= SIZED) & (least <= F.least(most, F.lit(SIZED))), F.filter(F.sequence(least, F.least(most, F.lit(SIZED))), possible)).otherwise(none)
+    sized = ordered.select("rep", "n", "o", F.explode(partners).alias("m"))
+    sized = sized.select("rep", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - need(F.col("m")) + 1)).alias("entity"), F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), "m")
+    wide = ordered.where((F.col("n") > SIZED) | (most > SIZED)).select("rep", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - least + 1)).alias("entity"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("m"))
+    keys = durable(sized.unionByName(wide), "keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    same = (F.col("x.entity") == F.col("y.entity")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    sizes = F.when(F.col("x.hi") > 0, F.col("x.m") == F.col("y.n")).otherwise((F.greatest("x.n", "y.n") > SIZED) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9))
+    met = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & sizes).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    side = lambda s: classes.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}"), F.col("n").alias(f"n_{s}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``left_id, right_id, similarity`` of set pairs with Jaccard at or above ``threshold``.
+    """``left_id, right_id, similarity`` of set pairs with Jaccard at or above ``threshold``; sides are ``id, entity`` rows.
 
-    Sides are ``id, entity`` rows without repeats. Elements are ordered by rarity; a set's prefix of
-    ``n - ceil(threshold * n) + 1`` rarest elements must meet the other's prefix, so only prefixes are
-    joined. Sizes are bounded before sets are compared in full.
+    Equal sets of both sides are compared once; the result is every pair of their members.
     """
-    every = left.unionByName(right)
-    frequency = every.groupBy("entity").agg(F.count("*").alias("f"))
+    tagged = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), F.col("id").cast("long").alias("id")).alias("id"), "entity")
+    classes, members = set_classes(tagged(left, 0).unionByName(tagged(right, 1)))
+    near = durable(class_pairs(classes, threshold), "near")
+    every = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
+    side = lambda s, name, rep: members.where(F.col("id.side") == s).select(F.col("id.id").alias(name), F.col("rep").alias(rep))
+    return every.join(side(0, "left_id", "a"), "a").join(side(1, "right_id", "b"), "b").select("left_id", "right_id", "similarity")
 
-    def prepared(side: DataFrame, name: str) -> DataFrame:
-        ranked = side.join(frequency, "entity").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "entity"))).alias("s"))
-        return ranked.select(F.col("id").alias(f"{name}_id"), F.transform("s", lambda x: x["entity"]).alias(f"{name}_set"), F.size("s").alias(f"{name}_n"))
 
-    def prefixes(side: DataFrame, name: str) -> DataFrame:
-        length = F.col(f"{name}_n") - F.ceil(F.col(f"{name}_n") * F.lit(threshold) - 1e-9).cast("int") + 1
-        return side.withColumn("entity", F.explode(F.slice(F.col(f"{name}_set"), F.lit(1), length)))
+def _elected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The leaders among ``nodes`` (``id``): ids without an earlier neighbour (``id, before``) that leads.
 
-    a, b = prepared(left, "left"), prepared(right, "right")
-    small, large = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
-    met = prefixes(a, "left").join(prefixes(b, "right"), "entity").where(small >= threshold * large - 1e-9)
-    shared = F.size(F.array_intersect("left_set", "right_set"))
-    similarity = shared / (F.col("left_n") + F.col("right_n") - shared)
-    return met.withColumn("similarity", similarity).where(F.col("similarity") >= threshold - 1e-12).select("left_id", "right_id", "similarity").distinct()
+    Each round makes leaders of all nodes without earlier open neighbours, takes their neighbours out, and keeps
+    open nodes and the edges between them only, so rounds shrink; their number is logarithmic with high probability.
+    """
+    done = []
+    while nodes.limit(1).count():
+        waiting = edges.select("id").distinct()
+        leaders = durable(nodes.join(waiting, "id", "left_anti"), "leaders")
+        done.append(leaders)
+        led = edges.join(leaders.select(F.col("id").alias("before")), "before").select("id").distinct()
+        rest = durable(waiting.join(led, "id", "left_anti"), "open", replaces=nodes)
+        nodes = rest
+        edges = durable(edges.join(rest, "id", "left_semi").join(rest.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before"), "open-edges", replaces=edges)
+    elected = done[0] if done else nodes
+    for more in done[1:]:
+        elected = elected.unionByName(more)
+    return elected
 
 
 def leader_clusters(sets: DataFrame, threshold: float = 0.60, leaders: DataFrame | None = None) -> DataFrame:
@@ -42,42 +98,36 @@ def leader_clusters(sets: DataFrame, threshold: float = 0.60, leaders: DataFrame
     smaller one) if it reaches ``threshold``, else it becomes a leader whose id names the cluster. Existing
     ``leaders`` (``item, entity`` with their cluster ids as items) come before all others.
 
-    Equal sets collapse to their first item for the election of leaders; a later equal item may still find a
-    better leader. Rounds decide the election in parallel: an item with an earlier
-    neighbour that is a leader is a member; one whose earlier neighbours are all members is a leader
-    (greedy maximal independent set; the number of rounds is logarithmic with high probability).
+    Equal sets collapse to their first item for the election of leaders. A later equal item may still find a
+    better leader, so each set keeps the leaders that beat all smaller ones, few for each set, and an item takes
+    the last of them before it.
     """
-    fixed = leaders is not None
-    rows = sets.where("item IS NOT NULL AND entity IS NOT NULL").distinct()
-    shaped = rows.groupBy("item").agg(F.array_sort(F.collect_list("entity")).alias("set"))
-    firsts = shaped.groupBy("set").agg(F.min("item").alias("first"))
-    items = durable(shaped.join(firsts, "set").select("item", "first", "set"), "items")
-    distinct = items.where("item = first").select(F.col("item").alias("id"), F.explode("set").alias("entity"))
-    around = durable(jaccard_pairs(distinct, distinct, threshold).where("left_id <> right_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("before"), "similarity"), "near")
-    near = around.where("before < id")
-    nodes = distinct.select("id").distinct()
-    state = nodes.withColumn("state", F.lit("open"))
+    classes, members = set_classes(sets.select(F.col("item").alias("id"), "entity"))
+    near = durable(class_pairs(classes, threshold), "near")
+    nodes = classes.select(F.col("rep").alias("id"))
     old = None
-    if fixed:
+    if leaders is not None:
         known = leaders.select(F.col("item").alias("id"), "entity").distinct()
-        old = durable(jaccard_pairs(distinct, known, threshold).select(F.col("left_id").alias("id"), F.col("right_id").alias("cluster_id"), "similarity"), "old")
-        state = nodes.join(old.select("id").distinct().withColumn("state", F.lit("member")), "id", "left").select("id", F.coalesce("state", F.lit("open")).alias("state"))
-    state = durable(state, "state")
-    while state.where("state = 'open'").limit(1).count():
-        before = near.join(state.select(F.col("id").alias("before"), F.col("state").alias("theirs")), "before")
-        seen = before.groupBy("id").agg(F.bool_or(F.col("theirs") == "leader").alias("led"), F.bool_or(F.col("theirs") == "open").alias("waits"))
-        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("led"), "member").when(F.col("waits"), "open").otherwise("leader")
-        state = durable(state.join(seen, "id", "left").select("id", decided.alias("state")), "state")
-    leader_ids = state.where("state = 'leader'").select(F.col("id").alias("before"))
-    members = items.join(state.where("state = 'member'"), items["first"] == F.col("id")).select("item", "id")
-    led = around.join(leader_ids, "before").select("id", F.col("before").alias("cluster_id"), "similarity", F.lit(1).alias("kind"))
-    led = members.join(led, "id").where("cluster_id < item")
-    if fixed:
-        led = led.unionByName(members.join(old.withColumn("kind", F.lit(0)), "id"))
-    best = Window.partitionBy("item").orderBy(F.desc("similarity"), "kind", "cluster_id")
-    joined = led.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("item", "cluster_id", "similarity")
-    own = items.join(leader_ids, items["first"] == F.col("before")).select("item", F.col("before").alias("cluster_id"), F.lit(1.0).alias("similarity"))
-    return joined.unionByName(own)
+        mine = classes.select(F.col("rep").alias("id"), F.explode("set").alias("entity"))
+        best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
+        old = jaccard_pairs(mine, known, threshold).withColumn("r", F.row_number().over(best)).where("r = 1")
+        old = durable(old.select(F.col("left_id").alias("rep"), F.col("right_id").alias("cluster_id"), "similarity", F.lit(0).alias("kind")), "old")
+        nodes = nodes.join(old.select(F.col("rep").alias("id")), "id", "left_anti")
+    nodes = durable(nodes, "nodes")
+    edges = near.select(F.col("b").alias("id"), F.col("a").alias("before"))
+    edges = edges.join(nodes, "id", "left_semi").join(nodes.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before") if leaders is not None else edges
+    elected = durable(_elected(nodes, durable(edges, "open-edges")), "elected")
+    leading = elected.select(F.col("id").alias("cluster_id"))
+    around = near.select(F.col("a").alias("rep"), F.col("b").alias("cluster_id"), "similarity").unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("cluster_id"), "similarity"))
+    led = around.join(leading, "cluster_id").join(elected.select(F.col("id").alias("rep")), "rep", "left_anti").select("rep", "cluster_id", "similarity")
+    before = Window.partitionBy("rep").orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)
+    records = led.withColumn("most", F.max("similarity").over(before)).where("most IS NULL OR similarity > most").select("rep", "cluster_id", "similarity", F.lit(1).alias("kind"))
+    if old is not None:
+        records = records.unionByName(old)
+    own = elected.select(F.col("id").alias("rep"), F.col("id").alias("cluster_id"), F.lit(1.0).alias("similarity"), F.lit(1).alias("kind"))
+    options = members.join(records.unionByName(own), "rep").where("kind = 0 OR cluster_id <= id")
+    choice = F.min_by(F.struct("cluster_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), "kind", "cluster_id"))
+    return options.groupBy(F.col("id").alias("item")).agg(choice.alias("c")).select("item", "c.cluster_id", "c.similarity")
 
 
 def best_cluster(sets: DataFrame, clusters: DataFrame, threshold: float = 0.60) -> DataFrame:
@@ -88,9 +138,12 @@ def best_cluster(sets: DataFrame, clusters: DataFrame, threshold: float = 0.60)
 
 
 def merge_groups(cluster_sets: DataFrame, ratio: float = 0.60) -> DataFrame:
-    """``cluster_id, group_id``: clusters connected by overlaps of at least ``ratio``; lone clusters are left out."""
-    pairs = jaccard_pairs(cluster_sets, cluster_sets, ratio).where("left_id < right_id")
-    return connected_components(pairs, "left_id", "right_id").select(F.col("node").alias("cluster_id"), F.col("label").alias("group_id"))
+    """``cluster_id, group_id``: clusters (``id, entity``) connected by overlaps of at least ``ratio``; lone ones are left out."""
+    classes, members = set_classes(cluster_sets)
+    labels = connected_components(class_pairs(classes, ratio), "a", "b")
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias("cluster_id"), F.coalesce("label", "rep").alias("group_id"))
+    many = named.groupBy("group_id").count().where("count > 1").select("group_id")
+    return named.join(many, "group_id").select("cluster_id", "group_id")
 
 
 def close_in_time(pairs: DataFrame, latest: DataFrame, days: int) -> DataFrame:
@@ -99,6 +152,33 @@ def close_in_time(pairs: DataFrame, latest: DataFrame, days: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.datediff("latest_a", "latest_b")) <= days).drop("latest_a", "latest_b")
 
 
+def cluster_records(assignments: DataFrame, sets: DataFrame, times: DataFrame, summaries: DataFrame | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """One record per cluster, derived from its history instead of counters that are kept up to date.
+
+    ``assignments``: ``cluster_id, article_id, similarity``; ``sets``: ``cluster_id, entity``; ``times``: ``article_id,
+    added_at``; ``summaries``: ``cluster_id, written_at, summary`` for every summary written; ``merges``: ``source_id``.
+    Columns: ``cluster_id, created_at, updated_at, primary_entity_ids, article_count, summary, summary_version,
+    needs_summary_update, status``. A summary is due when an article came after the last one, or there is none.
+    """
+    articles = assignments.select("cluster_id", "article_id").distinct().join(times, "article_id").groupBy("cluster_id").agg(F.min("added_at").alias("created_at"), F.max("added_at").alias("updated_at"), F.count("*").alias("article_count"))
+    entities = sets.groupBy("cluster_id").agg(F.array_sort(F.collect_set("entity")).alias("primary_entity_ids"))
+    rows = entities.join(articles, "cluster_id", "full_outer")
+    if summaries is not None:
+        last = summaries.groupBy("cluster_id").agg(F.max_by("summary", "written_at").alias("summary"), F.max("written_at").alias("written_at"), F.count("*").alias("summary_version"))
+        rows = rows.join(last, "cluster_id", "left")
+    else:
+        rows = rows.withColumns({"summary": F.lit(None).cast("string"), "written_at": F.lit(None).cast("timestamp_ntz"), "summary_version": F.lit(0).cast("long")})
+    if merges is not None:
+        rows = rows.join(merges.select(F.col("source_id").alias("cluster_id"), F.lit("merged").alias("merged")).distinct(), "cluster_id", "left")
+    else:
+        rows = rows.withColumn("merged", F.lit(None).cast("string"))
+    due = F.col("written_at").isNull() | F.coalesce(F.col("updated_at") > F.col("written_at"), F.lit(False))
+    return rows.select(
+        "cluster_id", "created_at", "updated_at", F.coalesce("primary_entity_ids", F.array().cast(sets.select(F.array("entity")).schema[0].dataType)).alias("primary_entity_ids"), F.coalesce("article_count", F.lit(0)).alias("article_count"),
+        "summary", F.coalesce("summary_version", F.lit(0)).alias("summary_version"), due.alias("needs_summary_update"), F.coalesce("merged", F.lit("active")).alias("status"),
+    )
+
+
 def merge_clusters(groups: DataFrame, mappings: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The merge's new mappings, entity sets and lineage edges.
 
@@ -112,6 +192,52 @@ def merge_clusters(groups: DataFrame, mappings: DataFrame, sets: DataFrame) -> t
     return moved, union, edges
 
 
+def repointed(articles: DataFrame, edges: DataFrame) -> DataFrame:
+    """``articles`` with a ``cluster_id`` that was merged replaced by its final destination."""
+    final = lineage(edges).select(F.col("source_id").alias("cluster_id"), "final_id").distinct()
+    return articles.join(final, "cluster_id", "left").withColumn("cluster_id", F.coalesce("final_id", "cluster_id")).select(*articles.columns)
+
+
+def check_and_merge(changed: DataFrame, cluster_sets: DataFrame, mappings: DataFrame, ratio: float = 0.60, latest: DataFrame | None = None, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge after an assignment: groups that hold a cluster of ``changed`` (``cluster_id``), as ``merge_clusters`` gives them.
+
+    With ``latest`` (``cluster_id, latest``) only groups stand whose clusters were all last active within ``days`` days.
+    """
+    groups = merge_groups(cluster_sets.select(F.col("cluster_id").alias("id"), "entity"), ratio)
+    touched = groups.join(changed.select("cluster_id").distinct(), "cluster_id", "left_semi").select("group_id").distinct()
+    groups = groups.join(touched, "group_id", "left_semi")
+    if latest is not None:
+        span = groups.join(latest, "cluster_id").groupBy("group_id").agg(F.datediff(F.max("latest"), F.min("latest")).alias("span"))
+        groups = groups.join(span.where(F.col("span") <= days), "group_id", "left_semi")
+    return merge_clusters(durable(groups, "merge"), mappings, cluster_sets)
+
+
+def merge_sources(edges: DataFrame) -> DataFrame:
+    """``target_id, sources``: the clusters merged into each cluster, in order."""
+    return edges.groupBy("target_id").agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
+
+
+def cluster_entities(sets: DataFrame, entities: DataFrame) -> DataFrame:
+    """``cluster_id, entity_id, name, type`` of the entities of each cluster that are known."""
+    return sets.select("cluster_id", F.col("entity").alias("entity_id")).distinct().join(entities.select("entity_id", "name", "type"), "entity_id").select("cluster_id", "entity_id", "name", "type")
+
+
+def cluster_report(clusters: DataFrame, sets: DataFrame, entities: DataFrame, mappings: DataFrame, articles: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """Each cluster (``cluster_id, status``) with its destination, sources, entities and top articles as nested lists."""
+    named = cluster_entities(sets, entities).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("type", "name", "entity_id"))).alias("entities"))
+    shown = F.struct("rank", "article_id", F.coalesce("title", F.lit("Untitled")).alias("title"), F.coalesce(F.date_format("pub_date", "yyyy-MM-dd"), F.lit("Unknown")).alias("date"))
+    best = top_articles(mappings, articles, k).groupBy("cluster_id").agg(F.array_sort(F.collect_list(shown)).alias("articles"))
+    into = edges.groupBy(F.col("source_id").alias("cluster_id")).agg(F.min("target_id").alias("merged_into"))
+    sources = merge_sources(edges).select(F.col("target_id").alias("cluster_id"), F.col("sources").alias("merged_from"))
+    rows = clusters.join(into, "cluster_id", "left").join(sources, "cluster_id", "left").join(named, "cluster_id", "left").join(best, "cluster_id", "left")
+    return rows.select("cluster_id", "status", "merged_into", *[F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("merged_from", "entities", "articles")])
+
+
+def existing_clusters(ids: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The ids (``cluster_id``) that name a cluster."""
+    return ids.join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+
+
 def lineage(edges: DataFrame) -> DataFrame:
     """``source_id, target_id, final_id, hops``: one-hop and final destination by pointer jumping."""
     paths = durable(edges.select("source_id", F.col("target_id").alias("final_id"), F.lit(1).alias("hops")), "paths")
@@ -145,7 +271,16 @@ def top_articles(mappings: DataFrame, articles: DataFrame, k: int) -> DataFrame:
 
 
 def summary_input(mappings: DataFrame, articles: DataFrame, k: int = 10) -> DataFrame:
-    """``cluster_id, lines``: numbered article lines for a summary."""
+    """``cluster_id, lines``: numbered article lines for a summary, each followed by the article's own summary if ``articles`` has one."""
     line = F.format_string("Article %d: [%s] %s", F.col("rank"), F.date_format("pub_date", "yyyy-MM-dd"), F.coalesce("title", F.lit("Untitled")))
+    if "tiny_summary" in articles.columns:
+        line = F.concat(line, F.lit("\n"), F.coalesce("tiny_summary", F.lit("")))
     top = top_articles(mappings, articles, k).withColumn("line", line)
     return top.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def summary_entities(sets: DataFrame, entities: DataFrame, types: tuple[str, ...] = ("PERSON", "ORGANIZATION", "LOCATION", "EVENT")) -> DataFrame:
+    """``cluster_id`` and, for each type, the names of the cluster's entities in order."""
+    rows = cluster_entities(sets, entities)
+    lists = [F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("name")))).alias(kind.lower()) for kind in types]
+    return rows.groupBy("cluster_id").agg(*lists)

@@ -13,6 +13,18 @@ def unseen(queue: DataFrame, seen: DataFrame, key: str = "normalized_url") -> Da
     return queue.where(F.col(key).isNotNull()).join(seen.select(key).distinct(), key, "left_anti")
 
 
+def cleaned_queue(queue: DataFrame, articles: DataFrame, key: str = "normalized_url") -> tuple[DataFrame, DataFrame]:
+    """The queue without rows that are articles already, and one row with the number of rows that went (``affected``)."""
+    known = articles.select(key).distinct()
+    return queue.join(known, key, "left_anti"), queue.join(known, key, "left_semi").agg(F.count("*").alias("affected"))
+
+
+def taken(queue: DataFrame, n: int, order: str = "oldest", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The next ``n`` rows of the queue and the rest of it."""
+    first = next_in_queue(queue, n, order, seed)
+    return first, queue.join(first.select("normalized_url"), "normalized_url", "left_anti")
+
+
 def next_in_queue(queue: DataFrame, n: int, order: str = "oldest", seed: int = 0) -> DataFrame:
     """The next ``n`` rows: oldest or newest first, or in a seeded random order; ties by key."""
     by = {"oldest": [F.asc("seen_at")], "newest": [F.desc("seen_at")], "random": [F.xxhash64("normalized_url", F.lit(seed))]}[order]
@@ -28,15 +40,20 @@ def mixed_draw(queue: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return first.unionByName(second).unionByName(next_in_queue(rest, n - newest - oldest, "random", seed))
 
 
-def queue_inserts(entries: DataFrame, queue: DataFrame, articles: DataFrame) -> DataFrame:
-    """Entries that are in neither table, one for each key (the first seen)."""
-    fresh = entries.where("normalized_url IS NOT NULL")
+def queue_inserts(entries: DataFrame, queue: DataFrame, articles: DataFrame, key: str = "normalized_url") -> DataFrame:
+    """Entries that are in neither table, one for each ``key`` (the first seen): a URL key for feeds, ``article_url`` for verdict queues."""
+    fresh = entries.where(F.col(key).isNotNull())
     for known in (queue, articles):
-        fresh = fresh.join(known.select("normalized_url").distinct(), "normalized_url", "left_anti")
-    first = Window.partitionBy("normalized_url").orderBy("seen_at", "url")
+        fresh = fresh.join(known.select(key).distinct(), key, "left_anti")
+    first = Window.partitionBy(key).orderBy("seen_at", *["url"] if "url" in entries.columns else [])
     return fresh.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
 
 
+def unseen_titles(items: DataFrame, articles: DataFrame) -> DataFrame:
+    """Items whose title on that domain is not known yet; a known one is a duplicate even if its text differs."""
+    return items.join(articles.select("title_domain_hash").where("title_domain_hash IS NOT NULL").distinct(), "title_domain_hash", "left_anti")
+
+
 def age_route(published: Column, as_of: Column, days: int) -> Column:
     """``stale`` when older than ``days``, else ``queue``; an unknown age passes."""
     return F.when(published < as_of - F.expr(f"INTERVAL {days} DAYS"), "stale").otherwise("queue")

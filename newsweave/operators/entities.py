@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def candidate_dates(articles: DataFrame) -> DataFrame:
+    """``article_id, day, from_day``: a candidate counts by its event date, else its publication date; a source by the latter."""
+    published = F.col("pub_date").cast("date")
+    event = F.try_to_timestamp(F.substring(F.col("event_date").cast("string"), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    return articles.select(F.col("id").alias("article_id"), F.coalesce(event, published).alias("day"), published.alias("from_day"))
+
+
 def entity_candidates(links: DataFrame, sources: DataFrame, dates: DataFrame | None = None, window: tuple[int, int] = (14, 1), limit: int = 10) -> DataFrame:
     """Articles that share entities with each source article, ranked.
 
@@ -13,17 +20,26 @@ def entity_candidates(links: DataFrame, sources: DataFrame, dates: DataFrame | N
     day, from_day``; given, a candidate's ``day`` must lie from ``window[0]`` days before to ``window[1]``
     days after the source's ``from_day``. The score is 0.7 of the share of primary hits and 0.3 of the
     share of all hits among the source's entities. Ties fall to the smaller article id.
+
+    With dates the join is on entity and stretch of days: a source looks into the two stretches that its window
+    meets, so an entity that many articles have is met a stretch at a time, not over all of history.
     """
     mine = links.join(sources.select("article_id").distinct(), "article_id", "left_semi").select(F.col("article_id").alias("source_id"), "entity_id")
     number = mine.groupBy("source_id").agg(F.count("*").alias("n"))
     theirs = links.select(F.col("article_id").alias("target_id"), "entity_id", (F.col("importance") == "PRIMARY").cast("int").alias("primary"))
+    keys = ["entity_id"]
     if dates is not None:
-        own = dates.select(F.col("article_id").alias("source_id"), "from_day")
-        other = dates.select(F.col("article_id").alias("target_id"), "day")
-        mine, theirs = mine.join(own, "source_id"), theirs.join(other, "target_id")
-    pairs = mine.join(theirs, "entity_id").where("source_id <> target_id")
+        length = window[0] + window[1] + 1
+        stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / length)
+        first, last = F.date_sub("from_day", window[0]), F.date_add("from_day", window[1])
+        own = dates.where("from_day IS NOT NULL").select(F.col("article_id").alias("source_id"), first.alias("since"), last.alias("until"))
+        other = dates.where("day IS NOT NULL").select(F.col("article_id").alias("target_id"), "day")
+        mine = mine.join(own, "source_id").withColumn("stretch", F.explode(F.sequence(stretch(F.col("since")), stretch(F.col("until")))))
+        theirs = theirs.join(other, "target_id").withColumn("stretch", stretch(F.col("day")))
+        keys.append("stretch")
+    pairs = mine.join(theirs, keys).where("source_id <> target_id")
     if dates is not None:
-        pairs = pairs.where(F.col("day").between(F.date_sub("from_day", window[0]), F.date_add("from_day", window[1])))
+        pairs = pairs.where(F.col("day").between(F.col("since"), F.col("until")))
     counted = pairs.groupBy("source_id", "target_id").agg(F.sum("primary").alias("primary_count"), F.count("*").alias("total_count"))
     best = Window.partitionBy("source_id").orderBy(F.desc("primary_count"), F.desc("total_count"), "target_id")
     ranked = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
@@ -31,25 +47,56 @@ def entity_candidates(links: DataFrame, sources: DataFrame, dates: DataFrame | N
     return ranked.join(number, "source_id").select("source_id", "target_id", "primary_count", "total_count", score.alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def entity_lists(links: DataFrame, names: DataFrame) -> DataFrame:
-    """Per article its entities in order of importance (as text), type and name, and counts by importance."""
-    rows = links.join(names, "entity_id")
-    listed = F.array_sort(F.collect_list(F.struct("importance", "type", "name", "entity_id")))
+def explained(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """``entity_candidates`` with quality 0 and the formula of the score in words."""
+    number = links.groupBy(F.col("article_id").alias("source_id")).agg(F.count("*").alias("n"))
+    text = F.format_string("Entity-based score: 70%% primary entities (%d of %d) + 30%% total entities (%d of %d)", "primary_count", "n", "total_count", "n")
+    return candidates.join(number, "source_id").select(*candidates.columns, F.lit(0).alias("quality"), text.alias("formula"))
+
+
+def source_entities(wanted: DataFrame, links: DataFrame) -> DataFrame:
+    """``source_id, entity_id, importance`` of listed entities: as the source article has them, else PRIMARY."""
+    own = links.select(F.col("article_id").alias("source_id"), "entity_id", "importance")
+    return wanted.select("source_id", "entity_id").distinct().join(own, ["source_id", "entity_id"], "left").withColumn("importance", F.coalesce("importance", F.lit("PRIMARY")))
+
+
+def entity_lists(links: DataFrame, names: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Per article its entities in order of importance (as text), type and name, and counts by importance.
+
+    An entity's matching name is its name in lower case. Entities without a name row are counted and not
+    listed. With ``dates`` (``article_id, event_date``) the event date comes along.
+    """
+    rows = links.join(names, "entity_id", "left")
+    item = F.struct("importance", "type", "name", "entity_id", F.lower("name").alias("match_name"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), item)))
     counts = [F.count_if(F.col("importance") == level).alias(f"n_{level.lower()}") for level in ("PRIMARY", "SECONDARY", "MENTIONED")]
-    return rows.groupBy("article_id").agg(listed.alias("entities"), *counts)
+    lists = rows.groupBy("article_id").agg(listed.alias("entities"), *counts)
+    return lists if dates is None else lists.join(dates.select("article_id", "event_date"), "article_id", "left")
+
+
+def shared_names(pairs: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
+    """``source_id, target_id, name, type``: entities that both articles of a pair have, by lower-cased name."""
+    rows = links.join(names, "entity_id").select("article_id", F.lower("name").alias("name"), "type")
+    side = lambda s: rows.select(F.col("article_id").alias(s), "name", F.col("type").alias(f"{s}_type"))
+    both = pairs.select("source_id", "target_id").join(side("source_id"), "source_id").join(side("target_id").drop("target_id_type"), ["target_id", "name"], "left_semi")
+    return both.select("source_id", "target_id", "name", F.col("source_id_type").alias("type")).distinct()
 
 
 def type_histogram(links: DataFrame, names: DataFrame, types: list[str]) -> DataFrame:
     return links.join(names, "entity_id").groupBy("article_id").pivot("type", types).count().na.fill(0)
 
 
-def without_entities(articles: DataFrame, links: DataFrame) -> DataFrame:
-    return articles.join(links.select(F.col("article_id").alias("id")).distinct(), "id", "left_anti")
+def without_entities(articles: DataFrame, links: DataFrame, start_id: int | None = None, limit: int | None = None) -> DataFrame:
+    """Analysed articles that have no entities, by id from ``start_id`` on; ``analysis`` may not be null where there is one."""
+    rows = articles.where("analysis IS NOT NULL") if "analysis" in articles.columns else articles
+    rows = rows if start_id is None else rows.where(F.col("id") >= start_id)
+    rows = rows.join(links.select(F.col("article_id").alias("id")).distinct(), "id", "left_anti")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 def unclustered_with_entities(articles: DataFrame, links: DataFrame) -> DataFrame:
-    """Articles that have entities and no cluster."""
-    return articles.where("cluster_id IS NULL").join(links.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi")
+    """Articles that have entities and no cluster, newest id first."""
+    return articles.where("cluster_id IS NULL").join(links.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi").orderBy(F.desc("id"))
 
 
 def with_entities_since(articles: DataFrame, links: DataFrame, since: str, limit: int = 5000) -> DataFrame:

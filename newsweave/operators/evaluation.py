@@ -7,25 +7,60 @@ from pyspark.sql import functions as F
 
 
 def same_day_pairs(articles: DataFrame, per_day: int = 5) -> DataFrame:
-    """Up to ``per_day`` pairs per day: of each day's ids in order, every one with its next.
+    """Up to ``per_day`` pairs of each day's articles: the first with all later ones, then the second, and so on.
 
-    Neighbouring ids pair up, so a day of n articles yields n - 1 pairs to choose from, never all of them.
+    The first ``per_day`` pairs in that order need no more than the first ``per_day + 1`` articles of a day, so
+    only those are paired.
     """
-    day = F.col("pub_date").cast("date").alias("day")
-    follow = Window.partitionBy("day").orderBy("id")
-    rows = articles.where("pub_date IS NOT NULL").select("id", day).withColumn("target_id", F.lead("id").over(follow)).withColumn("rank", F.row_number().over(follow))
-    return rows.where(F.col("target_id").isNotNull() & (F.col("rank") <= per_day)).select("day", F.col("id").alias("source_id"), "target_id")
-
-
-def random_pairs(articles: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` pairs of neighbours in a seeded random order; unordered and unique."""
-    slots = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4096))
-    order = Window.partitionBy("slot").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id")
-    rows = articles.select("id", slots.alias("slot")).withColumn("other", F.lead("id").over(order)).where("other IS NOT NULL")
-    pairs = rows.select(F.least("id", "other").alias("source_id"), F.greatest("id", "other").alias("target_id"))
+    order = Window.partitionBy("day").orderBy("id")
+    ids = articles.where("pub_date IS NOT NULL").select("id", F.col("pub_date").cast("date").alias("day")).distinct()
+    few = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_day + 1)
+    pairs = few.select("day", F.col("id").alias("source_id"), F.col("rank").alias("a")).join(few.select("day", F.col("id").alias("target_id"), F.col("rank").alias("b")), "day").where("a < b")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy("a", "b")))
+    return ranked.where(F.col("rank") <= per_day).select("day", "source_id", "target_id")
+
+
+def random_pairs(articles: DataFrame, n: int, seed: int = 0, slot_rows: int = 4096) -> DataFrame:
+    """``n`` different unordered pairs (fewer if there are not as many), drawn by ``seed``.
+
+    Articles are dealt at random into slots of about ``slot_rows`` and put into random order there; neighbours
+    pair up. Every turn of dealing gives about as many pairs as there are articles, so few turns are enough.
+    """
+    count = articles.count()
+    if count < 2:
+        return articles.select(F.col("id").alias("source_id"), F.col("id").alias("target_id")).limit(0)
+    turns = -(-2 * n // count) + 1
+    slots = max(1, count // slot_rows)
+    rows = articles.select("id").distinct().withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", "turn", F.lit(seed)), F.lit(slots)))
+    order = Window.partitionBy("turn", "slot").orderBy(F.xxhash64("id", "turn", F.lit(seed + 1)), "id")
+    found = rows.withColumn("other", F.lead("id").over(order)).where("other IS NOT NULL")
+    pairs = found.select(F.least("id", "other").alias("source_id"), F.greatest("id", "other").alias("target_id")).distinct()
     return pairs.orderBy(F.xxhash64("source_id", "target_id", F.lit(seed)), "source_id", "target_id").limit(n)
 
 
+def pair_set(articles: DataFrame, n: int, per_day: int = 5, seed: int = 0) -> DataFrame:
+    """Same-day pairs, filled up with random pairs to ``n`` unordered pairs where there are fewer."""
+    near = same_day_pairs(articles, per_day).select("source_id", "target_id")
+    lacking = max(0, n - near.count())
+    if not lacking:
+        return near
+    known = near.select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"))
+    more = random_pairs(articles, 2 * n, seed).join(known, ["source_id", "target_id"], "left_anti")
+    return near.unionByName(more.orderBy(F.xxhash64("source_id", "target_id", F.lit(seed)), "source_id", "target_id").limit(lacking))
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """A pair list as headed CSV, as ``pair_list`` reads it."""
+    have = [c for c in ("source_id", "target_id", "expected") if c in pairs.columns]
+    pairs.select(*have).write.csv(path, header=True)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """The rows of ``result_rows`` as headed CSV."""
+    result_rows(results).write.csv(path, header=True)
+
+
 def pair_list(lines: DataFrame) -> DataFrame:
     """``source_id, target_id, expected`` from CSV text rows (``value``); a header and broken lines go."""
     parts = F.split("value", ",")
@@ -51,6 +86,7 @@ def reason_histogram(results: DataFrame) -> DataFrame:
     return results.where("NOT is_match").groupBy(key.alias("reason")).agg(F.count("*").alias("pairs"))
 
 
+# The columns of the result file.
 RESULT_COLUMNS = (
     "source_id", "target_id", "match_status", "combined_score", "vector_score", "entity_score", "shared_entities", "primary_shared",
     "person_overlap", "org_overlap", "location_overlap", "event_overlap", "reason", "expected_match", "expected_vs_actual",

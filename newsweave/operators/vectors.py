@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweave.functions import text as T
+
 LEAST_NORM = 0.001
 
 
@@ -48,35 +52,87 @@ def mean_pool(tokens: DataFrame) -> DataFrame:
     return pooled.select("id", F.when(norm(F.col("v")) > 0, F.transform("v", lambda x: x / norm(F.col("v")))).otherwise(F.col("v")).alias("embedding"))
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, query_block: int = 512) -> DataFrame:
+def recent(vectors: DataFrame, as_of: str, days: int = 14, column: str = "published") -> DataFrame:
+    """Vectors published after ``days`` days before ``as_of``; the filter reaches the scan."""
+    return vectors.where(F.col(column) > T.as_time(as_of) - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def repair_rows(articles: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """``id, status, text, pub_date, event_date, category, quality`` of articles whose vector is missing or not usable."""
+    from newsweave.operators.articles import article_details, article_text
+
+    found = articles.select("id", "pub_date").join(vectors.select("id", "embedding"), "id", "left").select("id", "pub_date", vector_status(F.col("embedding"), size).alias("status")).where("status <> 'ok'")
+    details = article_details(articles).select("id", "event_date", "category", "quality")
+    return found.join(article_text(articles), "id").join(details, "id").select("id", "status", "text", "pub_date", "event_date", "category", "quality")
+
+
+def listed_pairs(vectors: DataFrame) -> DataFrame:
+    """``a, b, score`` for all pairs (``a < b``) of a short list of vectors: a check of a handful of ids, not a search."""
+    side = lambda s: vectors.select(F.col("id").alias(s), F.col("embedding").alias(f"e_{s}"))
+    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("e_a"), F.col("e_b")).alias("score"))
+
+
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, part_rows: int = 1 << 16) -> DataFrame:
     """Exact top ``k`` of ``corpus`` (``id, embedding``) by cosine for each row of ``queries``, self excluded.
 
-    Queries are dealt into blocks of about ``query_block`` rows; every task multiplies its part of the
-    corpus with one block at a time and passes on its own best ``k`` per query, so the final ranking sees
-    at most k rows per query and task. Nothing is collected: blocks reach the tasks through a shuffle by
-    (block, part), each of them bounded. Ties fall to the smaller id.
+    The corpus is dealt once into parts of about ``part_rows`` vectors; every query goes to every part. Within a
+    partition a part's vectors come first and make one matrix, then queries stream past it in Arrow batches and
+    leave their best ``k`` of the part, so memory holds one part and one batch. Vectors of different lengths
+    never meet. Ties fall to the smaller id.
     """
-    spark = queries.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    usable = lambda df: df.where(norm(F.col("embedding")) >= LEAST_NORM).select("id", "embedding")
-    count = max(1, -(-queries.count() // query_block))
-    q = usable(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"), F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias("block"))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = usable(corpus).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-
-    def block_scores(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"source_id": pd.Series(dtype="int64"), "target_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        a = np.stack(left["query"].to_numpy()).astype(np.float64)
-        b = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        scores = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-        names, own = right["id"].to_numpy(), left["query_id"].to_numpy()
+    usable = lambda df: df.where(norm(F.col("embedding")) >= LEAST_NORM).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
+    parts = max(1, -(-corpus.count() // part_rows))
+    c = usable(corpus).select("dim", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "embedding")
+    q = usable(queries).select("dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "id", "embedding")
+    rows = c.unionByName(q).repartition(max(parts, 1), "dim", "part").sortWithinPartitions("dim", "part", "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, matrix, held = None, None, None, []
+        for batch in batches:
+            dims, numbers, kinds, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
+            values = batch.column(4)
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if lo == hi:
+                    continue
+                block = values.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, int(dims[lo]))
+                block = block / np.linalg.norm(block, axis=1, keepdims=True)
+                if at != (dims[lo], numbers[lo]):
+                    at, names, matrix, held = (dims[lo], numbers[lo]), None, None, []
+                if kinds[lo] == 0:
+                    held.append((ids[lo:hi], block))
+                    continue
+                if matrix is None and held:
+                    names, matrix, held = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), []
+                if matrix is not None:
+                    yield from _best(ids[lo:hi], block, names, matrix, k, threshold)
+
+    found = rows.mapInArrow(search, "source_id long, target_id long, score double")
+    best = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def _best(ids: np.ndarray, block: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int, threshold: float, at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` rows of ``matrix`` for each row of ``block``."""
+    for lo in range(0, len(ids), at_once):
+        own = ids[lo : lo + at_once]
+        scores = block[lo : lo + at_once] @ matrix.T
         scores[own[:, None] == names[None, :]] = -2.0
         rows, cols = np.nonzero(scores >= threshold)
-        found = pd.DataFrame({"source_id": own[rows], "target_id": names[cols], "score": scores[rows, cols]})
-        return found.sort_values(["source_id", "score", "target_id"], ascending=[True, False, True]).groupby("source_id").head(k)
+        found = scores[rows, cols]
+        order = np.lexsort((names[cols], -found, rows))
+        rows, cols, found = rows[order], cols[order], found[order]
+        first = np.searchsorted(rows, rows)
+        keep = np.arange(len(rows)) - first < k
+        yield pa.RecordBatch.from_arrays([pa.array(own[rows[keep]]), pa.array(names[cols[keep]]), pa.array(found[keep])], ["source_id", "target_id", "score"])
 
-    found = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInPandas(block_scores, "source_id long, target_id long, score double")
-    best = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+def similar_by_vector(queries: DataFrame, corpus: DataFrame, as_of: str, k: int = 10, threshold: float = 0.80, days: int = 14) -> DataFrame:
+    """``source_id, target_id, score, quality, position``: the best ``k`` recent vectors of each query, best quality first.
+
+    ``corpus``: ``id, embedding, published, quality``. Among equal qualities the higher score comes first.
+    """
+    hits = cosine_top_k(queries, recent(corpus, as_of, days), k, threshold)
+    rows = hits.join(corpus.select(F.col("id").alias("target_id"), F.coalesce("quality", F.lit(0)).alias("quality")), "target_id")
+    order = Window.partitionBy("source_id").orderBy(F.desc("quality"), "rank")
+    return rows.select("source_id", "target_id", "score", "quality", F.row_number().over(order).cast("long").alias("position"))

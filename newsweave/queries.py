@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +18,15 @@ from newsweave.operators import matching as MA
 from newsweave.operators import routing as RO
 from newsweave.operators import similarity as SI
 from newsweave.operators import vectors as VE
+from newsweave.registry import ORACLE, QUERIES, query  # noqa: F401
 from newsweave.sources import bindings as B
 from newsweave.sources import feeds as FE
 from newsweave.sources import pages as PG
 from newsweave.streaming import pipelines as ST
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 AS_OF = B.AS_OF
 
 
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
 # --- entities -----------------------------------------------------------------------------------------
 
 @query(f"""WITH {B.ARTICLES_SQL}, {B.ARTICLE_ENTITIES_SQL},
@@ -60,13 +47,15 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EN.entity_candidates(B.article_entities(spark, sf_dir), sources, dates)
 
 
-@query(f"""WITH {B.ARTICLE_ENTITIES_SQL}, e AS (SELECT s_suppkey AS entity_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS type FROM supplier)
-SELECT article_id, count_if(importance = 'PRIMARY')::BIGINT AS n_primary, count_if(importance = 'SECONDARY')::BIGINT AS n_secondary, count_if(importance = 'MENTIONED')::BIGINT AS n_mentioned,
-string_agg(importance || ':' || type || ':' || name, '|' ORDER BY importance, type, name, entity_id) AS listed FROM article_entity JOIN e USING (entity_id) GROUP BY article_id""")
+@query(f"""WITH {B.ARTICLE_ENTITIES_SQL}, e AS (SELECT s_suppkey AS entity_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN 'PERSON' ELSE 'ORGANIZATION' END AS type FROM supplier WHERE s_suppkey % 10 <> 3)
+SELECT article_id, o_orderdate::DATE AS event_date, count_if(importance = 'PRIMARY')::BIGINT AS n_primary, count_if(importance = 'SECONDARY')::BIGINT AS n_secondary, count_if(importance = 'MENTIONED')::BIGINT AS n_mentioned,
+coalesce(string_agg(importance || ':' || type || ':' || lower(name), '|' ORDER BY importance, type, name, entity_id) FILTER (WHERE name IS NOT NULL), '') AS listed
+FROM article_entity LEFT JOIN e USING (entity_id) LEFT JOIN orders ON o_orderkey = article_id GROUP BY article_id, o_orderdate""")
 def article_entity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = EN.entity_lists(B.article_entities(spark, sf_dir), _supplier_names(spark, sf_dir))
-    listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["importance"], e["type"], e["name"])), "|")
-    return rows.select("article_id", "n_primary", "n_secondary", "n_mentioned", listed.alias("listed"))
+    dates = B.articles(spark, sf_dir).select(F.col("id").alias("article_id"), F.col("pub_date").cast("date").alias("event_date"))
+    rows = EN.entity_lists(B.article_entities(spark, sf_dir), _supplier_names(spark, sf_dir).where("entity_id % 10 <> 3"), dates)  # one in ten has no name row
+    listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["importance"], e["type"], e["match_name"])), "|")
+    return rows.select("article_id", "event_date", "n_primary", "n_secondary", "n_mentioned", listed.alias("listed"))
 
 
 def _supplier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +74,25 @@ def articles_without_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EN.without_entities(B.articles(spark, sf_dir).select("id"), B.article_entities(spark, sf_dir))
 
 
-@query("""SELECT doc_id AS article_id, '2024-01-0' || (1 + n_chars % 9)::VARCHAR AS event_date, source AS name, regexp_replace(lower(source), '[^a-z0-9 ]', '', 'g') AS normalized_name,
-CASE lang WHEN 'en' THEN 'PERSON' WHEN 'fr' THEN 'ORGANIZATION' ELSE 'OTHER' END AS type, CASE WHEN lang = 'de' THEN 'PRIMARY' ELSE 'MENTIONED' END AS importance, 'ok' AS status FROM documents""")
+_EXTRACTION_SQL = """d AS (SELECT doc_id, '2024-01-0' || (1 + n_chars % 9)::VARCHAR AS event_date, source AS name, regexp_replace(lower(source), '[^a-z0-9 ]', '', 'g') AS normalized_name,
+CASE lang WHEN 'en' THEN 'PERSON' WHEN 'fr' THEN 'ORGANIZATION' WHEN 'de' THEN 'OTHER' END AS kind, CASE WHEN lang = 'de' OR n_chars % 2 = 0 THEN 'PRIMARY' END AS level, n_chars % 11 = 5 AS broken FROM documents)"""
+
+
+@query(f"""WITH {_EXTRACTION_SQL}
+SELECT 'strict' AS policy, doc_id AS article_id, event_date, name, normalized_name, kind AS type, level AS importance, 'ok' AS status FROM d WHERE NOT broken AND kind IS NOT NULL AND level IS NOT NULL
+UNION ALL SELECT 'default', doc_id, event_date, CASE WHEN NOT broken THEN name END, CASE WHEN NOT broken THEN normalized_name END, CASE WHEN broken THEN 'OTHER' ELSE coalesce(kind, 'OTHER') END, CASE WHEN broken THEN 'MENTIONED' ELSE coalesce(level, 'MENTIONED') END, CASE WHEN broken THEN 'error' ELSE 'ok' END FROM d
+UNION ALL SELECT 'typed', doc_id, event_date, CASE WHEN NOT broken THEN name END, CASE WHEN NOT broken THEN normalized_name END, CASE WHEN broken THEN 'OTHER' ELSE coalesce(kind, 'OTHER') END, CASE WHEN broken THEN 'MENTIONED' ELSE coalesce(level, 'MENTIONED') END, CASE WHEN broken OR kind IS NULL THEN 'error' ELSE 'ok' END FROM d""")
 def extraction_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction documents made of each text's fields: types and levels in other letter case or missing, one in eleven without a list."""
     docs = B.table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "person").when(F.col("lang") == "fr", "Organization").when(F.col("lang") == "de", "gadget")
-    item = F.struct(F.col("source").alias("name"), kind.alias("type"), F.when(F.col("lang") == "de", "Primary").alias("importance"))
+    level = F.when((F.col("lang") == "de") | (F.col("n_chars") % 2 == 0), "Primary")
+    item = F.struct(F.col("source").alias("name"), kind.alias("type"), level.alias("importance"))
     day = F.concat(F.lit("2024-01-0"), (1 + F.col("n_chars") % 9).cast("string"))
-    raw = docs.select(F.col("doc_id").alias("article_id"), F.to_json(F.struct(day.alias("event_date"), F.array(item).alias("entities"))).alias("extraction"))
-    return EN.extraction_entities(raw, "default")
+    whole = F.to_json(F.struct(day.alias("event_date"), F.array(item).alias("entities")))
+    raw = docs.select(F.col("doc_id").alias("article_id"), F.when(F.col("n_chars") % 11 == 5, F.to_json(F.struct(day.alias("event_date")))).otherwise(whole).alias("extraction"))
+    parts = [EN.extraction_entities(raw, policy).withColumn("policy", F.lit(policy)) for policy in ("strict", "default", "typed")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- ingestion ----------------------------------------------------------------------------------------
@@ -157,25 +156,40 @@ def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DD.upsert(current, events, ["user_id"], "at").select("user_id", "event_id", "event_type", "value")
 
 
-@query("""SELECT url AS feed_url_item, title, page_id FROM (SELECT url, substr(html, 1, 40) AS title, page_id FROM pages WHERE url IS NOT NULL)""")
+@query("""SELECT url AS feed_url_item, html AS title, page_id, '2024-01-02T03:04:05Z' AS published FROM pages WHERE url IS NOT NULL""")
 def json_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = B.table(spark, sf_dir, "pages").where("url IS NOT NULL")
-    item = F.struct(F.col("page_id").cast("string").alias("id"), F.col("url"), F.substring("html", 1, 40).alias("title"), F.lit("2024-01-02T03:04:05Z").alias("date_published"))
-    payloads = pages.groupBy(F.col("page_id").alias("feed")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("text")).select(F.col("feed").cast("string").alias("feed_url"), "text")
-    return FE.json_entries(payloads).select(F.col("url").alias("feed_url_item"), "title", F.col("feed_url").cast("long").alias("page_id"))
+    """Every page as an entry of a feed of five pages, with its whole source as the title."""
+    pages = B.table(spark, sf_dir, "pages")
+    item = F.struct(F.col("page_id").cast("string").alias("id"), F.when(F.col("page_id") % 4 > 0, F.col("url")).alias("url"), F.col("html").alias("title"), F.lit("2024-01-02T03:04:05+00:00").alias("date_published"))
+    named = item.withField("id", F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(item["id"]))  # one in four is known by its id only
+    payloads = pages.groupBy(F.expr("page_id DIV 5").alias("feed"), F.col("page_id")).agg(F.first(named).alias("i")).groupBy("feed").agg(F.to_json(F.struct(F.collect_list("i").alias("items"))).alias("text")).select(F.col("feed").cast("string").alias("feed_url"), "text")
+    ids = pages.where("url IS NOT NULL").select("page_id", "url").withColumnRenamed("url", "feed_url_item")
+    return FE.json_entries(payloads).select(F.col("url").alias("feed_url_item"), "title", "published").join(ids, "feed_url_item")
 
 
-@query("SELECT page_id, url, 'ok' AS status, 1::BIGINT AS entries FROM pages WHERE url IS NOT NULL")
+_FEEDS_SQL = """f AS (SELECT page_id, url, page_id // 5 AS feed, page_id // 5 % 3 = 0 AS atom, page_id // 5 % 2 = 0 AS odd, CASE WHEN page_id // 5 % 2 = 0 THEN 'Page ' || page_id || ' “named” & more' ELSE 'Page ' || page_id END AS title,
+ strftime(TIMESTAMP '2024-01-01 05:06:07' + to_days((page_id % 300)::INT), '%Y-%m-%dT%H:%M:%SZ') AS published FROM pages WHERE url IS NOT NULL)"""
+
+
+@query(f"""WITH {_FEEDS_SQL} SELECT f.feed::BIGINT AS feed, url, title, CASE WHEN page_id % 7 <> 0 THEN published END AS published, 'ok' AS status, n AS entries, CASE WHEN undated > 0 THEN 'entries without a date; feed URL is not http or https' ELSE 'feed URL is not http or https' END AS warnings
+FROM f JOIN (SELECT feed, count(*) AS n, count_if(page_id % 7 = 0) AS undated FROM f GROUP BY 1) c ON c.feed = f.feed""")
 def feed_decode_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages become RSS bodies, are decoded from bytes and parsed again; one entry each."""
-    pages = B.table(spark, sf_dir, "pages").where("url IS NOT NULL")
-    clean = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.concat(F.lit("<?xml version='1.0'?><rss><channel><item><title>t</title><link>"), clean, F.lit("</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>"))
-    raw = pages.select(F.col("page_id").cast("string").alias("feed_url"), F.lit("application/rss+xml").alias("content_type"), F.lit(None).cast("string").alias("content_encoding"), F.encode(body, "UTF-8").alias("body"))
+    """Five pages each make an RSS or Atom body, half of them with references that XML does not know; some are packed."""
+    pages = B.table(spark, sf_dir, "pages").where("url IS NOT NULL").withColumn("feed", F.expr("page_id DIV 5"))
+    odd, atom = F.col("feed") % 2 == 0, F.col("feed") % 3 == 0
+    title = F.concat(F.lit("Page "), "page_id", F.when(odd, " &ldquo;named&rdquo; &amp;amp; more").otherwise(""))
+    when = F.lit("2024-01-01 05:06:07").cast("timestamp") + F.make_dt_interval((F.col("page_id") % 300).cast("int"))
+    dated = F.col("page_id") % 7 != 0
+    link = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link>"), F.when(dated, F.concat(F.lit("<pubDate>"), F.date_format(when, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"))).otherwise(""), F.lit("</item>"))
+    entry = F.concat(F.lit("<entry><title>"), title, F.lit('</title><link href="'), link, F.lit('"/>'), F.when(dated, F.concat(F.lit("<published>"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00</published>"))).otherwise(""), F.lit("</entry>"))
+    lists = pages.groupBy("feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.when(atom, entry).otherwise(rss).alias("x")))), lambda x: x["x"]), "").alias("items"))
+    text = F.when(atom, F.concat(F.lit("<feed>"), "items", F.lit("</feed>"))).otherwise(F.concat(F.lit("<?xml version='1.0'?><rss><channel>"), "items", F.lit("</channel></rss>")))
+    raw = lists.select(F.col("feed").cast("string").alias("feed_url"), F.lit("application/xml; charset=utf-8").alias("content_type"), F.lit(None).cast("string").alias("content_encoding"), F.encode(text, "UTF-8").alias("body"))
     decoded = FE.decoded_payloads(raw)
     entries = FE.xml_entries(decoded)
     checked = FE.feed_diagnostics(decoded, entries)
-    return checked.join(entries.select("feed_url", "url"), "feed_url").select(F.col("feed_url").cast("long").alias("page_id"), "url", "status", "entries")
+    return checked.join(entries.select("feed_url", "url", "title", "published"), "feed_url").select(F.col("feed_url").cast("long").alias("feed"), "url", "title", "published", "status", "entries", "warnings")
 
 
 _PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>|<!--.*?-->', ' ', 'g'),
@@ -228,14 +242,21 @@ def temporal_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"), before.alias("p")).select("id", T.temporal_proximity(F.col("d"), F.col("p")).alias("proximity"))
 
 
-@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS rfc, strftime(o_orderdate, '%Y-%m-%d') AS words, strftime(o_orderdate, '%Y-%m') || '-01' AS month_first FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, o_orderkey % 12 AS form FROM orders)
+SELECT id, CASE WHEN form IN (8, 9) THEN NULL ELSE strftime(d, '%Y-%m-%d') END AS feed_day,
+CASE form WHEN 7 THEN strftime(d, '%Y') || '-' || lpad(((month(d) - 1) // 3 * 3 + 1)::VARCHAR, 2, '0') || '-01' WHEN 8 THEN strftime(d, '%Y-%m') || '-01' WHEN 9 THEN strftime(d, '%Y') || '-01-01' WHEN 10 THEN NULL
+ ELSE strftime(d, '%Y-%m-%d') END AS any_day FROM o""")
 def date_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates written in several spellings and read back."""
+    """Dates written in a dozen spellings, read by the feed's and by the lenient parser."""
     d = F.col("o_orderdate").cast("timestamp")
-    rfc = F.concat(F.date_format(d, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    rows = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), rfc.alias("rfc"), F.date_format(d, "MMMM d, yyyy").alias("words"), F.date_format(d, "yyyy-MM").alias("month"))
-    read = {"rfc": F.to_date(T.feed_time(F.col("rfc"))), "words": T.lenient_date(F.col("words")), "month_first": T.lenient_date(F.col("month"))}
-    return rows.select("id", *[d.cast("string").alias(name) for name, d in read.items()])
+    fmt = lambda p: F.date_format(d, p)
+    quarter = F.concat(fmt("yyyy"), F.lit("-Q"), F.quarter(d).cast("string"))
+    lenient = (fmt("yyyy-MM-dd"), fmt("yyyy-MM-dd'T'HH:mm:ss'Z'"), fmt("yyyy/M/d"), fmt("d/M/yyyy"), fmt("MMMM d, yyyy"), fmt("d MMMM yyyy"), F.concat(F.lit("  "), fmt("yyyy-MM-dd"), F.lit(" ")), quarter, fmt("yyyy-MM"), F.concat(fmt("yyyy"), F.lit(" or so")), F.lit("some day"), fmt("yyyy-MM-dd HH:mm"))
+    mail = fmt("EEE, dd MMM yyyy HH:mm:ss")
+    feed = (fmt("yyyy-MM-dd'T'HH:mm:ss'Z'"), fmt("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.concat(mail, F.lit(" GMT")), F.concat(mail, F.lit(" +0000")), fmt("d MMM yyyy HH:mm:ss' UT'"), fmt("yyyy-MM-dd'T'HH:mm:ss'+0000'"), fmt("yyyy-MM-dd'T'HH:mm:ss"), fmt("yyyy-MM-dd HH:mm:ss"), F.lit("soon"), fmt("MMMM yyyy"), fmt("yyyy-MM-dd"), F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+    form = (F.col("o_orderkey") % 12 + 1).cast("int")
+    rows = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(F.array(*feed), form).alias("feed"), F.element_at(F.array(*lenient), form).alias("any"))
+    return rows.select("id", F.to_date(T.feed_time(F.col("feed"))).cast("string").alias("feed_day"), T.lenient_date(F.col("any")).cast("string").alias("any_day"))
 
 
 @query(f"""WITH {B.ARTICLES_SQL}, {B.STORIES_SQL}, g AS (SELECT cluster_id, count(*) AS articles, avg(quality) AS quality, max(pub_date) AS latest FROM story JOIN article ON id = article_id GROUP BY 1)
@@ -275,30 +296,6 @@ def vector_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(B.table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", VE.vector_status(F.col("embedding"), 64).alias("status"))
 
 
-_SIMILAR_SQL = f"""WITH {_COS_SQL}, hits AS (SELECT source_id, target_id, score FROM top WHERE rank <= 20),
-x AS (SELECT vec_id AS id, label FROM embeddings), xs AS (SELECT * FROM x WHERE id % 100 = 0),
-ent AS (SELECT a.id AS source_id, b.id AS target_id FROM xs a JOIN x b ON a.label = b.label AND a.id <> b.id),
-cand AS (SELECT coalesce(h.source_id, n.source_id) AS source_id, coalesce(h.target_id, n.target_id) AS target_id FROM hits h FULL JOIN ent n ON h.source_id = n.source_id AND h.target_id = n.target_id),
-s AS (SELECT cand.*, c.score AS vector_score, CASE WHEN n.source_id IS NULL THEN 0 ELSE 1 END AS overlap, CASE WHEN n.source_id IS NULL THEN 0.0 ELSE 0.45 END AS entity_score
- FROM cand JOIN c ON cand.source_id = c.source_id AND cand.target_id = c.target_id LEFT JOIN ent n ON cand.source_id = n.source_id AND cand.target_id = n.target_id),
-f AS (SELECT *, 0.6::DOUBLE * vector_score + 0.4::DOUBLE * entity_score AS score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY source_id, score >= 0.35 ORDER BY score DESC, target_id) AS rank FROM f)
-SELECT source_id, target_id, overlap, vector_score, entity_score::DOUBLE AS entity_score, score, rank, CASE WHEN score < 0.35 THEN 'near_miss' ELSE 'match' END AS status,
-CASE WHEN score < 0.35 THEN 0.35::DOUBLE - score END AS missing FROM r WHERE rank <= 10"""
-
-
-@query(_SIMILAR_SQL)
-def similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    hits = VE.cosine_top_k(vectors.where("id % 100 = 0"), vectors, k=20, threshold=0.3)
-    labels = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("label").alias("entity"))
-    own = labels.where("article_id % 100 = 0").withColumnRenamed("article_id", "source_id")
-    shared = own.join(labels.withColumnRenamed("article_id", "target_id"), "entity").where("source_id <> target_id").select("source_id", "target_id").distinct()
-    candidates = SI.candidate_union(hits, shared, vectors)
-    scores = shared.select("source_id", "target_id", F.lit(1).alias("overlap"), T.entity_score(F.lit(1.0), F.lit(1.0), *[F.lit(0.0)] * 4).alias("entity_score"))
-    return SI.similar_articles(candidates, scores, threshold=0.35, k=10).drop("reason")
-
-
 # --- names and aliases --------------------------------------------------------------------------------
 
 _NAMES_SQL = "n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1) AND a.name < b.name)"
@@ -382,9 +379,9 @@ def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AL.negative_pairs(_alias_tables(spark, sf_dir)[2])
 
 
-@query(f"WITH {_ALIAS_SQL} SELECT count(*) AS total, count_if(status = 'APPROVED')::BIGINT AS approved, count_if(status = 'PENDING')::BIGINT AS pending, count_if(status = 'REJECTED')::BIGINT AS rejected FROM up")
+@query(f"WITH {_ALIAS_SQL} SELECT count(*) AS total, count_if(status = 'APPROVED')::BIGINT AS approved, count_if(status = 'PENDING')::BIGINT AS pending, count_if(status = 'REJECTED')::BIGINT AS rejected, (SELECT count(*) FROM neg) AS negatives FROM up")
 def alias_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AL.alias_stats(_upserted(spark, sf_dir)[0])
+    return AL.alias_stats(*_upserted(spark, sf_dir))
 
 
 @query("""SELECT CASE WHEN p_size > 25 THEN 'LLM_' ELSE 'PATTERN_' END || substr(p_type, 1, 3) AS source, any_value(CASE WHEN p_size > 25 THEN 'LLM' ELSE 'REGEX' END) AS kind, count(*) AS total,
@@ -414,10 +411,17 @@ def review_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AL.review_batch(_upserted(spark, sf_dir)[0], 50, 1).select("canonical", "alias", "type", "confidence", "status", "batch_id")
 
 
-@query("""SELECT p_partkey AS id, 2 AS pattern, upper(p_name) AS canonical, p_brand AS alias, 'PERSON' AS type, 0.8::DOUBLE AS confidence FROM part""")
+_CUE_TEXTS = ("{c}, also known as {a}, is new.", "{c} (formerly {a}) is new.", "{a}, now known as {c}, is new.", "{c}, which rebranded itself as {a}.", "{a} (full name {c}) is new.", "{c}, which acquired {a} in spring.", "{c}, the CEO of {a}.", "{c}, which is the parent company of {a}.", "{a}, which was founded by {c}, is new.")
+
+
+@query("""SELECT d.doc_id AS id, (d.doc_id % 9 + 1)::INT AS pattern, 'Maker ' || (10 + d.doc_id % 89) AS canonical, 'Brand ' || (10 + n_chars % 89) AS alias, 'PERSON' AS type, 0.8::DOUBLE AS confidence FROM documents d WHERE text IS NOT NULL""")
 def alias_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.upper("p_name"), F.lit(" (formerly "), F.col("p_brand"), F.lit(")"))
-    return AL.alias_pairs(B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
+    """Each of the nine phrases once in a document, behind and before its own prose."""
+    docs = B.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    c, a = F.concat(F.lit("Maker "), (10 + F.col("doc_id") % 89).cast("string")), F.concat(F.lit("Brand "), (10 + F.col("n_chars") % 89).cast("string"))
+    phrase = F.element_at(F.array(*map(F.lit, _CUE_TEXTS)), (F.col("doc_id") % 9 + 1).cast("int"))
+    said = F.replace(F.replace(phrase, F.lit("{c}"), c), F.lit("{a}"), a)
+    return AL.alias_pairs(docs.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(".\nthen "), said, F.lit("\n"), "text").alias("text")))
 
 
 # --- clusters -----------------------------------------------------------------------------------------
@@ -427,47 +431,43 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.leader_clusters(B.primary_sets(spark, sf_dir))
 
 
-_SETS_SQL = "cs AS (SELECT DISTINCT o_custkey AS cluster_id, l_suppkey % 10 AS entity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1)"
+_SETS_SQL = "cs AS (SELECT DISTINCT l_orderkey AS cluster_id, l_suppkey AS entity FROM lineitem)"
 
 
 def _cluster_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    joined = B.table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.select(F.col("o_custkey").alias("cluster_id"), (F.col("l_suppkey") % 10).alias("entity")).distinct()
+    """Every article as a cluster of its own, with all its entities."""
+    return B.article_entities(spark, sf_dir).select(F.col("article_id").alias("cluster_id"), F.col("entity_id").alias("entity"))
 
 
 _GROUPS_SQL = f"""{_SETS_SQL}, sized AS (SELECT cluster_id, count(*) AS n FROM cs GROUP BY 1),
-sig AS (SELECT cluster_id, list_sort(list(entity)) AS s FROM cs GROUP BY 1), one AS (SELECT s, min(cluster_id) AS rep FROM sig GROUP BY s)"""
+sig AS (SELECT cluster_id, list_sort(list(entity)) AS s FROM cs GROUP BY 1), one AS (SELECT s, min(cluster_id) AS rep FROM sig GROUP BY s), el AS (SELECT rep, unnest(s) AS entity, len(s) AS n FROM one),
+e AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM el a JOIN el b ON a.entity = b.entity AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))),
+w(node, label) AS (SELECT rep, rep FROM one UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node WHERE w.label < e.b), l AS (SELECT node, min(label) AS label FROM w GROUP BY node),
+m AS (SELECT cluster_id, label AS group_id, count(*) OVER (PARTITION BY label) AS n FROM sig JOIN one USING (s) JOIN l ON l.node = rep)"""
+_MAPS_SQL = "maps AS (SELECT o_orderkey AS article_id, o_orderkey AS cluster_id, 1.0::DOUBLE AS similarity FROM orders UNION ALL SELECT o_orderkey + 1, o_orderkey, (o_orderkey % 97) / 97.0::DOUBLE FROM orders)"
 
 
-@query(f"""WITH RECURSIVE {_GROUPS_SQL}, e AS (SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.rep <> b.rep WHERE len(list_intersect(a.s, b.s)) >= 0.9 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
-w(node, label) AS (SELECT rep, rep FROM one UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node), l AS (SELECT node, min(label) AS label FROM w GROUP BY node),
-m AS (SELECT cluster_id, label AS group_id, count(*) OVER (PARTITION BY label) AS n FROM sig JOIN one USING (s) JOIN l ON l.node = rep)
-SELECT cluster_id, group_id FROM m WHERE n > 1""")
-def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _cluster_sets(spark, sf_dir)
-    return _groups(sets)
+def _mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster holds its own article and, less surely, the next one."""
+    ids = B.articles(spark, sf_dir).select("id")
+    own = ids.select(F.col("id").alias("article_id"), F.col("id").alias("cluster_id"), F.lit(1.0).alias("similarity"))
+    return own.unionByName(ids.select((F.col("id") + 1).alias("article_id"), F.col("id").alias("cluster_id"), (F.col("id") % 97 / 97.0).alias("similarity")))
 
 
-def _groups(sets: DataFrame) -> DataFrame:
-    """Groups over distinct entity sets, so that many clusters with one set stay cheap."""
-    shaped = sets.groupBy("cluster_id").agg(F.array_sort(F.collect_list("entity")).alias("set"))
-    classes = shaped.groupBy("set").agg(F.min("cluster_id").alias("rep"))
-    near = CL.merge_groups(classes.select(F.col("rep").alias("id"), F.explode("set").alias("entity")), 0.9)
-    labelled = shaped.join(classes, "set").join(near.withColumnRenamed("cluster_id", "rep"), "rep", "left").select("cluster_id", F.coalesce("group_id", "rep").alias("group_id"))
-    lone = labelled.groupBy("group_id").count().where("count > 1").select("group_id")
-    return labelled.join(lone, "group_id").select("cluster_id", "group_id")
+@query(f"WITH RECURSIVE {_GROUPS_SQL} SELECT cluster_id, group_id FROM m WHERE n > 1")
+def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CL.merge_groups(_cluster_sets(spark, sf_dir).withColumnRenamed("cluster_id", "id"))
 
 
-@query(f"""WITH RECURSIVE {_GROUPS_SQL}, {B.STORIES_SQL}, g AS (SELECT cluster_id, rep AS group_id, count(*) OVER (PARTITION BY rep) AS n FROM sig JOIN one USING (s))
-SELECT -group_id - 1 AS cluster_id, count(DISTINCT article_id) AS articles, max(similarity) AS best FROM g JOIN story USING (cluster_id) WHERE n > 1 GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_GROUPS_SQL}, {_MAPS_SQL}, t AS (SELECT cluster_id, -group_id - 1 AS target FROM m WHERE n > 1),
+u AS (SELECT target, string_agg(entity::VARCHAR, ',' ORDER BY entity) AS entities FROM (SELECT DISTINCT target, entity FROM t JOIN cs USING (cluster_id)) GROUP BY 1), x AS (SELECT target, article_id, max(similarity) AS best FROM t JOIN maps USING (cluster_id) GROUP BY 1, 2)
+SELECT target AS cluster_id, count(*) AS articles, round(sum(best), 6) AS total, any_value(entities) AS entities FROM x JOIN u USING (target) GROUP BY 1""")
 def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of equal entity sets merged; articles counted once."""
+    """Clusters that overlap are merged: articles once with their best score, entities united."""
     sets = _cluster_sets(spark, sf_dir)
-    shaped = sets.groupBy("cluster_id").agg(F.array_sort(F.collect_list("entity")).alias("set"))
-    groups = shaped.join(shaped.groupBy("set").agg(F.min("cluster_id").alias("group_id"), F.count("*").alias("n")).where("n > 1"), "set").select("cluster_id", "group_id")
-    moved, _, _ = CL.merge_clusters(groups, B.story_clusters(spark, sf_dir), sets)
-    return moved.groupBy("cluster_id").agg(F.count("*").alias("articles"), F.max("similarity").alias("best"))
+    moved, union, _ = CL.merge_clusters(CL.merge_groups(sets.withColumnRenamed("cluster_id", "id")), _mappings(spark, sf_dir), sets)
+    lists = union.select("cluster_id", F.array_join(F.col("entities").cast("array<string>"), ",").alias("entities"))
+    return moved.groupBy("cluster_id").agg(F.count("*").alias("articles"), F.round(F.sum("similarity"), 6).alias("total")).join(lists, "cluster_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS source_id, c_custkey // 2 AS target_id FROM customer WHERE c_custkey > 1),
@@ -494,7 +494,7 @@ def cluster_summary_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- delivery -----------------------------------------------------------------------------------------
 
 @query(f"""WITH {B.ARTICLES_SQL}, {B.DEVICES_SQL}, seen AS (SELECT o_custkey AS device_id, o_orderkey AS id FROM orders)
-SELECT DISTINCT device_id, id FROM article JOIN device ON topic = category WHERE is_relevant AND pub_date > TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR
+SELECT DISTINCT device_id, id FROM article JOIN device ON topic = category OR category IS NULL AND topic LIKE 'Alert%' WHERE is_relevant AND r2_url IS NOT NULL AND pub_date > TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR
 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.device_id = device.device_id AND seen.id = article.id)""")
 def unseen_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("id"))
@@ -506,23 +506,33 @@ def devices_for_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DL.devices_for_topics(B.devices(spark, sf_dir))
 
 
-@query(f"""WITH known AS (SELECT n_nationkey AS client_id, s_suppkey AS cluster_id, s_suppkey % 3 AS version FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+@query(f"""WITH {B.ARTICLES_SQL}, known AS (SELECT n_nationkey AS client_id, s_suppkey AS cluster_id, s_suppkey % 3 AS version FROM nation JOIN supplier ON s_nationkey = n_nationkey),
 cl AS (SELECT s_suppkey AS cluster_id, s_nationkey % 4 AS version, CASE WHEN s_acctbal < 0 THEN 'merged' ELSE 'active' END AS status FROM supplier WHERE s_acctbal < 9000),
-mg AS (SELECT s_suppkey AS source_id, s_suppkey + 1 AS target_id FROM supplier WHERE s_acctbal < 0)
-SELECT c.client_id, cl.cluster_id, 'updated' AS change, cl.version::BIGINT AS version, NULL::BIGINT AS target_id FROM (SELECT DISTINCT client_id FROM known) c JOIN cl ON status = 'active' LEFT JOIN known k ON k.client_id = c.client_id AND k.cluster_id = cl.cluster_id WHERE coalesce(k.version, -1) < cl.version
-UNION ALL SELECT client_id, cluster_id, 'merged', NULL, target_id FROM known JOIN mg ON source_id = cluster_id UNION ALL SELECT client_id, cluster_id, 'deleted', NULL, NULL FROM known WHERE cluster_id NOT IN (SELECT cluster_id FROM cl)""")
+mg AS (SELECT s_suppkey AS source_id, s_suppkey + 1 AS target_id FROM supplier WHERE s_acctbal < 0),
+ar AS (SELECT DISTINCT l_suppkey AS cluster_id, l_orderkey AS article_id FROM lineitem WHERE l_linenumber = 1), tp AS (SELECT cluster_id, article_id, row_number() OVER (PARTITION BY cluster_id ORDER BY pub_date DESC NULLS LAST, article_id) AS rank FROM ar JOIN article ON id = article_id),
+tl AS (SELECT cluster_id, string_agg(article_id::VARCHAR, ',' ORDER BY rank) AS articles FROM tp WHERE rank <= 5 GROUP BY 1)
+SELECT c.client_id, cl.cluster_id, 'updated' AS change, cl.version::BIGINT AS version, NULL::BIGINT AS target_id, tl.articles FROM (SELECT DISTINCT client_id FROM known) c JOIN cl ON status = 'active' LEFT JOIN known k ON k.client_id = c.client_id AND k.cluster_id = cl.cluster_id LEFT JOIN tl ON tl.cluster_id = cl.cluster_id WHERE coalesce(k.version, -1) < cl.version
+UNION ALL SELECT client_id, cluster_id, 'merged', NULL, target_id, NULL FROM known JOIN mg ON source_id = cluster_id UNION ALL SELECT client_id, cluster_id, 'deleted', NULL, NULL, NULL FROM known WHERE cluster_id NOT IN (SELECT cluster_id FROM cl)""")
 def cluster_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = B.table(spark, sf_dir, "supplier")
     known = supplier.select(F.col("s_nationkey").alias("client_id"), F.col("s_suppkey").alias("cluster_id"), (F.col("s_suppkey") % 3).alias("version"))
     clusters = supplier.where("s_acctbal < 9000").select(F.col("s_suppkey").alias("cluster_id"), (F.col("s_nationkey") % 4).alias("version"), F.when(F.col("s_acctbal") < 0, "merged").otherwise("active").alias("status"))
     merges = supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") + 1).alias("target_id"))
-    return DL.cluster_delta(known, clusters, merges)
+    first = B.article_entities(spark, sf_dir).where("importance = 'PRIMARY'").select(F.col("entity_id").alias("cluster_id"), "article_id", F.lit(1.0).alias("similarity"))
+    top = CL.top_articles(first, B.articles(spark, sf_dir).select("id", "pub_date"), 5)
+    return DL.cluster_delta(known, clusters, merges, top).withColumn("articles", F.array_join(F.col("articles").cast("array<string>"), ","))
 
 
-@query()
+@query(f"""WITH {B.DEVICES_SQL}, d AS (SELECT doc_id AS id, (['1-URGENT', '2-HIGH', '3-MEDIUM', 'Alert: Near', '5-LOW'])[doc_id % 5 + 1] AS topic, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'Title ' || doc_id END AS title,
+ CASE WHEN doc_id % 4 > 0 THEN n_chars % 4 END AS quality, CASE WHEN doc_id % 7 > 0 THEN 'https://' || source || '.example/' || doc_id END AS url, source FROM documents)
+SELECT device_id, id, coalesce(priority, 'low') AS priority, '{{"title":"' || coalesce(nullif(title, ''), 'No title available.') || '","quality":"' || coalesce(quality::VARCHAR, '2') || '","domain":"' || CASE WHEN url IS NULL THEN 'unknown' ELSE lower(regexp_extract(url, '://([^/?#:]+)', 1)) END || '","topic":"' || topic || '"}}' AS payload
+FROM d JOIN device USING (topic) WHERE priority = 'high' OR priority IS NULL""")
 def notification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = B.articles(spark, sf_dir).where(F.col("pub_date") > T.as_time(AS_OF) - F.expr("INTERVAL 36 HOURS"))
-    articles = recent.select("id", F.lit(None).cast("string").alias("title"), "quality", F.concat(F.lit("https://news.example.com/"), F.col("id")).alias("url"), F.col("category").alias("topic"))
+    docs = B.table(spark, sf_dir, "documents")
+    topic = F.element_at(F.array(*map(F.lit, B.TOPICS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    title = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, F.concat(F.lit("Title "), "doc_id"))
+    url = F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id"))
+    articles = docs.select(F.col("doc_id").alias("id"), title.alias("title"), F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") % 4).alias("quality"), url.alias("url"), topic.alias("topic"))
     return DL.notifications(articles, B.devices(spark, sf_dir))
 
 
@@ -536,12 +546,12 @@ def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- routing ------------------------------------------------------------------------------------------
 
-@query(f"""WITH {B.PLACES_SQL}, reg AS (SELECT DISTINCT o_orderkey AS article_id, r_name AS continent, n_name AS country, c_mktsegment AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '2001-07-01'),
+@query(f"""WITH {B.PLACES_SQL}, reg AS (SELECT DISTINCT o_orderkey AS article_id, r_name AS continent, n_name AS country, c_mktsegment AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 c AS (SELECT article_id, city, list_sort(list(DISTINCT person)) AS names FROM reg JOIN place USING (continent, country, region) GROUP BY 1, 2)
 SELECT article_id, count(*) AS cities, sum(len(names))::BIGINT AS people, 'This article affects people in these locations: ' || string_agg(city || ' (' || array_to_string(names, ', ') || ')', '; ' ORDER BY city) || '.' AS sentence FROM c GROUP BY 1""")
 def affected_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of the last month, as threats at their customers' places."""
-    orders = B.table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= T.as_time("2001-07-01"))
+    """Orders as threats at their customers' places."""
+    orders = B.table(spark, sf_dir, "orders")
     named = B.places(spark, sf_dir).select("person", "continent", "country", "region")
     regions = orders.join(B.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("article_id"), F.col("c_name").alias("person")).join(named, "person")
     threats = regions.groupBy("article_id").agg(F.to_json(F.struct(F.collect_set(F.struct("continent", "country", "region")).alias("impacted_regions"))).alias("threat"))
@@ -569,22 +579,24 @@ def first_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topic_routes(spark, sf_dir)
 
 
-@query(f"""WITH {_TOPIC_SQL}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id AND text IS NOT NULL AS again FROM documents)
-SELECT d.doc_id AS article_id, CASE WHEN again THEN 'duplicate_text' WHEN strlen(trim(text)) < 100 THEN 'short' WHEN toxic = 1 AND quality = 0 THEN 'life_safety' WHEN toxic = 1 THEN 'promotional' ELSE g.route END AS route
+@query(f"""WITH {_TOPIC_SQL}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id AND text IS NOT NULL AS again FROM documents), kt AS (SELECT DISTINCT source, n_chars % 50 AS t FROM documents WHERE n_chars % 97 = 0)
+SELECT d.doc_id AS article_id, CASE WHEN EXISTS (SELECT 1 FROM kt WHERE kt.source = d.source AND kt.t = d.n_chars % 50) THEN 'duplicate_title' WHEN again THEN 'duplicate_text' WHEN strlen(trim(text)) < 100 THEN 'short' WHEN toxic = 1 AND quality = 0 THEN 'life_safety' WHEN toxic = 1 THEN 'promotional' ELSE g.route END AS route
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN c ON c.doc_id = d.doc_id JOIN g ON g.article_id = d.doc_id""")
 def decision_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents").join(B.table(spark, sf_dir, "labels"), "doc_id")
     first = DD.content_duplicates(B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "is_first")
-    rows = docs.join(first, "doc_id").join(_topic_routes(spark, sf_dir).select(F.col("article_id").alias("doc_id"), "route"), "doc_id")
+    hashed = lambda df: df.withColumn("title_domain_hash", T.title_domain_hash(F.concat(F.lit("https://"), "source", F.lit("/a")), (F.col("n_chars") % 50).cast("string")))
+    fresh = DD.unseen_titles(hashed(docs), hashed(B.table(spark, sf_dir, "documents").where("n_chars % 97 = 0"))).select("doc_id", F.lit(True).alias("new_title"))
+    rows = docs.join(first, "doc_id").join(_topic_routes(spark, sf_dir).select(F.col("article_id").alias("doc_id"), "route"), "doc_id").join(fresh, "doc_id", "left")
     yes = lambda c: F.when(c, "YES").otherwise("no")
     threat, confirmed = yes(F.col("toxic") == 1), yes(F.col("quality") == 0)
-    return rows.select(F.col("doc_id").alias("article_id"), RO.route(F.lit(False), ~F.col("is_first"), F.col("text"), threat, confirmed, yes(F.col("toxic") == 1), F.col("route")).alias("route"))
+    return rows.select(F.col("doc_id").alias("article_id"), RO.route(F.col("new_title").isNull(), ~F.col("is_first"), F.col("text"), threat, confirmed, yes(F.col("toxic") == 1), F.col("route")).alias("route"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------
 
-@query(f"""WITH {B.ARTICLES_SQL}, r AS (SELECT pub_date::DATE AS day, id AS source_id, lead(id) OVER (PARTITION BY pub_date::DATE ORDER BY id) AS target_id, row_number() OVER (PARTITION BY pub_date::DATE ORDER BY id) AS rank FROM article)
-SELECT day::VARCHAR AS day, source_id, target_id FROM r WHERE target_id IS NOT NULL AND rank <= 5""")
+@query(f"""WITH {B.ARTICLES_SQL}, p AS (SELECT a.pub_date::DATE AS day, a.id AS source_id, b.id AS target_id, row_number() OVER (PARTITION BY a.pub_date::DATE ORDER BY a.id, b.id) AS n FROM article a JOIN article b ON a.pub_date::DATE = b.pub_date::DATE AND a.id < b.id)
+SELECT day::VARCHAR AS day, source_id, target_id FROM p WHERE n <= 5""")
 def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.same_day_pairs(B.articles(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
@@ -613,7 +625,9 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.reason_histogram(_pair_results(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_PAIR_SQL}, z AS (SELECT *, CASE WHEN is_match THEN 'Match success' WHEN entity_score = 0 THEN 'No shared entities' WHEN vector_score < 0.5 THEN format('Low vector similarity ({{:.2f}})', vector_score) ELSE format('Combined score below threshold (needs {{:.2f}} more)', 0.45::DOUBLE - score) END AS why FROM m)
+SELECT source_id, target_id, is_match AS match_status, format('{{:.2f}}', score) AS combined_score, format('{{:.2f}}', vector_score) AS vector_score, format('{{:.2f}}', entity_score) AS entity_score, expected::INT AS shared_entities, 0 AS primary_shared, '0.00' AS person_overlap, '0.00' AS org_overlap,
+'0.00' AS location_overlap, '0.00' AS event_overlap, replace(why, ',', ';') AS reason, expected::VARCHAR AS expected_match, CASE WHEN expected = is_match THEN 'correct' ELSE 'incorrect' END AS expected_vs_actual FROM z""")
 def pair_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.result_rows(_pair_results(spark, sf_dir))
 
@@ -648,3 +662,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s GROUP BY user_id, n""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.sessions(B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+from newsweave import queries_delivery, queries_search  # noqa: E402, F401  they register themselves

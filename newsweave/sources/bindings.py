@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01"
@@ -13,18 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, pub_date, category, is_relevant, quality`` from orders; quality from the price band."""
+    """``id, pub_date, category, is_relevant, quality, r2_url`` from orders; quality from the price band.
+
+    One in thirteen has no category, one in nine was not delivered.
+    """
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("pub_date"),
-        F.col("o_orderpriority").alias("category"),
+        F.when(F.col("o_orderkey") % 13 > 0, F.col("o_orderpriority")).alias("category"),
         (F.col("o_orderstatus") != "P").alias("is_relevant"),
         F.floor(F.col("o_totalprice") / 100000).cast("int").alias("quality"),
+        F.when(F.col("o_custkey") % 9 != 0, F.concat(F.lit("https://store.example/"), F.col("o_orderkey"))).alias("r2_url"),
     )
 
 
-ARTICLES_SQL = """article AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS pub_date, o_orderpriority AS category,
-  o_orderstatus <> 'P' AS is_relevant, floor(o_totalprice / 100000)::INT AS quality FROM orders)"""
+ARTICLES_SQL = """article AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS pub_date, CASE WHEN o_orderkey % 13 > 0 THEN o_orderpriority END AS category,
+  o_orderstatus <> 'P' AS is_relevant, floor(o_totalprice / 100000)::INT AS quality, CASE WHEN o_custkey % 9 <> 0 THEN 'https://store.example/' || o_orderkey END AS r2_url FROM orders)"""
 
 
 def article_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +44,8 @@ ARTICLE_ENTITIES_SQL = """article_entity AS (SELECT l_orderkey AS article_id, l_
 
 
 def primary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item, entity``: small primary sets that overlap often, for clustering."""
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("item"), (F.col("l_suppkey") % 20).alias("entity")).distinct()
+    """``item, entity``: the primary and secondary entities of every article, for clustering."""
+    return article_entities(spark, sf_dir).where("importance <> 'MENTIONED'").select(F.col("article_id").alias("item"), F.col("entity_id").alias("entity"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,18 +54,19 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTITY_TYPES = ("PERSON", "ORGANIZATION", "LOCATION", "PRODUCT")
-ENTITIES_SQL = "entity AS (SELECT p_partkey AS id, p_name AS name, (['PERSON', 'ORGANIZATION', 'LOCATION', 'PRODUCT'])[p_size % 4 + 1] AS type FROM part)"
+
+
+TOPICS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "Alert: Near", "5-LOW")
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``device_id, topic, priority``: every customer subscribes to one topic and to alerts by segment."""
-    topics = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-    topic = F.element_at(F.array(*map(F.lit, topics)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    """``device_id, topic, priority``: every customer subscribes to one topic, one in five to alerts."""
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("c_custkey") % 5 + 1).cast("int"))
     level = F.when(F.col("c_mktsegment") == "BUILDING", "high").when(F.col("c_mktsegment") == "MACHINERY", "low")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device_id"), topic.alias("topic"), level.alias("priority"))
 
 
-DEVICES_SQL = """device AS (SELECT c_custkey AS device_id, (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[c_custkey % 5 + 1] AS topic,
+DEVICES_SQL = """device AS (SELECT c_custkey AS device_id, (['1-URGENT', '2-HIGH', '3-MEDIUM', 'Alert: Near', '5-LOW'])[c_custkey % 5 + 1] AS topic,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'high' WHEN 'MACHINERY' THEN 'low' END AS priority FROM customer)"""
 
 
@@ -86,7 +91,3 @@ def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORIES_SQL = "story AS (SELECT o_orderkey AS article_id, o_custkey AS cluster_id, (o_orderkey % 97) / 97.0::DOUBLE AS similarity FROM orders)"
-
-
-def numbered(df: DataFrame, partition: list[str], *order) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))

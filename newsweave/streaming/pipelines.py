@@ -1,13 +1,17 @@
-"""Structured Streaming forms: idempotent ingestion, late data, counters, cluster assignment."""
+"""Structured Streaming forms: scheduled ingestion, idempotent inserts, late data, hand-offs, counters, cluster assignment."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from newsweave.functions import text as T
+from newsweave.sources import feeds as FE
+
+PAYLOADS = "feed_url STRING, content_type STRING, content_encoding STRING, body BINARY, fetched_at TIMESTAMP"
 
 
 def fresh_entries(entries: DataFrame, articles: DataFrame, watermark: str = "8 days") -> DataFrame:
@@ -56,3 +60,84 @@ def assign_batches(read_leaders: Callable[[], DataFrame], write: Callable[[DataF
         write(leader_clusters(batch, threshold, read_leaders()), batch_id)
 
     return body
+
+
+def ingest_feeds(spark: SparkSession, landed: str, queue: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Landed payload files (Parquet, ``PAYLOADS``) to queue rows, each URL once.
+
+    Runs through what has landed and stops, or with ``every`` (``"10 minutes"``) again and again. A batch is written
+    under its number, so that a repeated batch replaces its own rows.
+    """
+    payloads = spark.readStream.schema(PAYLOADS).parquet(landed)
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        decoded = FE.decoded_payloads(batch)
+        json_like = F.coalesce(F.ltrim("text").startswith("{") | F.ltrim("text").startswith("["), F.lit(False))
+        entries = FE.json_entries(decoded.where(json_like)).unionByName(FE.xml_entries(decoded.where(~json_like)))
+        keyed = entries.withColumn("normalized_url", T.url_key(F.col("url"))).where("normalized_url IS NOT NULL")
+        once = keyed.groupBy("normalized_url").agg(F.min(F.struct("url", "title", "published", "feed_url")).alias("e")).select("normalized_url", "e.*")
+        table_append(queue, ["normalized_url"])(once, batch_id)
+
+    writer = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def table_append(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body that appends rows whose ``key`` is new to the table at ``path``, one folder a batch."""
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folders = [f for f in _batches(spark, path) if f != f"batch={batch_id}"]
+        if folders:
+            known = spark.read.schema(batch.schema).parquet(*[f"{path}/{f}" for f in folders]).select(*key).distinct()
+            batch = batch.join(known, key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return body
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(place) if f.getPath().getName().startswith("batch=")) if store.exists(place) else []
+
+
+def hand_off(spark: SparkSession, queue: str, schema: str, decide: Callable[[DataFrame], DataFrame], routes: dict[str, str], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """One queue's rows to the next queues: ``decide`` adds a ``route`` to each row, ``routes`` names a table for each.
+
+    Chained calls make the pipeline: the table one writes is the queue the next one reads. The checkpoint remembers
+    what was taken, which stands for deleting rows from the queue.
+    """
+    rows = spark.readStream.schema(schema).parquet(f"{queue}/batch=*")
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        routed = decide(batch).persist()
+        for route, path in routes.items():
+            routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        routed.unpersist()
+
+    writer = rows.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def decision_counters(decisions: DataFrame) -> DataFrame:
+    """Suggestions, approvals and rejections by source; works on streams (update mode) and tables."""
+    return decisions.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("decision") == "APPROVE").alias("approved"), F.count_if(F.col("decision") == "REJECT").alias("rejected"))
+
+
+def rejection_counters(decisions: DataFrame) -> DataFrame:
+    """How often each unordered pair was rejected for being different entities; works on streams (update mode) and tables."""
+    rejected = decisions.where("decision = 'REJECT' AND reason = 'different entity'")
+    return rejected.groupBy(F.least("canonical", "alias").alias("name_lo"), F.greatest("canonical", "alias").alias("name_hi"), "type").agg(F.count("*").alias("persistence_level"))
+
+
+def versioned(before: DataFrame | None, now: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """A snapshot with a ``version`` for each row: 1 when it is new, one more whenever any other column changed."""
+    state = [c for c in now.columns if c != key]
+    stamped = now.withColumn("stamp", F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in state]))
+    if before is None:
+        return stamped.withColumn("version", F.lit(1).cast("long"))
+    old = before.select(key, F.col("stamp").alias("old_stamp"), F.col("version").alias("old_version"))
+    joined = stamped.join(old, key, "left")
+    version = F.when(F.col("old_version").isNull(), 1).when(F.col("stamp") == F.col("old_stamp"), F.col("old_version")).otherwise(F.col("old_version") + 1)
+    return joined.select(key, *state, "stamp", version.cast("long").alias("version"))

@@ -21,7 +21,7 @@ def test_cosine_top_k_equals_brute_force(spark):
     v = rng.normal(size=(60, 8))
     v[7] = 0
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>")
-    got = {(r.source_id, r.target_id): r.rank for r in VE.cosine_top_k(df.where("id < 20"), df, 5, 0.2, query_block=6).collect()}
+    got = {(r.source_id, r.target_id): r.rank for r in VE.cosine_top_k(df.where("id < 20"), df, 5, 0.2, part_rows=16).collect()}
     want = {}
     for i in range(20):
         if i == 7:
