@@ -38,14 +38,27 @@ FURNITURE = frozenset("nav footer aside form script style noscript template ifra
 MARKED = frozenset(
     "alert disclaimer paywall ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-PAGE_TOP = frozenset("header masthead topbar".split())  # furniture outside of an article, unless named as its own
-OWN = frozenset("article entry post story".split())
+# Words that may stand beside them in one name ("sidebar-left", "site-footer"); with any other word ("has-sidebar",
+# "ad-free", "comment-status-open") a name tells nothing.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons col column container default first fixed global group horizontal inner item items large last left link links list main mobile module outer page panel primary right row secondary section side site small sticky top unit vertical wrap wrapper".split()
+)
+PAGE_TOP = frozenset("header masthead topbar".split())  # furniture outside of an article
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 SOFT = frozenset(["form"])  # may be wrapped around a whole page
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = BLOCKS - HEADINGS - frozenset("address caption dd dt figcaption li p pre summary".split())
 SIGMA = 1.0
 _WORD = re.compile(r"[a-z]+")
+
+
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether a name in a class or id attribute consists of ``words`` and words that may stand beside them."""
+    for name in value.split():
+        parts = set(_WORD.findall(name))
+        if parts & words and parts <= words | MARKED | BESIDE:
+            return True
+    return False
 _SPACE = re.compile(r"\s+")
 
 
@@ -108,8 +121,7 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             value = (value or "").lower()
             if name in ("class", "id"):
-                words = set(_WORD.findall(value))
-                if words & MARKED or (not region and words & PAGE_TOP and not words & OWN):
+                if _named(value, MARKED) or (not region and _named(value, PAGE_TOP)):
                     return True
             if name == "role" and value.strip() in ROLES:
                 return True
