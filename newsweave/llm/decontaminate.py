@@ -6,9 +6,10 @@ corpus. Document words are joined with those prefix tokens; the token's position
 where the window could stand (positional bound), which must lie inside the document (length bound), and
 the item-sized stretch of words there is compared with the window.
 
-Scale. Only occurrences of prefix tokens leave the scan. Benchmark tables are broadcast only after a
-count has bounded them, else the joins shuffle. Hits meet per document, never per item or window, so a
-passage that many documents share does not gather in one task.
+Scale. Only occurrences of prefix tokens leave the scan, with the few words of their window. Benchmark tables
+are broadcast only after a count of rows and bytes has bounded them; where the prefix tokens are too many,
+narrow word positions are shuffled, and each text once to meet its own candidates. Hits meet per document,
+never per item or window, so a passage that many documents share does not gather in one task.
 
 Edge cases. Null texts have no words. A null item id is left out of the id list but its windows hit.
 Repeated items and windows count once; repeated documents give one row each, and rows that share an id
@@ -17,11 +18,11 @@ but not the text are told apart by a text hash. Empty tables on either side give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.words import bind, lower_ascii, split_words
-from newsweave.plans.durable import broadcast_if_small, durable
+from newsweave.plans.durable import broadcast_if_small, durable, is_small
 
 WINDOW = 10
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,25 +47,49 @@ def prefix_tokens(windows: DataFrame, docs: DataFrame) -> DataFrame:
     vocabulary = durable(distinct.select(F.explode("window").alias("token")).distinct(), "vocabulary")
     counted = docs.select(F.explode(words_of(F.col("text"))).alias("token")).join(broadcast_if_small(vocabulary, MAX_BROADCAST_ROWS), "token").groupBy("token").agg(F.count("*").alias("n"))
     terms = distinct.select("window", "window_id", F.posexplode("window").alias("offset", "token"))
-    ranked = terms.join(counted, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("window_id", "window").orderBy("n", "token", "offset")))
-    return first.where("rank = 1 AND n > 0").select("token", "offset", "window", "window_id")
+    ranked = terms.join(broadcast_if_small(durable(counted, "counts"), MAX_BROADCAST_ROWS), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = ranked.groupBy("window_id", "window").agg(F.min(F.struct("n", "token", "offset")).alias("p"))
+    return first.where("p.n > 0").select("p.token", "p.offset", "window", "window_id")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"text": F.coalesce("text", F.lit("")), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def _hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
+    """``doc_id, text_key, start, width, window_id`` of every window that occurs in a document.
+
+    A prefix word is joined together with the stretch of the document's words that its window would fill, and
+    with nothing else of the document.
+    """
+    prefix = durable(prefix_tokens(windows, keyed), "prefix")
+    shapes = prefix.groupBy("token").agg(F.collect_set(F.struct("offset", F.size("window").alias("width"))).alias("shapes"))
+    shapes = durable(shapes, "shapes")
+    words = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+    if is_small(shapes, MAX_BROADCAST_ROWS):
+        spread = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("at", "token"))
+        met = spread.join(F.broadcast(shapes), "token").select("doc_id", "text_key", "words", F.explode("shapes").alias("s"), (F.col("at") - F.col("s.offset")).alias("start"))
+    else:
+        spread = words.select("doc_id", "text_key", F.posexplode("words").alias("at", "token"))
+        places = spread.join(shapes, "token").select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.explode("shapes").alias("s"), (F.col("at") - F.col("s.offset")).alias("start"))
+        places = places.groupBy("p_id", "p_key").agg(F.collect_set(F.struct("s", "start")).alias("places"))
+        mine = words.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")))
+        met = mine.select("doc_id", "text_key", "words", F.explode("places").alias("p")).select("doc_id", "text_key", "words", "p.s", "p.start")
+    inside = met.where((F.col("start") >= 0) & (F.col("start") + F.col("s.width") <= F.size("words")))
+    stretch = F.slice("words", F.col("start") + 1, F.col("s.width"))
+    found = inside.select("doc_id", "text_key", "start", F.col("s.width").alias("width"), stretch.alias("window"))
+    known = broadcast_if_small(prefix.select("window", "window_id"), MAX_BROADCAST_ROWS)
+    return found.join(known, "window").select("doc_id", "text_key", "start", "width", "window_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` (and the ids, ``items``) for each row of ``docs``."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keyed = _keyed(docs.select("doc_id", "text"))
     windows = durable(item_windows(benchmark), "windows")
-    prefix = durable(prefix_tokens(windows, keyed), "prefix")
-    spread = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words")).select("doc_id", "text_key", "words", F.posexplode("words").alias("at", "token"))
-    met = spread.join(broadcast_if_small(prefix, MAX_BROADCAST_ROWS), "token")
-    start, width = F.col("at") - F.col("offset"), F.size("window")
-    inside = (start >= 0) & (start + width <= F.size("words"))
-    same = F.when(inside, F.slice("words", start + 1, width) == F.col("window")).otherwise(F.lit(False))
-    hits = durable(met.where(same).select("doc_id", "text_key", start.alias("start"), width.alias("width"), "window_id").distinct(), "hits")
+    hits = durable(_hits(keyed, windows), "hits")
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.col("spans"), lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1)))))
     by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "width")).alias("spans")).select("doc_id", "text_key", covered.cast("long").alias("n_hit"))
-    owners = windows.select(F.xxhash64("window").alias("window_id"), "item_id").where("item_id IS NOT NULL").distinct()
+    owners = durable(windows.select(F.xxhash64("window").alias("window_id"), "item_id").where("item_id IS NOT NULL").distinct(), "owners")
     items = hits.select("doc_id", "text_key", "window_id").distinct().join(broadcast_if_small(owners, MAX_BROADCAST_ROWS), "window_id")
     items = items.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = by_doc.join(items, by_doc.doc_id.eqNullSafe(items.doc_id) & (by_doc.text_key == items.text_key), "left")
@@ -82,6 +107,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in whose text no window occurs, whatever their id."""
+    hits = _hits(_keyed(docs.select("doc_id", "text")), durable(item_windows(benchmark), "windows"))
+    dirty = durable(hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dirty")
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = keyed["doc_id"].eqNullSafe(dirty["__id"]) & (keyed["__text_key"] == dirty["__key"])
+    return keyed.join(broadcast_if_small(dirty, MAX_BROADCAST_ROWS), met, "left_anti").drop("__text_key")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),

@@ -7,18 +7,19 @@ in the same order for every document. Bands of registers give candidate keys; tw
 register give a Jaccard estimate that is corrected for accidental collisions; what the estimate does
 not exclude is verified on the full shingle sets of the whole texts.
 
-Scale. Documents with equal sets collapse into one class first. Within a key every class is compared
-with the key's smallest class only (a star, linear in the group); after the links found so far are
+Scale. Documents with equal sets collapse into one class first, on the map side; only classes of several
+documents or with links are looked up again by their rows. Within a key every class is compared
+with the class of the key's smallest ``doc_id`` only (the document that would stay; a star, linear in the group); after the links found so far are
 closed into components, only pairs of one key that lie in different components are looked at, and the
 join itself drops those that cannot be linked. No cap on groups, no pairs within a component. What drops
-a pair is its sizes, its estimate (4.5 standard deviations below the threshold) or its odd sketch: every
-bit in which two odd sketches differ needs an element that the sets do not share, so more such bits than
-a link allows exclude it for certain.
+a pair is its sizes or its odd sketch, both for certain: every bit in which two odd sketches differ needs an
+element that the sets do not share, so more such bits than a link allows exclude it. The estimate of the
+registers drops what is ``SLACK`` standard deviations below the threshold.
 
 Edge cases. Null, empty and blank texts have an empty set, are linked with nothing and form their own
 component. A text of fewer words than a shingle is one shingle. Repeated rows give one result row each
-(same class). A null ``doc_id`` is kept: its row reports a null component and is kept. Extra columns of
-the input are ignored here.
+(same class); rows that share an id but not the text are told apart by a text hash. A null ``doc_id`` is kept:
+its row reports a null component and is kept. Extra columns of the input are ignored here.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.textscan import mix, shingle_sets, text_slices
+from newsweave.llm.textscan import give_back, mix, shingle_sets, text_slices
 from newsweave.plans.durable import broadcast_if_small, durable
 from newsweave.plans.graph import connected_components
 
@@ -43,6 +44,7 @@ PLANES = 8  # longs of packed register bits: two planes of 256 bits
 ODD = 16  # longs of the odd sketch: 1,024 bits
 MAX_BROADCAST_IDS = 2_000_000
 MISS_PROBABILITY = 1e-7  # of a pair at the threshold, over all bands
+SLACK = 5.5  # standard deviations: a pair at the threshold falls below with a probability of 2e-8
 
 
 def _fill_order() -> np.ndarray:
@@ -104,8 +106,13 @@ def banding(threshold: float, miss: float = MISS_PROBABILITY) -> tuple[int, int]
     return 1, REGISTERS
 
 
+def text_key() -> F.Column:
+    """Tells rows of one id but different texts apart; a null text is as good as an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, bands, planes, odd`` for each row of ``doc_id, text``.
+    """``doc_id, text_key, n_shingles, set_a, set_b, bands, planes, odd`` for each row of ``doc_id, text``.
 
     ``set_a`` and ``set_b`` fingerprint the whole set, ``bands`` are the candidate keys, ``planes`` the
     two low bits of each (mixed) register and ``odd`` the parity of each of 1,024 cells of the set.
@@ -115,7 +122,7 @@ def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 sets = shingle_sets(data, offsets, width)
                 regs = registers(sets)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -137,6 +144,7 @@ def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array(sizes),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
@@ -144,11 +152,12 @@ def sketches(docs: DataFrame, threshold: float, width: int = 5) -> DataFrame:
                         pa.ListArray.from_arrays(np.arange(0, len(sets) * PLANES + 1, PLANES, dtype=np.int32), pa.array(planes.reshape(-1))),
                         pa.ListArray.from_arrays(np.arange(0, len(sets) * ODD + 1, ODD, dtype=np.int32), pa.array(odd)),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "planes", "odd"],
+                    ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "planes", "odd"],
                 )
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, planes array<long>, odd array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text").mapInArrow(
+        scan, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, planes array<long>, odd array<long>"
     )
 
 
@@ -160,7 +169,7 @@ def _excluded(threshold: float, p: str, q: str) -> F.Column:
     small, large = f"least({p}.n_shingles, {q}.n_shingles)", f"greatest({p}.n_shingles, {q}.n_shingles)"
     allowed = f"{(1 - threshold) / (1 + threshold)} * ({p}.n_shingles + {q}.n_shingles)"
     agree = threshold + (1 - threshold) / 4  # expected share of equal two-bit registers at the threshold
-    slack = f"4.5 * sqrt({agree * (1 - agree) / 0.75**2} / least({REGISTERS}, {small}))"
+    slack = f"{SLACK} * sqrt({agree * (1 - agree) / 0.75**2} / least({REGISTERS}, {small}))"
     return F.expr(f"({small} < {threshold} * {large} - 1e-6) OR ({apart} > {allowed} + 1e-6) OR (1 - ({differ}) / {REGISTERS}.0 / 0.75 < {threshold} - {slack})")
 
 
@@ -183,36 +192,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, numerator: int, width: int) ->
                 keep.append(100 * both >= numerator * (len(a) + len(b) - both))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+        give_back()
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``).
+    """``doc_id, n_shingles, component_id, kept, text_key, group`` for each row of ``docs`` (``doc_id``, ``text``).
 
     Documents are linked when ``100 * intersection >= percent * union`` of their shingle sets;
-    ``component_id`` is the smallest ``doc_id`` that links reach and ``kept`` marks that document.
+    ``component_id`` is the smallest ``doc_id`` that links reach and ``kept`` marks that document. ``group`` is one
+    number for all rows of a component, null for empty sets.
     """
     threshold = percent / 100
     rows = durable(sketches(docs, threshold, width), "sketches")
-    same = ["n_shingles", "set_a", "set_b"]
-    members = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    classes = durable(members.where("class_id IS NOT NULL").join(rows.select("doc_id", *same, "bands", "planes", "odd"), same).where("doc_id = class_id").dropDuplicates(["class_id"]), "classes")
-
-    keys = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("id"))
-    firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shape = classes.select(F.col("class_id").alias("id"), "n_shingles", "planes", "odd")
+    sets = rows.where("n_shingles > 0").withColumn("id", F.xxhash64("n_shingles", "set_a", "set_b"))
+    owner = F.struct("doc_id", "text_key")
+    classes = sets.where("doc_id IS NOT NULL").groupBy("id").agg(F.min(owner).alias("rep"), F.min_by(F.struct("n_shingles", "bands", "planes", "odd"), owner).alias("s"), F.count("*").alias("n_rows"))
+    classes = durable(classes.select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "s.*", "n_rows"), "classes")
+
+    keys = classes.select(F.explode("bands").alias("key"), "id", "doc_id")
+    firsts = keys.groupBy("key").agg(F.min(F.struct("doc_id", "id"))["id"].alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    keys = keys.drop("doc_id")
+    shape = classes.select("id", "n_shingles", "planes", "odd")
     stars = keys.join(firsts, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     x, y = shape.alias("x"), shape.alias("y")
     stars = durable(stars.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(~_excluded(threshold, "x", "y")).select("a", "b"), "stars")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), "text")
 
     def needed(pairs: DataFrame) -> DataFrame:
-        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        return texts.join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi")
+        """``id, text`` of the classes in ``pairs``, each once."""
+        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "text_key"), "id"), "ids")
+        return texts.join(broadcast_if_small(ids, MAX_BROADCAST_IDS), ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"])
 
     links = durable(_verified(stars, needed(stars), percent, width), "links")
     labels = connected_components(links, "a", "b")
@@ -228,10 +242,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     more = _verified(pairs, needed(pairs), percent, width)
     labels = connected_components(links.unionByName(more), "a", "b")
 
-    named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(*same, F.coalesce("label", "class_id").alias("component"))
-    found = rows.select("doc_id", *same).join(named, same, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked = labels.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
+    best = linked.groupBy("label").agg(F.min("doc_id").alias("component"))
+    linked = linked.join(best, "label").select(F.col("node").alias("id"), "component", F.col("label").alias("group"))
+    copies = classes.where("n_rows > 1").join(linked, "id", "left_anti").select("id", F.col("doc_id").alias("component"), F.col("id").alias("group"))
+    changed = broadcast_if_small(durable(linked.unionByName(copies), "changed"), MAX_BROADCAST_IDS)
+    found = rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "set_a", "set_b")).alias("id")).join(changed, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", F.coalesce("group", "id").alias("group"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component; rows without an id stay, and so do rows without words.
+
+    Decided by row: where several rows of a component share the smallest id, the one of smallest text hash stays.
+    """
+    found = durable(near_duplicates(docs, percent, width).where("doc_id IS NOT NULL"), "near")
+    first = found.where("kept AND group IS NOT NULL").groupBy("group", "doc_id").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = found.where("kept").join(broadcast_if_small(durable(first, "first"), MAX_BROADCAST_IDS), ["group", "doc_id"]).where("text_key <> first")
+    dropped = found.where("NOT kept").unionByName(later.select(*found.columns)).select("doc_id", "text_key").distinct()
+    again = found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
+    on = lambda df, name: broadcast_if_small(durable(df.toDF("__id", "__key"), name), MAX_BROADCAST_IDS)
+    left = keyed.join(on(dropped, "dropped"), ["__id", "__key"], "left_anti")
+    again = on(again, "again")
+    once = left.join(again, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return left.join(again, ["__id", "__key"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.textscan import subword_coder, text_slices
+from newsweave.llm.textscan import give_back, subword_coder, text_slices
 
 POOL_IDS = 1 << 21
 STEP_IDS = 1 << 15
@@ -144,7 +144,10 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int =
                         yield rows(windows)
                         held = {doc: held[doc] for _, doc, _ in pool}
                         size = sum(p[0] for p in pool)
+                        give_back()
         windows, pool = tier_windows(pool, max_len)
         yield rows(windows + last_windows(pool, max_len))
+        held.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, ", ".join(f"{c} long" for c in COLUMNS))

@@ -95,15 +95,25 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     return rated.withColumn("host_kept", F.greatest(*[f"rate_{r}" for r in RULES]) <= MAX_HOST_RATE)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The counts, ``base_failed`` and ``kept`` of each row of ``docs`` (``doc_id, text, source``)."""
-    measured = durable(measures(docs), "measures")
+def _verdicts(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed``, ``host_kept`` and ``kept``."""
     verdicts = durable(host_verdicts(measured).select(F.col("source").alias("host"), "host_kept"), "verdicts")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     joined = measured.join(broadcast_if_small(verdicts, MAX_BROADCAST_HOSTS), F.col("source").eqNullSafe(F.col("host")), "left")
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("host_kept")).alias("kept"), "source", "host_kept"
-    )
+    return joined.withColumns({"base_failed": base, "kept": ~base & F.col("host_kept")})
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The counts, ``base_failed`` and ``kept`` of each row of ``docs`` (``doc_id, text, source``)."""
+    rows = _verdicts(durable(measures(docs), "measures"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_kept")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept; each row goes by its own text, whatever its id."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _verdicts(durable(measures(whole, ("row",)), "measures")).where("kept")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -6,6 +6,7 @@ numpy working set stays bounded; one document longer than a slice forms a slice
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -63,6 +64,29 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+def joined_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of batches as one batch each, closed at ``limit`` bytes of ``column``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def give_back() -> None:
+    """Hand memory that is free again to the system: Python workers are kept for other tasks, beside a full executor heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -134,6 +158,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     return sets
 
 
+JOINED_BYTES = 1 << 15  # the library takes about a hundred bytes of memory for each byte of a string
+
+
 class SubwordCoder:
     """Token ids of whole texts from a public tokenizer file, each distinct piece encoded once.
 
@@ -300,20 +327,24 @@ class SubwordCoder:
     def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of each piece's; the first ``joined`` pieces may be encoded in one string."""
         parts, counts = [], []
-        if joined:
-            text = raw[: ends[joined - 1]].tobytes().decode("utf-8", "replace")
+        at = 0
+        while at < joined:
+            end = min(joined, max(at + 1, int(np.searchsorted(ends, starts[at] + JOINED_BYTES, "right"))))
+            text = raw[starts[at] : ends[end - 1]].tobytes().decode("utf-8", "replace")
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-            after = np.cumsum(self.id_bytes[ids])
-            cut = np.searchsorted(after, ends[:joined]) + 1
-            if len(ids) and cut[-1] == len(ids) and np.array_equal(after[cut - 1], ends[:joined]):
-                parts, counts = [ids], [np.diff(cut, prepend=0)]
-            else:
-                joined = 0  # bytes that are no UTF-8, or a tokenizer whose ids do not stand for bytes
+            after = np.cumsum(self.id_bytes[ids]) + starts[at]
+            cut = np.searchsorted(after, ends[at:end]) + 1
+            if not len(ids) or cut[-1] != len(ids) or not np.array_equal(after[cut - 1], ends[at:end]):
+                break  # bytes that are no UTF-8, or a tokenizer whose ids do not stand for bytes
+            parts.append(ids)
+            counts.append(np.diff(cut, prepend=0))
+            at = end
         body = raw.tobytes()
-        pieces = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[joined:].tolist(), ends[joined:].tolist(), strict=True)]
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else ():
-            parts.append(np.array(e.ids, np.int64))
-            counts.append(np.array([len(e.ids)]))
+        pieces = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[at:].tolist(), ends[at:].tolist(), strict=True)]
+        for lo in range(0, len(pieces), 256):
+            for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + 256], add_special_tokens=False):
+                parts.append(np.array(e.ids, np.int64))
+                counts.append(np.array([len(e.ids)]))
         return np.concatenate(parts).astype(self.id_type), np.concatenate(counts)
 
     def _thin(self) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsweave.llm.rans import SCALE_BITS, Tables, decode_blocks, encode_blocks, normalised
-from newsweave.llm.textscan import subword_coder, text_slices
+from newsweave.llm.textscan import give_back, subword_coder, text_slices
 from newsweave.plans.durable import durable, shared_dir
 
 BLOCK_IDS = 1 << 16
@@ -61,6 +61,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     ],
                     names,
                 )
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_tokens long, ids binary, counts binary")

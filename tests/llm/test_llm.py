@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsweave.llm import attention_lm, decontaminate, license_scan, minhash, packing, page_text, quality, queries, rans, secret_scan, token_files, toxicity
+from newsweave.llm import decontaminate, license_scan, minhash, packing, page_text, quality, queries, rans, secret_scan, token_files, toxicity
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -294,40 +294,6 @@ def test_toxicity(spark, edges, empty, sf_dir):
     assert toxicity.scored(edges, none).count() == len(edge_rows()) and toxicity.scored(empty, labels).count() == 0
 
 
-def test_language_model(spark, edges, empty):
-    rows = [r for r in edge_rows() if r[0] is not None]
-    got = {r.doc_id: r for r in attention_lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), queries.tokenizer_file()).collect()}
-    train = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update([*words(t), None])
-    n, v = sum(train.values()), len(train)
-    for i, t in rows:
-        tokens = [*words(t), None]
-        base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens)
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(train[w] > 0 for w in tokens), n, zlib.crc32(str(i).encode()) % 7 == 2)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
-    assert attention_lm.scored(empty, queries.tokenizer_file()).count() == 0
-    assert attention_lm.scored(edges, queries.tokenizer_file()).count() == len(edge_rows())
-
-
-def test_attention_is_causal_and_its_gradient_is_right():
-    lm = attention_lm.AttentionLm()
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, attention_lm.CLASSES, (3, attention_lm.WINDOW))
-    z, _ = lm.forward(x, attention_lm.WINDOW)
-    y = x.copy()
-    y[:, 20:] = (y[:, 20:] + 1) % attention_lm.CLASSES
-    z2, _ = lm.forward(y, attention_lm.WINDOW)
-    shape = (3, attention_lm.WINDOW, -1)
-    assert np.allclose(z.reshape(shape)[:, :20], z2.reshape(shape)[:, :20], atol=1e-5)
-    targets = np.roll(x, -1, axis=1)
-    moments = [(np.zeros_like(w), np.zeros_like(w)) for w in lm.weights()]
-    losses = [lm.train_step(x, targets, moments, k + 1) for k in range(60)]
-    assert losses[-1] < 0.6 * losses[0]
-
-
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
@@ -369,6 +335,35 @@ def test_pipeline_stages_take_edge_cases(spark, edges, empty):
                 assert [r.doc_id for r in rows].count(7) == 1 and None in {r.doc_id for r in rows}
 
 
+def test_stages_decide_by_row(spark):
+    """Null ids, and ids that different texts share: each row goes or stays by its own text."""
+    import corpus_pipeline as C
+
+    good = lambda k: " ".join(f"g{k}x{j}" for j in range(80))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 200").first()["text"]
+    rows = [(None, "short"), (None, good(1)), (1, "too short"), (1, good(2)), (1, good(3)), (1, good(3)), (2, good(3) + " tail"), (None, good(3)), (5, good(5)), (5, good(5) + " y"), (6, None), (None, None)]
+    rows += [(None, good(7) + " " + bench), (9, good(9) + " " + bench), (9, good(10))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("h").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, df, "/root/testdata/sf0.001").collect()), key=repr)
+    short = {"short", "too short", None}
+    with mock.patch.object(quality, "MAX_HOST_RATE", 1.0):
+        assert left(C.quality_rules) == sorted((r for r in rows if r[1] not in short), key=repr)
+    assert left(C.decontamination) == sorted((r for r in rows if bench not in (r[1] or "")), key=repr)
+    kept = left(C.near_dedup)
+    gone = [(1, good(3)), (2, good(3) + " tail")]
+    assert [r for r in kept if r[0] is None] == sorted((r for r in rows if r[0] is None), key=repr)
+    assert (1, "too short") in kept and (1, good(2)) in kept and kept.count((1, good(3))) == 1 and gone[1] not in kept
+    assert sum(r[0] == 5 for r in kept) == 1 and (6, None) in kept and (9, good(10)) in kept and len(kept) == len(rows) - 3
+
+
+def test_decontamination_without_broadcasts(spark, edges):
+    bench = spark.createDataFrame([(1, "w1 w2"), (2, " ".join(f"w{i}" for i in range(40))), (3, "one two")], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.contamination(edges, bench).collect()), key=repr)
+    with mock.patch.object(decontaminate, "MAX_BROADCAST_ROWS", -1):
+        assert sorted(map(tuple, decontaminate.contamination(edges, bench).collect()), key=repr) == want
+    assert any(r[-1] for r in want)
+
+
 def test_oracles(spark, sf_dir):
     from compare import same_rows
 
@@ -387,19 +382,6 @@ def test_long_documents_are_coded_alone():
     assert max(sum(map(len, parts)) for g in groups if len(g) > 1 for _, parts in g) < 2 * size
 
 
-def test_a_word_of_more_than_65535_ids(spark):
-    rows = [(k, "some plain words of text " * 40) for k in range(1, 6)] + [(9, "before " + "a1" * 40_000 + " after it"), (10, "words after it")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: r for r in attention_lm.scored(df, queries.tokenizer_file()).collect()}
-    assert [got[9].n_tokens, got[10].n_tokens] == [5, 4] and got[9].score < got[10].score < 0
-    folder = token_files.fresh_folder(spark, "t")
-    token_files.write_token_files(df, folder, queries.tokenizer_file(), 0)
-    read = {r.doc_id: r for r in token_files.read_token_files(spark, folder).collect()}
-    for (i, _), ids in zip(rows, token_ids([t for _, t in rows]), strict=True):
-        assert (read[i].n_tokens, read[i].ids_crc32) == (len(ids) + 1, crc([*ids, 0]))
-    assert read[9].n_tokens > 1 << 16
-
-
 def test_wrapped_licences(spark):
     s = license_scan.SENTENCES
     wrap = lambda names, lead, eol="\n": f"{eol}{lead.rstrip()}{eol}".join(eol.join(lead + x for x in textwrap.wrap(s[n], 72)) for n in names)
@@ -420,45 +402,50 @@ def test_wrapped_licences(spark):
     assert [got[k].sentence_ids for k in (1, 2, 8, 9)] == ["mit-grant,mit-notice", "apache-grant,apache-copy", "apache-grant", "mit-line,ccby-line,mit-lic"]
 
 
-def test_every_id_of_a_training_text_is_learnt_once():
-    bounds = np.array([0, 1, 5, 29, 53, 110, 111])
-    classes = np.arange(111) % attention_lm.CLASSES
-    train = np.array([True, True, False, True, True, True])
-    start, stop, text = attention_lm._training_windows(classes, bounds, train)
-    learnt = np.concatenate([np.arange(a, b) for a, b in zip(start, stop, strict=True)])
-    assert learnt.tolist() == [k for k in range(111) if not 5 <= k < 29]
-    assert (start >= bounds[text]).all() and (stop <= bounds[text + 1]).all()
-
-
-def test_training_learns_the_ends_of_short_texts(spark):
-    end, n = 9, 400
-    ids = np.arange(2, dtype=np.uint16)  # texts of one id 1 and the end
-    counts = np.zeros(end + 1, np.int64)
-    counts[[1, end]] = n
-    row = (0, bytes(attention_lm._deflated(np.ones(n, "<u4").tobytes())), np.ones(n, "<i4").tobytes(), np.ones(n, bool).tobytes(), ids.astype("<u2").tobytes(), np.ones(2, "<u4").tobytes())
-    chunks = spark.createDataFrame([row], "chunk long, words binary, lengths binary, train binary, ids binary, id_counts binary")
-    with mock.patch.object(attention_lm, "SINGLE", 8):
-        classes = attention_lm.Classes(counts)
-    start = attention_lm.AttentionLm().flat()
-    weights = attention_lm.fit(chunks.repartition(1), classes, end)
-    inputs = np.full((1, attention_lm.WINDOW), attention_lm.CLASSES)
-    inputs[0, -attention_lm.STRIDE + 1 :] = classes.of[1]
-    targets = np.full((1, attention_lm.STRIDE), classes.of[end])
-    before, after = (attention_lm.AttentionLm().load(w).target_log10(inputs, targets)[0, 1] for w in (start, weights))
-    assert after > before + 0.1
-
-
-def test_uncounted_places_teach_nothing():
-    rng = np.random.default_rng(2)
-    x, y = (rng.integers(0, attention_lm.CLASSES, (4, n)) for n in (attention_lm.WINDOW, attention_lm.STRIDE))
-    counted = rng.random(y.shape) < 0.5
-    other = np.where(counted, y, (y + 7) % attention_lm.CLASSES)
-    flats = []
-    for t in (y, other):
-        lm = attention_lm.AttentionLm()
-        lm.train_step(x, t, [(np.zeros_like(w), np.zeros_like(w)) for w in lm.weights()], 1, counted)
-        flats.append(lm.flat())
-    assert np.array_equal(*flats)
+def licence_texts():
+    """Whole licences and headers as they stand in files: wrapped, numbered, behind comment leaders."""
+    s = license_scan.SENTENCES
+    para = lambda names, lead="", width=70: "\n".join(lead + x for x in textwrap.wrap(" ".join(s[n] for n in names), width))
+    bsd = lambda names: "\n\n".join([para(["bsd-redist"])] + ["\n".join(textwrap.wrap(f"{k}. {s[n]}", 72, subsequent_indent="   ")) for k, n in enumerate(names, 1)])
+    return [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n\n".join(para([n]) for n in ("mit-grant", "mit-notice", "mit-warranty"))),
+        ("ISC", para(["isc-grant"]) + "\n\n" + para(["isc-warranty"])),
+        ("0BSD", para(["zero-grant"]) + "\n\n" + para(["isc-warranty"])),
+        ("BSD-2-Clause", bsd(["bsd-source", "bsd-binary"])),
+        ("BSD-3-Clause", bsd(["bsd-source", "bsd-binary", "bsd-name"])),
+        ("Apache-2.0", para(["apache-grant", "apache-copy"], " * ") + "\n *\n *    http://www.apache.org/licenses/LICENSE-2.0\n *\n" + para(["apache-basis"], " * ")),
+        ("MPL-2.0", para(["mpl-form", "mpl-copy-https"], "// ", 50)),
+        ("GPL-2.0-only", para(["gpl2-only"], "# ") + "\n#\n" + para(["gpl-hope"], "# ")),
+        ("GPL-2.0-or-later", para(["gpl2-free"], "-- ") + "\n\n" + para(["gpl-hope"], "-- ")),
+        ("GPL-3.0-or-later", para(["gpl-free", "gpl-hope"], "; ", 40)),
+        ("LGPL-2.1-or-later", para(["lgpl2-free"]) + "\n\n" + para(["lgpl2-hope"])),
+        ("LGPL-3.0-or-later", para(["lgpl3-free", "gpl-hope"], "% ")),
+        ("AGPL-3.0-or-later", para(["agpl3-free", "gpl-hope"], "    ")),
+        ("CC0-1.0", para(["cc0-deed", "cc0-free"])),
+        ("CC-BY-NC-SA-4.0", para(["ccbyncsa-work"], "> ", 30)),
+        ("Unlicense", para(["unlicense-free"]) + "\n\n" + para(["unlicense-any"])),
+        ("Apache-2.0,MIT", "// SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: Apache-2.0\n"),
+        ("", para(["bsd-name", "bsd-binary", "bsd-source", "bsd-redist"])),
+        ("", para(["gpl-hope", "gpl-free"])),
+        ("", s["mit-grant"].replace("any person", "some person") + "\n" + s["mit-notice"]),
+        ("", "The licensed sommelier had permission. Software copyright distribute."),
+    ]
+
+
+def test_whole_licences_and_their_sql(spark):
+    import duckdb
+
+    rows = [(k, t, name) for k, (name, t) in enumerate(licence_texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string").withColumns({c: F.lit(1) for c in ("ids", "licences", "n_sentences")})
+    got = {r.doc_id: tuple(r) for r in license_scan.licences(df).collect()}
+    assert [got[k][3] for k, _, _ in rows] == [n for _, _, n in rows]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {r[0]: r for r in c.execute(license_scan.ORACLE_SQL).fetchall()} == got
+    for a in license_scan.KNOWN:  # no sentence begins with three words that end another one
+        assert not any(a.endswith(" " + " ".join(b.split()[:k])) for b in license_scan.KNOWN for k in range(3, len(b.split())))
+    assert all(any(w in k.split() for w in license_scan.ANCHORS) for k in license_scan.KNOWN) and len(license_scan.ANCHORS) < 12
 
 
 def test_pages_by_ratio():
@@ -476,6 +463,92 @@ def test_pages_by_ratio():
     assert "4 A sentence" in text and "Reader" not in text
 
 
+SAID = "A sentence of the main text that goes on for a good while, with no tag inside, as main text does."
+
+
+def own_pages():
+    """Pages and the texts that they should give."""
+    texts = [f"{k} {SAID} {SAID}" for k in range(4)]
+    paras, whole = "".join(f"<p>{t}</p>" for t in texts), "\n".join(texts)
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(12)) + "</ul>"
+    long = [f"{k} {SAID * 3}" for k in range(3000)]
+    return [
+        (f"<body><div class='has-sidebar'><article>{paras}</article></div></body>", whole),
+        (f"<article class='post comment-status-open'>{paras}</article>", whole),
+        (f"<body class='has-sidebar'><div>{paras}</div></body>", whole),
+        (f"<div class='no-ads'><div>{paras}</div></div>", whole),
+        (f"<article><div class='ad-free entry-content'>{paras}</div></article>", whole),
+        (f"<article>{paras}<p class='lead-comment-count'>Short lead.</p></article>", whole + "\nShort lead."),
+        (f"<body><p>{SAID}</p><p>{SAID}</p>{links}</body>", SAID + "\n" + SAID),
+        (f"<body><p>{SAID * 3}</p>{links}</body>", SAID * 3),
+        (f"<div id=a>{links}</div><div id=content><h2>T</h2>{paras}</div><div>{links}</div>", "T\n" + whole),
+        (f"<table><tr><td>{links}</td><td>{paras}</td></tr></table>", whole),
+        (f"<article>{paras}<div class='comments-list'><div class=comment><p>{SAID}</p><div class=comment><p>{SAID}</p></div></div></div></article>", whole),
+        (f"<article>{paras}</article><section id='comments'><p>{SAID * 4}</p></section>", whole),
+        (f"<article>{paras}<ul><li>first thing</li><li>second thing</li></ul></article>", whole + "\nfirst thing\nsecond thing"),
+        (f"<body><div><p>{SAID}<p>{SAID}<div>{SAID}", "\n".join([SAID] * 3)),
+        (f"<article>{paras}<p hidden>no</p><p style='display: none'>no</p></article>", whole),
+        (f"<div class='site-notice'><p>{SAID}</p></div><article>{paras}</article><div id='footer_links'>{SAID}</div>", whole),
+        (f"<header class=site-header><p>{SAID}</p></header><main>{paras}</main><aside>{SAID}</aside><footer>{SAID}</footer>", whole),
+        (f"<article><h1>A &lt;b&gt; &amp; c&nbsp;d</h1>{paras}<script>var p = '<p>{SAID}</p>'</script></article>", "A <b> & c d\n" + whole),
+        (f"<article>{paras}</b></div></p><form><p>{SAID}</p></form><button>Go</button></article>", whole),
+        ("<article>" + "".join(f"<p>{t}</p>" for t in long) + "</article>", "\n".join(long)),
+        (f"<div><div class=menu>{links}</div><section>{paras}</section></div>", whole),
+        ("<p>  one \n\t two  </p><!-- no --><p></p>", "one two"),
+    ]
+
+
+def test_own_pages(spark):
+    pages = own_pages()
+    df = spark.createDataFrame([(k, f"u{k}", h) for k, (h, _) in enumerate(pages)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "lines")})
+    got = {r.page_id: r for r in page_text.extracted(df).collect()}
+    for k, (_, text) in enumerate(pages):
+        assert (got[k].text, got[k].n_chars, got[k].url) == (text, len(text), f"u{k}"), k
+
+
+def brute_text(html):
+    """The method once more, line by line, on the parser's lines: ratios, smoothing, threshold, regions."""
+    parser = page_text._Lines()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_line()
+    lines = parser.lines
+    bad = []
+    held = Counter(m for t, _, p in lines if not p.hard for m in p.marks for _ in t)
+    total = sum(len(t) for t, _, p in lines if not p.hard)
+    sure = any(p.region and not p.hard and not p.marks for _, _, p in lines)
+    for _, _, p in lines:
+        bad.append(p.hard or any(sure or m < 0 or 2 * held[m] <= total for m in p.marks))
+    if all(bad):
+        return ""
+    ratio = [0.0 if b else len(t) / (n + 1) for (t, n, _), b in zip(lines, bad)]
+    level = []
+    for i in range(len(ratio)):
+        near = [(j, math.exp(-0.5 * (i - j) ** 2)) for j in range(max(0, i - 3), min(len(ratio), i + 4))]
+        level.append(sum(w * ratio[j] for j, w in near) / sum(w for _, w in near))
+    mean = sum(level) / len(level)
+    least = min(math.sqrt(sum((x - mean) ** 2 for x in level) / len(level)), max(x for x, b in zip(level, bad) if not b) / 2)
+    inside = [x >= least and not b for x, b in zip(level, bad)]
+    chosen = [c and r >= least for c, r in zip(inside, ratio)]
+    chosen = chosen if any(chosen) else inside
+    where = [("a", p.region) if p.region else ("h", p.holder) for _, _, p in lines]
+    size = Counter(w for w, c, (t, _, _) in zip(where, chosen, lines) if c for _ in t)
+    best = max([n for (kind, _), n in size.items() if kind == "a"], default=0)
+    kept = {w for w, n in size.items() if w[0] == "a" or n >= best}
+    return "\n".join(t for k, (t, _, p) in enumerate(lines) if not bad[k] and (where[k] in kept or not best and inside[k] and p.heading))
+
+
+def test_pages_match_the_method_in_plain_python(spark, sf_dir):
+    pages = [h for h, _ in own_pages() if len(h) < 100_000] + [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rng = random.Random(3)
+    tags = ["p", "div", "article", "ul", "li", "nav", "h2", "section", "span", "a", "table", "td", "form"]
+    for _ in range(200):
+        parts = [rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "<div class=sidebar>", SAID, "short", "&amp;", "<br>", "<"]) for _ in range(rng.randrange(60))]
+        pages.append("".join(parts))
+    for h in pages:
+        assert page_text.main_text(h) == brute_text(h)
+
+
 def test_pages_resume_after_what_the_parser_rejects():
     for bad in ("<![weird[x]]>", "<!ELEMENT [", "<![if !IE]>", "<!DOCTYPE html [<!foo>]>"):
         assert "Behind it." in page_text.main_text(f"<div><p>Before it.</p>{bad}<p>Behind it.</p></div>"), bad
