@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns
 of ``documents``. Decisions take effect: rejected, repeated and contaminated documents go, secrets are
-replaced, and what is left is packed. Between stages the documents are written as Parquet.
+replaced, and what is left is packed. Every row goes or stays by its own text; a null id or an id that several
+rows share decides nothing. Between stages the documents are written as Parquet.
 """
 
 from __future__ import annotations
@@ -10,43 +11,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, packing, quality, secret_scan
-from newsweave.llm.minhash import near_duplicates
+from newsweave.llm import decontaminate, minhash, packing, quality, secret_scan
 from newsweave.llm.queries import tokenizer_file
-from newsweave.plans.durable import broadcast_if_small, durable, shared_dir
+from newsweave.plans.durable import delete_folder, shared_dir
 from newsweave.plans.workers import workers_import
 
 NEAR_PERCENT = 80
-MAX_BROADCAST_IDS = 2_000_000
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``dropped``; a null id is never dropped."""
-    return docs.join(broadcast_if_small(durable(dropped.distinct(), "dropped"), MAX_BROADCAST_IDS), "doc_id", "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the host-level rules reject."""
-    return _without(docs, quality.judged(docs).where(~F.col("kept")).select("doc_id"))
+    return quality.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each near-duplicate component."""
     workers_import(spark)
-    left = _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id"))
-    again = durable(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not again.limit(1).count():
-        return left
-    repeated = left.join(broadcast_if_small(again, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, again).unionByName(repeated)
+    return minhash.one_of_each(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id"))
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +61,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
