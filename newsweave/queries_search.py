@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsweave.operators import articles as AR
 from newsweave.operators import clusters as CL
+from newsweave.operators import dedup as DD
 from newsweave.operators import entities as EN
 from newsweave.operators import matching as MA
 from newsweave.operators import similarity as SI
@@ -332,3 +333,51 @@ def cluster_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda df: df.groupBy("cluster_id").agg(F.countDistinct("article_id").alias("articles"))
     first = ST.versioned(None, size(rows.where(F.col("pub_date") < F.lit("2000-01-01").cast("timestamp_ntz"))))
     return ST.versioned(first, size(rows)).drop("stamp")
+
+
+# --- upserts ------------------------------------------------------------------------------------------
+
+@query("""WITH u AS (SELECT vec_id + 250 AS id, embedding, 'late' AS category, NULL::INT AS quality, 2 AS tm FROM embeddings), c AS (SELECT vec_id AS id, embedding, 'early' AS category, label AS quality, 1 AS tm FROM embeddings),
+b AS (SELECT * FROM u UNION ALL SELECT * FROM c) SELECT id, arg_max(category, tm) AS category, round(list_sum(arg_max(embedding, tm)::DOUBLE[]), 4) AS total, arg_min(quality, tm) AS quality FROM b GROUP BY 1""")
+def vector_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written again under their article's id; an optional field that a later write lacks stays."""
+    rows = B.table(spark, sf_dir, "embeddings")
+    current = rows.select(F.col("vec_id").alias("id"), "embedding", F.lit("early").alias("category"), F.col("label").alias("quality"), F.lit(1).alias("at"))
+    updates = rows.select((F.col("vec_id") + 250).alias("id"), "embedding", F.lit("late").alias("category"), F.lit(None).cast("int").alias("quality"), F.lit(2).alias("at"))
+    merged = DD.upsert(current, updates, ["id"], "at", kept=("quality",))
+    return merged.select("id", "category", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"), "quality")
+
+
+@query("""SELECT lower(p_name) AS normalized_name, (['PERSON', 'ORGANIZATION', 'LOCATION', 'PRODUCT'])[p_size % 4 + 1] AS type, arg_max(p_name, p_partkey) AS name, arg_max(p_brand, p_partkey) AS parent FROM part GROUP BY 1, 2""")
+def entity_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by normalised name and type; name and parent are the last ones stored."""
+    kind = F.element_at(F.array(*map(F.lit, B.ENTITY_TYPES)), (F.col("p_size") % 4 + 1).cast("int"))
+    rows = B.table(spark, sf_dir, "part").select(F.lower("p_name").alias("normalized_name"), kind.alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("parent"), F.col("p_partkey").alias("at"))
+    return DD.upsert(rows.limit(0), rows, ["normalized_name", "type"], "at").drop("at")
+
+
+@query("""SELECT l_orderkey AS article_id, l_suppkey AS entity_id, arg_max(CASE WHEN l_linenumber = 1 THEN 'PRIMARY' WHEN l_linenumber <= 3 THEN 'SECONDARY' ELSE 'MENTIONED' END, (l_linenumber, l_partkey, l_quantity)) AS importance, arg_max(l_returnflag, (l_linenumber, l_partkey, l_quantity)) AS context FROM lineitem GROUP BY 1, 2""")
+def link_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of an article to an entity; importance and context are the last ones stored."""
+    level = F.when(F.col("l_linenumber") == 1, "PRIMARY").when(F.col("l_linenumber") <= 3, "SECONDARY").otherwise("MENTIONED")
+    rows = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("entity_id"), level.alias("importance"), F.col("l_returnflag").alias("context"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("at"))
+    return DD.upsert(rows.where("at.l_linenumber % 2 = 0"), rows.where("at.l_linenumber % 2 = 1"), ["article_id", "entity_id"], "at").drop("at")
+
+
+@query()
+def backfilled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles without a cluster against the clusters of every tenth article."""
+    sets = B.primary_sets(spark, sf_dir)
+    return CL.leader_clusters(sets.where("item % 10 > 0"), 0.60, sets.where("item % 10 = 0"))
+
+
+@query(f"WITH {B.PLACES_SQL} SELECT continent, country, region, city, person FROM place")
+def people_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places as one nested document for each continent, read back to rows."""
+    from newsweave.operators.routing import people
+
+    entry = F.concat_ws(", ", "person", F.lit("last"), "city", "country", F.lit("UTC"), F.lit("@x"))
+    nest = lambda df, keys, key, value, name: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    rows = B.places(spark, sf_dir).groupBy("continent", "country", "region").agg(F.collect_list(entry).alias("p"))
+    nested = nest(nest(rows, ["continent", "country"], "region", "p", "r"), ["continent"], "country", "r", "c")
+    return people(nested.select(F.to_json(F.create_map("continent", "c")).alias("places")))

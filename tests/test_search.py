@@ -207,3 +207,31 @@ def test_components_of_a_long_chain(spark):
 def test_broadcast_bounds(spark):
     df = spark.createDataFrame([(k, "x" * 100, [1, 2], [("a" * 50,)]) for k in range(20)], "id long, t string, n array<long>, s array<struct<u: string>>")
     assert D.is_small(df, 20, 20 * 600) and not D.is_small(df, 19) and not D.is_small(df, 20, 20 * 150) and D.is_small(df.limit(0), 0)
+
+
+def test_written_documents_and_seeds(spark, tmp_path):
+    from newsweave.operators import delivery as DL
+
+    articles = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "a", None)], "id long, category string, title string")
+    similar = spark.createDataFrame([(1, 2, 0.5, "T2"), (1, 3, 0.9, "T3")], "source_id long, target_id long, score double, title string")
+    DL.write_documents(articles, similar, str(tmp_path / "docs"))
+    got = {r.category: [json.loads(x.value) for x in spark.read.text(f"{tmp_path}/docs/category={r.category}").collect()] for r in articles.select("category").distinct().collect()}
+    one = next(d for d in got["a"] if d["id"] == 1)
+    assert [s["id"] for s in one["similar_articles"]] == [3, 2] and one["similar_articles"][0]["title"] == "T3" and len(got["a"]) == 2 and got["b"][0]["similar_articles"] == []
+    (tmp_path / "seeds.csv").write_text("type,canonical,alias,source,confidence\norganization,International Machines,IM,SEED,0.9\nperson,Ann Lee,A. Lee,SEED,0.8\n")
+    none = spark.createDataFrame([], "name_lo string, name_hi string, type string")
+    seeds = AL.seed_aliases(spark, str(tmp_path / "seeds.csv"))
+    table = AL.approve_pending(AL.upsert_aliases(seeds.limit(0), seeds, none), "admin")
+    assert {(r.canonical, r.alias, r.status, r.approved_by) for r in table.collect()} == {("international machines", "im", "APPROVED", "admin"), ("ann lee", "a. lee", "APPROVED", "admin")}
+
+
+def test_batches_join_existing_clusters(spark, tmp_path):
+    from newsweave.operators.clusters import leader_clusters
+
+    old = spark.createDataFrame([(1, e) for e in (1, 2, 3)] + [(2, e) for e in (7, 8)], "item long, entity long")
+    new = [(10, (1, 2, 3)), (11, (1, 2)), (12, (7, 8, 9)), (13, (20, 21)), (14, (20, 21)), (15, (20, 21, 22)), (16, (1, 2, 3))]
+    batch = spark.createDataFrame([(i, e) for i, es in new for e in es], "item long, entity long")
+    written = []
+    ST.assign_batches(lambda: old, lambda df, n: written.append({r.item: r.cluster_id for r in df.collect()}))(batch, 0)
+    assert written == [{10: 1, 11: 1, 12: 2, 13: 13, 14: 13, 15: 13, 16: 1}]
+    assert {r.item: r.cluster_id for r in leader_clusters(batch, 0.6, old).collect()} == written[0]
