@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.textscan import lower_ascii, span_hashes, subword_coder, text_slices, word_spans
+from newsweave.llm.textscan import give_back, joined_batches, lower_ascii, span_hashes, subword_coder, text_slices, word_spans
 from newsweave.plans.durable import durable
 
 GROUPS = 24
@@ -66,7 +66,7 @@ def _chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         size = coder.tokenizer.get_vocab_size()
         serial = TaskContext.get().partitionId() << 33
         seen = np.zeros((3, size), np.int64)
-        for batch in batches:
+        for batch in joined_batches(batches, 2, CHUNK_BYTES):
             for lo, hi, data, offsets in text_slices(batch.column(2), CHUNK_BYTES):
                 data = lower_ascii(data)
                 starts, ends, first = word_spans(data, offsets)
@@ -80,6 +80,7 @@ def _chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     keys=keys.astype("<u8"), counts=counts.astype("<u4"), ids=ids.astype("<u4"), id_counts=_deflated(np.diff(bounds).astype("<u4").tobytes()), seen=None,
                 )
                 serial += 1
+        give_back()
         yield _row(chunk=None, doc_ids=None, lengths=None, train=None, words=None, n_keys=None, keys=None, counts=None, ids=None, id_counts=None, seen=seen.astype("<i8"))
 
     training = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
