@@ -136,3 +136,24 @@ def similar_by_vector(queries: DataFrame, corpus: DataFrame, as_of: str, k: int
     rows = hits.join(corpus.select(F.col("id").alias("target_id"), F.coalesce("quality", F.lit(0)).alias("quality")), "target_id")
     order = Window.partitionBy("source_id").orderBy(F.desc("quality"), "rank")
     return rows.select("source_id", "target_id", "score", "quality", F.row_number().over(order).cast("long").alias("position"))
+
+
+def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, tables: int = 12, width: float = 0.8, seed: int = 7) -> DataFrame:
+    """Like ``cosine_top_k`` for corpora too large to compare with: random projections choose the pairs that are compared.
+
+    On unit vectors a cosine of ``threshold`` is a distance of ``sqrt(2 - 2 * threshold)``. Pairs that share no bucket of
+    any table are missed; more tables or wider buckets find more and compare more. Scores are exact.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("norm", norm(F.col("embedding"))).where(F.col("norm") >= LEAST_NORM)
+        return rows.select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.greatest("norm", F.lit(LEAST_NORM)))).alias("v"))
+
+    q, c = unit(queries), unit(corpus)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=seed).fit(c)
+    met = model.approxSimilarityJoin(q, c, (2 - 2 * threshold) ** 0.5 + 1e-9, "distance")
+    found = met.select(F.col("datasetA.id").alias("source_id"), F.col("datasetB.id").alias("target_id"), (1 - F.col("distance") ** 2 / 2).alias("score")).where("source_id <> target_id")
+    best = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)

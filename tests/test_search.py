@@ -235,3 +235,18 @@ def test_batches_join_existing_clusters(spark, tmp_path):
     ST.assign_batches(lambda: old, lambda df, n: written.append({r.item: r.cluster_id for r in df.collect()}))(batch, 0)
     assert written == [{10: 1, 11: 1, 12: 2, 13: 13, 14: 13, 15: 13, 16: 1}]
     assert {r.item: r.cluster_id for r in leader_clusters(batch, 0.6, old).collect()} == written[0]
+
+
+def test_projections_find_near_vectors(spark):
+    import numpy as np
+
+    from newsweave.operators import vectors as VE
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 24))
+    v = centres[rng.integers(0, 20, 400)] + 0.35 * rng.normal(size=(400, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, [0.0] * 24)], "id long, embedding array<double>")
+    exact = {(r.source_id, r.target_id): r.score for r in VE.cosine_top_k(df.where("id % 10 = 0"), df, 10, 0.8).collect()}
+    found = {(r.source_id, r.target_id): r.score for r in VE.lsh_top_k(df.where("id % 10 = 0"), df, 10, 0.8).collect()}
+    assert len(exact) > 200 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(found[p] == pytest.approx(exact[p]) for p in exact.keys() & found.keys())
