@@ -83,7 +83,7 @@ def _hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` (and the ids, ``items``) for each row of ``docs``."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
     keyed = _keyed(docs.select("doc_id", "text"))
     windows = durable(item_windows(benchmark), "windows")
     hits = durable(_hits(keyed, windows), "hits")

@@ -8,12 +8,12 @@ register give a Jaccard estimate that is corrected for accidental collisions; wh
 not exclude is verified on the full shingle sets of the whole texts.
 
 Scale. Documents with equal sets collapse into one class first, on the map side; only classes of several
-documents or with links are looked up again by their rows. Within a key every class is compared
-with the class of the key's smallest ``doc_id`` only (the document that would stay; a star, linear in the group); after the links found so far are
-closed into components, only pairs of one key that lie in different components are looked at, and the
-join itself drops those that cannot be linked. No cap on groups, no pairs within a component. What drops
-a pair is its sizes or its odd sketch, both for certain: every bit in which two odd sketches differ needs an
-element that the sets do not share, so more such bits than a link allows exclude it. The estimate of the
+documents or with links are looked up again by their rows. Within a key every class is compared with the
+class of the key's smallest ``doc_id`` only (the document that would stay; a star, linear in the group); after
+the links found so far are closed into components, only pairs of one key that lie in different components are
+looked at, and the join itself drops those that cannot be linked. No cap on groups, no pairs within a component.
+What drops a pair is its sizes or its odd sketch, both for certain: every bit in which two odd sketches differ
+needs an element that the sets do not share, so more such bits than a link allows exclude it. The estimate of the
 registers drops what is ``SLACK`` standard deviations below the threshold.
 
 Edge cases. Null, empty and blank texts have an empty set, are linked with nothing and form their own
