@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from newsweave.llm.textscan import give_back, subword_coder, text_slices
 
-POOL_IDS = 1 << 21
+POOL_IDS = 1 << 20
 STEP_IDS = 1 << 15
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
+TABLE_PIECES = 400_000  # with the slices above this bounds what a worker holds beside a full executor heap
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 
 Piece = tuple[int, int, int]  # length, document, start
@@ -102,7 +103,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int =
         raise ValueError("max_len must be a power of two")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = subword_coder(tokenizer_path)
+        coder = subword_coder(tokenizer_path, TABLE_PIECES)
         task = TaskContext.get().partitionId() << 33
         sequence, group = 0, 0
         open_groups: dict[int, tuple[int, int]] = {}

@@ -187,6 +187,7 @@ class SubwordCoder:
             self.id_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         self.id_type = np.uint16 if size <= 1 << 16 else np.uint32
         self._clear()
+        give_back()
 
     def _clear(self) -> None:
         self.pieces = 0
