@@ -28,6 +28,7 @@ from newsweave.plans.durable import broadcast_if_small, durable
 
 MAX_BROADCAST_CANDIDATES = 1_000_000
 MAX_STRINGS = 128
+BLOCK = 256  # matches whose offsets are added up one after another
 MAX_CLASS = 8
 
 
@@ -150,7 +151,13 @@ def spans(text: Column, rule: Rule) -> Column:
         F.split(text, rule.pattern, -1).alias("between"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("groups")
     )
 
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+
     def placed(m: Column) -> Column:
+        """Offsets are running sums: of blocks of matches first, then within each block, so that no long array grows step by step."""
+        n = F.size(m["hits"])
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
         def step(done: Column, i: Column) -> Column:
             start = done["at"] + F.length(F.get(m["between"], i))
             end = start + F.length(F.get(m["hits"], i))
@@ -158,9 +165,14 @@ def spans(text: Column, rule: Rule) -> Column:
             one = F.array(F.struct(start.alias("start"), end.alias("end")))
             return F.struct(end.alias("at"), F.when(keep, F.concat(done["out"], one)).otherwise(done["out"]).alias("out"))
 
-        empty = F.array().cast("array<struct<start:int,end:int>>")
-        begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(F.size(m["hits"]) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(m["hits"]) - 1), begin, step)["out"])
+        def of_blocks(begins: Column) -> Column:
+            one = lambda b: F.aggregate(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1), F.struct(F.get(begins, b).alias("at"), empty.alias("out")), step)["out"]
+            return F.flatten(F.transform(blocks, one))
+
+        sizes = F.transform(blocks, lambda b: F.aggregate(F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, n) - 1), F.lit(0), lambda x, i: x + F.length(F.get(m["between"], i)) + F.length(F.get(m["hits"], i))))
+        grow = lambda done, x: F.struct((done["at"] + x).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
+        begins = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), grow)["out"]
+        return F.when(n == 0, empty).otherwise(bind(begins, of_blocks))
 
     return bind(found, placed)
 

@@ -231,6 +231,15 @@ def test_secrets(spark, edges, empty):
     assert "xyz123456" not in hidden and 'Passwd = "abc"' in hidden
 
 
+def test_secrets_by_the_thousand(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["é", "x" * rng.randrange(9), f"token={rng.randrange(10**9)}", f"{rng.getrandbits(100):025x}", "secret:abc"]) for _ in range(n)) for n in (3000, 255, 256, 257, 1)]
+    got = {r.doc_id: r for r in secret_scan.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        joined = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in brute_spans(t))
+        assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), k
+
+
 def test_secrets_without_broadcast(spark):
     df = spark.createDataFrame([(10 + k, t) for k, t in enumerate(SECRETS)], "doc_id long, text string")
     with mock.patch.object(secret_scan, "MAX_BROADCAST_CANDIDATES", 0):
