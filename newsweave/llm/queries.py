@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import attention_lm, decontaminate, license_scan, minhash, page_text, periodic_runs, quality, secret_scan, toxicity
+from newsweave.llm import attention_lm, decontaminate, license_scan, minhash, ns_kmeans, page_text, periodic_runs, quality, secret_scan, toxicity
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -63,6 +63,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_ns_bounds_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ns_kmeans.clustered(_table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), periodic_runs.repeat_tail))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_tiered_packing": op8_tiered_packing,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ns_bounds_clustering": op11_ns_bounds_clustering,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_trigram_secret_scan": secret_scan.ORACLE_SQL,
     "op3_license_sentences": license_scan.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op11_ns_bounds_clustering": ns_kmeans.ORACLE_SQL,
 }
