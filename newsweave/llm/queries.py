@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsweave.llm import attention_lm, decontaminate, license_scan, minhash, ns_kmeans, page_text, periodic_runs, quality, secret_scan, toxicity
+from newsweave.llm import attention_lm, decontaminate, license_scan, line_crf, minhash, ns_kmeans, page_text, periodic_runs, quality, secret_scan, toxicity
 from newsweave.llm.minhash import near_duplicates
 from newsweave.llm.packing import packed
 from newsweave.llm.token_files import fresh_folder, read_token_files, write_token_files
@@ -71,6 +72,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), periodic_runs.repeat_tail))
 
 
+def op13_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_crf.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_lines", F.size("bad_lines").cast("long").alias("n_bad_lines"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_host_quality": op2_host_quality,
@@ -84,6 +90,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_ns_bounds_clustering": op11_ns_bounds_clustering,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_crf_quality": op13_crf_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
