@@ -5,69 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweave.operators.setjoin import class_pairs, cross_pairs, jaccard_pairs, set_classes
 from newsweave.plans.durable import broadcast_if_small, durable
 from newsweave.plans.graph import connected_components
-
-MAX_BROADCAST_CLASSES = 500_000
-SIZED = 16  # sets of up to so many elements are joined by the sizes of both sides
-
-
-def set_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets: ``rep, set, n`` for each, and ``id, rep`` for each set of ``id, entity`` rows.
-
-    ``rep`` is the smallest id with that set. Only classes of several sets are looked up again, so a set that a
-    third of all ids share costs one row of the lookup.
-    """
-    shaped = durable(rows.where("id IS NOT NULL AND entity IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("entity")).alias("set")).withColumn("key", F.xxhash64("set")), "sets")
-    classes = durable(shaped.groupBy("key", "set").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "classes")
-    shared = broadcast_if_small(durable(classes.where("many > 1").select("key", "set", "rep"), "shared"), MAX_BROADCAST_CLASSES)
-    members = shaped.join(shared, ["key", "set"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    return classes.select("rep", "set", F.size("set").alias("n")), members
-
-
-def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` (``a < b``) of different sets (``rep, set, n``) with Jaccard at or above ``threshold``.
-
-    Elements are ordered by rarity. Sets of sizes n and m must share ``t / (1 + t) * (n + m)`` elements, which
-    leaves a short prefix of each in which they must meet; small sets are keyed by element and both sizes, so that
-    sizes that cannot link never meet, larger ones by element and the prefix for any size. Only ids and sizes ride
-    along; sets are fetched for the pairs that met.
-    """
-    t = F.lit(threshold)
-    items = classes.select("rep", "n", F.explode("set").alias("entity"))
-    frequency = items.groupBy("entity").agg(F.count("*").alias("f"))
-    ordered = items.join(frequency, "entity").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "entity"))), lambda x: x["entity"]).alias("o"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9).cast("int"))
-    most = F.floor(F.col("n") / t + 1e-9).cast("int")
-    need = lambda m: F.ceil(t / (1 + t) * (F.col("n") + m) - 1e-9).cast("int")
-    possible = lambda m: (need(m) <= F.least(F.col("n"), m)) & ~((m == F.col("n")) & (need(m) >= m))  # noqa: E731  equal sizes that must share all are equal sets
-    none = F.array().cast("array<int>")
-    partners = F.when((F.col("n") <= SIZED) & (least <= F.least(most, F.lit(SIZED))), F.filter(F.sequence(least, F.least(most, F.lit(SIZED))), possible)).otherwise(none)
-    sized = ordered.select("rep", "n", "o", F.explode(partners).alias("m"))
-    sized = sized.select("rep", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - need(F.col("m")) + 1)).alias("entity"), F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), "m")
-    wide = ordered.where((F.col("n") > SIZED) | (most > SIZED)).select("rep", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - least + 1)).alias("entity"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("m"))
-    keys = durable(sized.unionByName(wide), "keys")
-    x, y = keys.alias("x"), keys.alias("y")
-    same = (F.col("x.entity") == F.col("y.entity")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
-    sizes = F.when(F.col("x.hi") > 0, F.col("x.m") == F.col("y.n")).otherwise((F.greatest("x.n", "y.n") > SIZED) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - 1e-9))
-    met = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & sizes).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}"), F.col("n").alias(f"n_{s}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-
-
-def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``left_id, right_id, similarity`` of set pairs with Jaccard at or above ``threshold``; sides are ``id, entity`` rows.
-
-    Equal sets of both sides are compared once; the result is every pair of their members.
-    """
-    tagged = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), F.col("id").cast("long").alias("id")).alias("id"), "entity")
-    classes, members = set_classes(tagged(left, 0).unionByName(tagged(right, 1)))
-    near = durable(class_pairs(classes, threshold), "near")
-    every = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")))
-    side = lambda s, name, rep: members.where(F.col("id.side") == s).select(F.col("id.id").alias(name), F.col("rep").alias(rep))
-    return every.join(side(0, "left_id", "a"), "a").join(side(1, "right_id", "b"), "b").select("left_id", "right_id", "similarity")
+MAX_BROADCAST_ITEMS = 500_000
 
 
 def _elected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,31 +32,56 @@ def _elected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return elected
 
 
-def leader_clusters(sets: DataFrame, threshold: float = 0.60, leaders: DataFrame | None = None) -> DataFrame:
-    """``item, cluster_id, similarity``: assignment in ascending item order, as a sequential loop would do.
+def first_items(sets: DataFrame, n: int, newest_first: bool = True) -> DataFrame:
+    """The rows of the ``n`` first items of ``sets`` (``item, entity``), by descending or ascending item."""
+    chosen = durable(sets.select("item").where("item IS NOT NULL").distinct().orderBy(F.desc("item") if newest_first else F.asc("item")).limit(n), "first")
+    return sets.join(broadcast_if_small(chosen, MAX_BROADCAST_ITEMS), "item", "left_semi")
+
 
-    ``sets`` has ``item, entity`` rows. An item joins the earlier leader of highest Jaccard (ties: the
-    smaller one) if it reaches ``threshold``, else it becomes a leader whose id names the cluster. Existing
-    ``leaders`` (``item, entity`` with their cluster ids as items) come before all others.
+def leader_clusters(sets: DataFrame, threshold: float = 0.60, leaders: DataFrame | None = None, newest_first: bool = False, at_most: int | None = None) -> DataFrame:
+    """``item, cluster_id, similarity``: the assignment a sequential loop over the items would make.
+
+    ``sets`` has ``item, entity`` rows, processed by ascending item, or descending with ``newest_first``; only the first ``at_most``
+    items if that is given. An item joins the leader of highest Jaccard among those before it (ties: the one met
+    first) if it reaches ``threshold``, else it becomes a leader whose id names the cluster. Existing ``leaders``
+    (``item, entity`` with their cluster ids as items) come before all others, in the same order among themselves.
+    """
+    if at_most is not None:
+        sets = first_items(sets, at_most, newest_first)
+    turned = (lambda df: df.withColumn("item", -F.col("item"))) if newest_first else (lambda df: df)
+    classes, members = set_classes(turned(sets).select(F.col("item").alias("id"), "entity"))
+    old = None
+    if leaders is not None:
+        known, _ = set_classes(turned(leaders).select(F.col("item").alias("id"), "entity"))
+        old = nearest(cross_pairs(classes, known, threshold), "b").select("rep", F.col("b").alias("cluster_id"), "similarity")
+    assigned = assigned_classes(classes, members, old, threshold)
+    if newest_first:
+        assigned = assigned.select((-F.col("item")).alias("item"), (-F.col("cluster_id")).alias("cluster_id"), "similarity")
+    return assigned
+
+
+def nearest(pairs: DataFrame, *ties: str) -> DataFrame:
+    """For each ``a`` of ``pairs`` (as ``rep``) its row of highest similarity, ties by the columns named."""
+    others = [c for c in pairs.columns if c != "a"]
+    best = F.min_by(F.struct(*others), F.struct((-F.col("similarity")).alias("s"), *ties))
+    return pairs.groupBy(F.col("a").alias("rep")).agg(best.alias("r")).select("rep", "r.*")
+
+
+def assigned_classes(classes: DataFrame, members: DataFrame, old: DataFrame | None, threshold: float) -> DataFrame:
+    """``item, cluster_id, similarity`` for all ``members`` of ``classes``; ``old`` has the best existing cluster of a class (``rep, cluster_id, similarity``).
 
     Equal sets collapse to their first item for the election of leaders. A later equal item may still find a
     better leader, so each set keeps the leaders that beat all smaller ones, few for each set, and an item takes
     the last of them before it.
     """
-    classes, members = set_classes(sets.select(F.col("item").alias("id"), "entity"))
     near = durable(class_pairs(classes, threshold), "near")
     nodes = classes.select(F.col("rep").alias("id"))
-    old = None
-    if leaders is not None:
-        known = leaders.select(F.col("item").alias("id"), "entity").distinct()
-        mine = classes.select(F.col("rep").alias("id"), F.explode("set").alias("entity"))
-        best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
-        old = jaccard_pairs(mine, known, threshold).withColumn("r", F.row_number().over(best)).where("r = 1")
-        old = durable(old.select(F.col("left_id").alias("rep"), F.col("right_id").alias("cluster_id"), "similarity", F.lit(0).alias("kind")), "old")
+    if old is not None:
+        old = durable(old.withColumn("kind", F.lit(0)), "old")
         nodes = nodes.join(old.select(F.col("rep").alias("id")), "id", "left_anti")
     nodes = durable(nodes, "nodes")
     edges = near.select(F.col("b").alias("id"), F.col("a").alias("before"))
-    edges = edges.join(nodes, "id", "left_semi").join(nodes.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before") if leaders is not None else edges
+    edges = edges.join(nodes, "id", "left_semi").join(nodes.select(F.col("id").alias("before")), "before", "left_semi").select("id", "before") if old is not None else edges
     elected = durable(_elected(nodes, durable(edges, "open-edges")), "elected")
     leading = elected.select(F.col("id").alias("cluster_id"))
     around = near.select(F.col("a").alias("rep"), F.col("b").alias("cluster_id"), "similarity").unionByName(near.select(F.col("b").alias("rep"), F.col("a").alias("cluster_id"), "similarity"))
@@ -132,9 +98,8 @@ def leader_clusters(sets: DataFrame, threshold: float = 0.60, leaders: DataFrame
 
 def best_cluster(sets: DataFrame, clusters: DataFrame, threshold: float = 0.60) -> DataFrame:
     """``id, cluster_id, similarity``: each set's best cluster, the smaller id on ties."""
-    pairs = jaccard_pairs(sets, clusters, threshold)
-    best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("left_id").alias("id"), F.col("right_id").alias("cluster_id"), "similarity")
+    pairs = jaccard_pairs(sets, clusters, threshold).withColumnsRenamed({"left_id": "a", "right_id": "cluster_id"})
+    return nearest(pairs, "cluster_id").select(F.col("rep").alias("id"), "cluster_id", "similarity")
 
 
 def merge_groups(cluster_sets: DataFrame, ratio: float = 0.60) -> DataFrame:
@@ -186,7 +151,7 @@ def merge_clusters(groups: DataFrame, mappings: DataFrame, sets: DataFrame) -> t
     article of several sources keeps its highest score.
     """
     target = (-F.col("group_id") - 1).alias("target_id")
-    edges = groups.select(F.col("cluster_id").alias("source_id"), target)
+    edges = durable(groups.select(F.col("cluster_id").alias("source_id"), target), "merge")  # read by all results
     moved = mappings.join(edges, mappings.cluster_id == edges.source_id).groupBy(F.col("target_id").alias("cluster_id"), "article_id").agg(F.max("similarity").alias("similarity"))
     union = sets.join(edges, sets.cluster_id == edges.source_id).groupBy(F.col("target_id").alias("cluster_id")).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     return moved, union, edges
@@ -209,7 +174,7 @@ def check_and_merge(changed: DataFrame, cluster_sets: DataFrame, mappings: DataF
     if latest is not None:
         span = groups.join(latest, "cluster_id").groupBy("group_id").agg(F.datediff(F.max("latest"), F.min("latest")).alias("span"))
         groups = groups.join(span.where(F.col("span") <= days), "group_id", "left_semi")
-    return merge_clusters(durable(groups, "merge"), mappings, cluster_sets)
+    return merge_clusters(groups, mappings, cluster_sets)
 
 
 def merge_sources(edges: DataFrame) -> DataFrame:
