@@ -102,11 +102,32 @@ def best_cluster(sets: DataFrame, clusters: DataFrame, threshold: float = 0.60)
     return nearest(pairs, "cluster_id").select(F.col("rep").alias("id"), "cluster_id", "similarity")
 
 
-def merge_groups(cluster_sets: DataFrame, ratio: float = 0.60) -> DataFrame:
-    """``cluster_id, group_id``: clusters (``id, entity``) connected by overlaps of at least ``ratio``; lone ones are left out."""
+def merge_groups(cluster_sets: DataFrame, ratio: float = 0.60, latest: DataFrame | None = None, days: int = 14) -> DataFrame:
+    """``cluster_id, group_id``: clusters (``id, entity``) connected by overlaps of at least ``ratio``; lone ones are left out.
+
+    With ``latest`` (``cluster_id, latest``) only pairs that were last active within ``days`` days connect; clusters without a
+    date stay alone. Clusters of equal sets form stretches of days without a longer gap. Two stretches hold a close pair exactly
+    if they overlap or lie within ``days`` days, so stretches are linked, not clusters.
+    """
     classes, members = set_classes(cluster_sets)
-    labels = connected_components(class_pairs(classes, ratio), "a", "b")
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias("cluster_id"), F.coalesce("label", "rep").alias("group_id"))
+    near = class_pairs(classes, ratio)
+    if latest is None:
+        units = members.select("id", F.col("rep").alias("unit"))
+        edges = near.select("a", "b")
+    else:
+        dates = latest.groupBy("cluster_id").agg(F.max(F.col("latest").cast("date")).alias("day"))
+        dated = durable(members.join(dates, members.id == dates.cluster_id).where("day IS NOT NULL").select("id", "rep", "day"), "dated")
+        nodes = dated.groupBy("rep", "day").agg(F.min("id").alias("first"))
+        by_day = Window.partitionBy("rep").orderBy("day")  # one row a day at most
+        begins = F.coalesce(F.datediff("day", F.lag("day").over(by_day)) > days, F.lit(True))
+        stretches = nodes.withColumn("begins", begins.cast("int")).withColumn("part", F.sum("begins").over(by_day))
+        stretches = durable(stretches.groupBy("rep", "part").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.min("first").alias("unit")), "stretches")
+        side = lambda s: stretches.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("lo", "hi", "unit")))
+        apart = F.greatest(F.datediff("lo_b", "hi_a"), F.datediff("lo_a", "hi_b"))
+        edges = near.join(side("a"), "a").join(side("b"), "b").where(apart <= days).select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"))
+        units = dated.join(stretches, "rep").where("day BETWEEN lo AND hi").select("id", "unit")
+    labels = connected_components(edges, "a", "b")
+    named = durable(units.join(labels.withColumnRenamed("node", "unit"), "unit", "left").select(F.col("id").alias("cluster_id"), F.coalesce("label", "unit").alias("group_id")), "named")
     many = named.groupBy("group_id").count().where("count > 1").select("group_id")
     return named.join(many, "group_id").select("cluster_id", "group_id")
 
@@ -166,15 +187,11 @@ def repointed(articles: DataFrame, edges: DataFrame) -> DataFrame:
 def check_and_merge(changed: DataFrame, cluster_sets: DataFrame, mappings: DataFrame, ratio: float = 0.60, latest: DataFrame | None = None, days: int = 14) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge after an assignment: groups that hold a cluster of ``changed`` (``cluster_id``), as ``merge_clusters`` gives them.
 
-    With ``latest`` (``cluster_id, latest``) only groups stand whose clusters were all last active within ``days`` days.
+    With ``latest`` (``cluster_id, latest``) only pairs within ``days`` days connect. ``incremental.merge_batch`` keeps such groups from batch to batch.
     """
-    groups = merge_groups(cluster_sets.select(F.col("cluster_id").alias("id"), "entity"), ratio)
+    groups = merge_groups(cluster_sets.select(F.col("cluster_id").alias("id"), "entity"), ratio, latest, days)
     touched = groups.join(changed.select("cluster_id").distinct(), "cluster_id", "left_semi").select("group_id").distinct()
-    groups = groups.join(touched, "group_id", "left_semi")
-    if latest is not None:
-        span = groups.join(latest, "cluster_id").groupBy("group_id").agg(F.datediff(F.max("latest"), F.min("latest")).alias("span"))
-        groups = groups.join(span.where(F.col("span") <= days), "group_id", "left_semi")
-    return merge_clusters(groups, mappings, cluster_sets)
+    return merge_clusters(groups.join(touched, "group_id", "left_semi"), mappings, cluster_sets)
 
 
 def merge_sources(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from newsweave.operators import articles as AR
 from newsweave.operators import clusters as CL
 from newsweave.operators import dedup as DD
 from newsweave.operators import entities as EN
+from newsweave.operators import incremental as IN
 from newsweave.operators import matching as MA
 from newsweave.operators import similarity as SI
 from newsweave.operators import vectors as VE
+from newsweave.plans.durable import shared_dir
 from newsweave.queries import _cluster_sets, _mappings, _supplier_names, _vectors
 from newsweave.queries import _COS_SQL, _MAPS_SQL, _SETS_SQL
 from newsweave.registry import query
@@ -296,19 +300,40 @@ def repointed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.repointed(articles, _lineage_edges(spark, sf_dir))
 
 
-_TIMED_SQL = f"""{_CLUSTER_SQL}, sig AS (SELECT cluster_id, list_sort(list(entity)) AS s FROM cs GROUP BY 1), g AS (SELECT cluster_id, min(cluster_id) OVER (PARTITION BY s) AS grp FROM sig),
-lt AS (SELECT g.cluster_id, grp, o_orderdate::DATE AS d FROM g JOIN orders ON o_orderkey = cluster_id), ok AS (SELECT grp FROM lt GROUP BY 1 HAVING count(*) > 1 AND max(d) - min(d) <= 1200 AND bool_or(cluster_id % 5 = 0))"""
+MERGE_DAYS = 200
+_TIMED_SQL = f"""{_CLUSTER_SQL}, sig AS (SELECT cluster_id, list_sort(list(entity)) AS s FROM cs GROUP BY 1), one AS (SELECT s, min(cluster_id) AS rep FROM sig GROUP BY s),
+el AS (SELECT rep, unnest(s) AS entity, len(s) AS n FROM one), dated AS (SELECT cluster_id, rep, o_orderdate::DATE AS day FROM sig JOIN one USING (s) JOIN orders ON o_orderkey = cluster_id),
+near AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM el a JOIN el b ON a.entity = b.entity GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT x.cluster_id AS a, y.cluster_id AS b FROM near JOIN dated x ON x.rep = a JOIN dated y ON y.rep = b WHERE x.cluster_id <> y.cluster_id AND abs(x.day - y.day) <= {MERGE_DAYS}),
+w(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.node WHERE w.label < e.b), grp AS (SELECT node AS cluster_id, min(label) AS group_id FROM w GROUP BY node)"""
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.articles(spark, sf_dir).select(F.col("id").alias("cluster_id"), F.col("pub_date").cast("date").alias("latest"))
 
 
-@query(f"""WITH {_TIMED_SQL} SELECT -grp - 1 AS cluster_id, count(DISTINCT article_id) AS articles FROM lt JOIN ok USING (grp) JOIN maps USING (cluster_id) GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_TIMED_SQL}, t AS (SELECT group_id FROM grp GROUP BY 1 HAVING bool_or(cluster_id % 5 = 0))
+SELECT -group_id - 1 AS cluster_id, count(DISTINCT article_id) AS articles FROM grp JOIN t USING (group_id) JOIN maps USING (cluster_id) GROUP BY 1""")
 def checked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of equal sets merge if one of them changed and all were active within 1,200 days."""
+    """Overlapping clusters that were active within 200 days of each other merge if one of their group changed."""
     changed = B.articles(spark, sf_dir).where("id % 5 = 0").select(F.col("id").alias("cluster_id"))
-    latest = B.articles(spark, sf_dir).select(F.col("id").alias("cluster_id"), F.col("pub_date").cast("date").alias("latest"))
-    moved, _, _ = CL.check_and_merge(changed, _cluster_sets(spark, sf_dir), _mappings(spark, sf_dir), 1.0, latest, 1200)
+    moved, _, _ = CL.check_and_merge(changed, _cluster_sets(spark, sf_dir), _mappings(spark, sf_dir), 0.6, _dates(spark, sf_dir), MERGE_DAYS)
     return moved.groupBy("cluster_id").agg(F.count("*").alias("articles"))
 
 
+@query(f"WITH RECURSIVE {_TIMED_SQL} SELECT cluster_id, group_id FROM grp")
+def merge_groups_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clusters in three batches, each compared with the index of those before; the same groups as at once."""
+    tables = IN.merge_tables(spark, f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}")
+    sets, dates = _cluster_sets(spark, sf_dir), _dates(spark, sf_dir)
+    for k in range(3):
+        with tables.batch("merges", k) as batch:
+            IN.merge_batch(batch, sets.where(F.col("cluster_id") % 3 == k), 0.6, dates.where(F.col("cluster_id") % 3 == k), MERGE_DAYS)
+    groups = tables.read("groups")
+    many = groups.groupBy("group_id").count().where("count > 1").select("group_id")
+    return groups.join(many, "group_id", "left_semi").select("cluster_id", "group_id")
+
+
 @query(f"""WITH {_SETS_SQL}, a AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 10 = 7), b AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 10 = 2), na AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT cluster_id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT a.cluster_id AS id, b.cluster_id AS other, count(*) AS k FROM a JOIN b USING (entity) GROUP BY 1, 2), s AS (SELECT id, other, k / (na.n + nb.n - k) AS sim FROM p JOIN na ON na.cluster_id = id JOIN nb ON nb.cluster_id = other)
 SELECT id, arg_min(other, (-sim, other)) AS cluster_id, max(sim) AS similarity FROM s WHERE sim >= 0.5 GROUP BY 1""")
@@ -366,9 +391,20 @@ def link_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def backfilled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles without a cluster against the clusters of every tenth article."""
+    """Articles without a cluster, newest first, against the clusters of every tenth article."""
+    sets = B.primary_sets(spark, sf_dir)
+    return CL.leader_clusters(sets.where("item % 10 > 0"), 0.60, sets.where("item % 10 = 0"), newest_first=True)
+
+
+@query()
+def clusters_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles in three batches, each assigned against the index of the leaders before it."""
+    tables = IN.cluster_tables(spark, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}")
     sets = B.primary_sets(spark, sf_dir)
-    return CL.leader_clusters(sets.where("item % 10 > 0"), 0.60, sets.where("item % 10 = 0"))
+    for k in range(3):
+        with tables.batch("clusters", k) as batch:
+            IN.assign_batch(batch, sets.where(F.col("item") % 3 == k))
+    return tables.read("assignments").select("item", "cluster_id", "similarity")
 
 
 @query(f"WITH {B.PLACES_SQL} SELECT continent, country, region, city, person FROM place")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsweave.functions import text as T
+from newsweave.plans.tables import Tables
 from newsweave.sources import feeds as FE
 
 PAYLOADS = "feed_url STRING, content_type STRING, content_encoding STRING, body BINARY, fetched_at TIMESTAMP"
@@ -52,8 +53,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str | None =
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def assign_from_index(tables: Tables, job: str = "clusters", threshold: float = 0.60, newest_first: bool = False) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body that assigns each batch of ``item, entity`` rows against the index of all former leaders.
+
+    Leaders, keys and assignments are committed together; a batch that is repeated after its commit does nothing.
+    """
+    from newsweave.operators.incremental import assign_batch
+
+    def body(rows: DataFrame, batch_id: int) -> None:
+        with tables.batch(job, batch_id) as batch:
+            if not batch.skipped:
+                assign_batch(batch, rows, threshold, newest_first)
+
+    return body
+
+
 def assign_batches(read_leaders: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], threshold: float = 0.60) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` body that assigns each batch of ``item, entity`` rows against the current clusters."""
+    """A ``foreachBatch`` body that assigns each batch of ``item, entity`` rows against clusters that are kept elsewhere; it keys all of them each time."""
     from newsweave.operators.clusters import leader_clusters
 
     def body(batch: DataFrame, batch_id: int) -> None:
