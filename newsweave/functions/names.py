@@ -1,15 +1,26 @@
-"""Entity-name normal forms and the fuzzy verifier; per distinct name or pair, in Arrow batches."""
+"""Entity-name normal forms and the fuzzy verifier.
+
+The plain functions on two strings define the rules; ``fuzzy_names`` and ``edit_key_columns`` are the same rules as
+columns, which queries use.
+"""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
+from pyspark.sql.types import StringType
+
+from newsweave.functions import porter2
+from newsweave.functions.spelling import jaro_winkler_similarity, spelling  # noqa: F401
+
+stem = functools.lru_cache(maxsize=1 << 16)(porter2.stem)  # a token is stemmed once in a worker
 
-from newsweave.functions.porter2 import stem
+NUMERIC = r"\p{N}"
 
 # Thresholds and spelling variants per entity type.
 JARO_WINKLER = {"PERSON": 0.90, "ORGANIZATION": 0.85, "LOCATION": 0.85, "PRODUCT": 0.80}
@@ -75,6 +86,10 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def _numeric(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "N" for c in text)
+
+
 def _size(text: str) -> int:
     return len(text.encode())
 
@@ -103,7 +118,7 @@ def _close_spelling(a: str, b: str, kind: str) -> bool:
     if abs(_size(a) - _size(b)) > limit or edit_distance(a, b) > limit:
         return False
     longest = max(_size(a), _size(b))
-    if longest <= 15 or (any(map(str.isnumeric, a)) and any(map(str.isnumeric, b))):
+    if longest <= 15 or (_numeric(a) and _numeric(b)):
         return True
     shared = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     if kind == "PRODUCT" and shared:
@@ -120,7 +135,7 @@ def edit_keys(form: str, kind: str, left: bool) -> list[str]:
     gives the pieces that may be such a segment of a form of any length in reach.
     """
     limit = EDITS.get(kind, 2)
-    if _size(form) > 15 and not any(map(str.isnumeric, form)):
+    if _size(form) > 15 and not _numeric(form):
         return []
     keys = set()
     for n in [len(form)] if left else range(max(1, len(form) - limit), len(form) + limit + 1):
@@ -165,25 +180,77 @@ def names_match(name1: str, name2: str, kind: str) -> bool:
 
 @F.pandas_udf(StringType())
 def normalize_name(name: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None else normal_form(n, k or "OTHER") for n, k in zip(name, kind, strict=True)], dtype=object)
+    """Normal forms; a name that a batch holds several times is normalised once."""
+    pairs = pd.MultiIndex.from_arrays([name, kind])
+    codes, distinct = pairs.factorize()
+    forms = np.array([None if n is None or n != n else normal_form(n, k if isinstance(k, str) and k else "OTHER") for n, k in distinct], dtype=object)
+    return pd.Series(forms[codes] if len(forms) else [], dtype=object)
 
 
 def edit_key_columns(normal: Column, kind: Column, left: bool) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def keys(forms: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([edit_keys(n or "", k or "OTHER", left) for n, k in zip(forms, kinds, strict=True)], dtype=object)
-
-    return keys(normal, kind)
-
-
-@F.pandas_udf(DoubleType())
-def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(BooleanType())
-def fuzzy_names(a: pd.Series, b: pd.Series, raw_a: pd.Series, raw_b: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy_match(*row) for row in zip(a, b, raw_a, raw_b, kind, strict=True)], dtype=bool)
+    """``edit_keys`` as built-in functions."""
+    limit = F.when(kind.isin([k for k, v in EDITS.items() if v == 3]), 3).otherwise(2)
+    size = F.length(normal)
+
+    def cuts(n: Column) -> Column:
+        def pieces(i: Column) -> Column:
+            begin, end = F.floor(i * n / (limit + 1)).cast("int"), F.floor((i + 1) * n / (limit + 1)).cast("int")
+            shifts = F.array(F.lit(0)) if left else F.sequence(-limit, limit)
+            fits = F.filter(shifts, lambda s: (begin + s >= 0) & (end + s <= size))
+            return F.transform(fits, lambda s: F.concat_ws(":", F.lit("s"), limit.cast("string"), n.cast("string"), i.cast("string"), F.substr(normal, begin + s + 1, end - begin)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), limit), pieces))
+
+    lengths = F.array(size) if left else F.sequence(F.greatest(F.lit(1), size - limit), size + limit)
+    asked = (F.octet_length(normal) <= 15) | normal.rlike(NUMERIC)
+    return F.when(asked, F.array_distinct(F.flatten(F.transform(lengths, cuts)))).otherwise(F.array().cast("array<string>"))
+
+
+def fuzzy_names(a: Column, b: Column, raw_a: Column, raw_b: Column, kind: Column) -> Column:
+    """``fuzzy_match`` as a column: built-in functions, with the spelling measures of a whole batch in numpy."""
+    bytes_ = F.octet_length
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    last = lambda x: F.element_at(words(x), -1)
+    initials = lambda x: F.array_join(F.transform(words(x), lambda w: F.substring(w, 1, 1)), "")
+    product, organisation = kind == "PRODUCT", kind == "ORGANIZATION"
+
+    places = (kind == "LOCATION") & (F.size(F.array_distinct(words(a))) != F.size(F.array_distinct(words(b))))
+    several = (F.size(words(a)) > 1) & (F.size(words(b)) > 1) & (F.try_element_at(words(a), F.lit(1)) == F.try_element_at(words(b), F.lit(1)))
+    far_ends = (last(a) != last(b)) & (F.least(bytes_(last(a)), bytes_(last(b))) > 3) & (F.levenshtein(last(a), last(b)) > 2)
+    models = product & several & F.when(several, far_ends)
+
+    first_short = bytes_(a) < bytes_(b)
+    short, long, raw = (F.when(first_short, x).otherwise(y) for x, y in ((a, b), (b, a), (raw_a, raw_b)))
+    acronym = organisation & raw.rlike(r"\A[A-Z]*\z") & (F.array_contains(words(long), short) | long.startswith(F.concat(short, F.lit(" "))) | F.contains(initials(long), short))
+    single = F.size(F.array_distinct(words(short))) == 1
+    follows = F.substr(long, F.length(short) + 1, F.lit(1))
+    brief = F.contains(initials(long), short) | F.array_contains(words(long), short) | long.startswith(short)
+    covered = (F.size(F.array_except(words(short), words(long))) == 0) & ((F.size(F.array_distinct(words(short))) > 1) | (bytes_(short) >= F.floor(bytes_(long) / 2)))
+    held = (
+        F.when(single & (bytes_(short) < 5), False)
+        .when(organisation & single & long.startswith(short) & (long != short) & (follows != " "), False)
+        .when(organisation & single & (bytes_(short) <= 5), F.when(brief, True))
+        .when(product & (bytes_(short) > 3), True)
+        .when(organisation & covered, True)
+    )
+    contained = F.when((product | organisation) & F.contains(long, short), held)
+    plural = lambda x, y: x.endswith("s") & (bytes_(x) > bytes_(y)) & x.startswith(y)
+    people = (kind == "PERSON") & (plural(a, b) | plural(b, a))
+
+    limit = F.when(kind.isin([k for k, v in EDITS.items() if v == 3]), 3).otherwise(2)
+    floor = F.when(kind == "PERSON", JARO_WINKLER["PERSON"]).when(product, JARO_WINKLER["PRODUCT"]).otherwise(0.85)
+    longest = F.greatest(bytes_(a), bytes_(b))
+
+    def by_spelling(m: Column) -> Column:
+        tail = lambda x: F.trim(F.substr(x, m["start"] + 1, F.length(x)))
+        torn = product & (m["start"] > 0) & (F.least(bytes_(tail(a)), bytes_(tail(b))) > 3) & (F.levenshtein(tail(a), tail(b)) > 2)
+        near = (F.abs(bytes_(a) - bytes_(b)) <= limit) & (m["edits"] <= limit)
+        free = (longest <= 15) | (a.rlike(NUMERIC) & b.rlike(NUMERIC))
+        return (m["similarity"] >= floor) | (near & (free | (~torn & (m["start"] >= F.floor(longest / 3)))))
+
+    close = F.transform(F.array(spelling(a, b)), by_spelling)[0]
+    verdict = F.when(places | F.coalesce(models, F.lit(False)), False).when(acronym, True).when(contained.isNotNull(), contained).when(people, False).otherwise(close)
+    return F.coalesce(verdict, F.lit(False))
 
 
 def settled(a: Column, b: Column, kind: Column) -> Column:

@@ -17,7 +17,7 @@ from newsweave.plans.durable import broadcast_if_small, durable
 from newsweave.plans.graph import connected_components
 from newsweave.plans.tables import Batch, Tables
 
-BUCKETS = 32
+BUCKETS = 16
 
 
 def _layouts(buckets: int) -> dict[str, tuple]:

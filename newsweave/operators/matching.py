@@ -83,7 +83,7 @@ def name_matches(left: DataFrame, right: DataFrame, exact: bool = False) -> Data
     pairs = met.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
     known = F.when(F.col("normal_a") == F.col("normal_b"), True).otherwise(N.settled(F.col("normal_a"), F.col("normal_b"), F.col("type_a")))
     pairs = durable(pairs.withColumn("known", known).where("known IS NULL OR known"), "name-pairs")
-    open_ = pairs.where("known IS NULL").where(N.fuzzy_names("normal_a", "normal_b", "name_a", "name_b", "type_a"))
+    open_ = pairs.where("known IS NULL").where(N.fuzzy_names(*(F.col(c) for c in ("normal_a", "normal_b", "name_a", "name_b", "type_a"))))
     return pairs.where("known").unionByName(open_).select("name_a", "type_a", "name_b", "type_b")
 
 
@@ -107,7 +107,7 @@ def same_names(pairs: DataFrame, aliases: DataFrame, negatives: DataFrame, negat
     settled = N.settled(F.col("a"), F.col("b"), F.col("type"))
     rest = tabled.where("evidence = 'fuzzy'").withColumn("s", settled)
     quick = rest.where("s IS NOT NULL").withColumn("verdict", F.col("s"))
-    slow = rest.where("s IS NULL").withColumn("verdict", N.fuzzy_names("a", "b", "name_a", "name_b", "type"))
+    slow = rest.where("s IS NULL").withColumn("verdict", N.fuzzy_names(*(F.col(c) for c in ("a", "b", "name_a", "name_b", "type"))))
     columns = ["name_a", "name_b", "type", "verdict", "evidence"]
     return sure.select(*columns).unionByName(quick.select(*columns)).unionByName(slow.select(*columns))
 

@@ -324,7 +324,7 @@ def checked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TIMED_SQL} SELECT cluster_id, group_id FROM grp")
 def merge_groups_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All clusters in three batches, each compared with the index of those before; the same groups as at once."""
-    tables = IN.merge_tables(spark, f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}")
+    tables = IN.merge_tables(spark, f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}", 8)
     sets, dates = _cluster_sets(spark, sf_dir), _dates(spark, sf_dir)
     for k in range(3):
         with tables.batch("merges", k) as batch:
@@ -399,7 +399,7 @@ def backfilled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clusters_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles in three batches, each assigned against the index of the leaders before it."""
-    tables = IN.cluster_tables(spark, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}")
+    tables = IN.cluster_tables(spark, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}", 8)
     sets = B.primary_sets(spark, sf_dir)
     for k in range(3):
         with tables.batch("clusters", k) as batch:
