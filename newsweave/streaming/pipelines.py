@@ -28,9 +28,11 @@ def route_late(days: int, queue: Callable[[DataFrame], None], stale: Callable[[D
     def body(batch: DataFrame, batch_id: int) -> None:
         old = F.coalesce(F.col("pub_date") < F.col("seen_at") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
         batch = batch.persist()
-        queue(batch.where(~old))
-        stale(batch.where(old))
-        batch.unpersist()
+        try:
+            queue(batch.where(~old))
+            stale(batch.where(old))
+        finally:
+            batch.unpersist()
 
     return body
 
@@ -128,9 +130,11 @@ def hand_off(spark: SparkSession, queue: str, schema: str, decide: Callable[[Dat
 
     def body(batch: DataFrame, batch_id: int) -> None:
         routed = decide(batch).persist()
-        for route, path in routes.items():
-            routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        routed.unpersist()
+        try:
+            for route, path in routes.items():
+                routed.where(F.col("route") == route).drop("route").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            routed.unpersist()
 
     writer = rows.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
