@@ -178,6 +178,13 @@ def merge_clusters(groups: DataFrame, mappings: DataFrame, sets: DataFrame) -> t
     return moved, union, edges
 
 
+def merged_records(groups: DataFrame, mappings: DataFrame, sets: DataFrame, articles: DataFrame, as_of: str) -> DataFrame:
+    """The clusters that a merge makes, whole: ``cluster_id, entities, sources, articles, quality, latest, significance``."""
+    moved, union, edges = merge_clusters(groups, mappings, sets)
+    summary = cluster_summary(durable(moved, "moved"), articles, as_of)
+    return union.join(merge_sources(edges).withColumnRenamed("target_id", "cluster_id"), "cluster_id").join(summary, "cluster_id", "left")
+
+
 def repointed(articles: DataFrame, edges: DataFrame) -> DataFrame:
     """``articles`` with a ``cluster_id`` that was merged replaced by its final destination."""
     final = lineage(edges).select(F.col("source_id").alias("cluster_id"), "final_id").distinct()

@@ -18,6 +18,7 @@ from newsweave.operators import matching as MA
 from newsweave.operators import routing as RO
 from newsweave.operators import similarity as SI
 from newsweave.operators import vectors as VE
+from newsweave.plans.durable import durable
 from newsweave.registry import ORACLE, QUERIES, query  # noqa: F401
 from newsweave.sources import bindings as B
 from newsweave.sources import feeds as FE
@@ -470,6 +471,18 @@ def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.groupBy("cluster_id").agg(F.count("*").alias("articles"), F.round(F.sum("similarity"), 6).alias("total")).join(lists, "cluster_id")
 
 
+@query(f"""WITH RECURSIVE {_GROUPS_SQL}, {_MAPS_SQL}, {B.ARTICLES_SQL}, t AS (SELECT cluster_id, -group_id - 1 AS target FROM m WHERE n > 1), x AS (SELECT DISTINCT target, article_id FROM t JOIN maps USING (cluster_id)),
+u AS (SELECT target, count(DISTINCT entity) AS entities, count(DISTINCT cluster_id) AS sources FROM t JOIN cs USING (cluster_id) GROUP BY 1),
+a AS (SELECT target, count(*) AS articles, coalesce(avg(quality), 0)::DOUBLE AS quality, max(pub_date) AS latest FROM x JOIN article ON id = article_id GROUP BY 1)
+SELECT target AS cluster_id, entities, sources, articles, round(quality, 6) AS quality, round(ln(1 + articles) * (1 + quality / 4) / (1 + greatest(0, DATE '{AS_OF}' - latest::DATE) / 7), 6) AS significance FROM u JOIN a USING (target)""")
+def merged_cluster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merge makes: entities and sources united, articles counted once, significance of the whole."""
+    sets = _cluster_sets(spark, sf_dir)
+    groups = CL.merge_groups(sets.withColumnRenamed("cluster_id", "id"))
+    rows = CL.merged_records(groups, _mappings(spark, sf_dir), sets, B.articles(spark, sf_dir), AS_OF)
+    return rows.select("cluster_id", F.size("entities").cast("long").alias("entities"), F.size("sources").cast("long").alias("sources"), "articles", F.round("quality", 6).alias("quality"), F.round("significance", 6).alias("significance"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS source_id, c_custkey // 2 AS target_id FROM customer WHERE c_custkey > 1),
 w AS (SELECT source_id, target_id, target_id AS final_id, 1 AS hops FROM e UNION ALL SELECT w.source_id, w.target_id, e.target_id, hops + 1 FROM w JOIN e ON e.source_id = w.final_id)
 SELECT source_id, target_id, arg_max(final_id, hops) AS final_id, max(hops)::INT AS hops FROM w GROUP BY 1, 2""")
@@ -494,11 +507,12 @@ def cluster_summary_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- delivery -----------------------------------------------------------------------------------------
 
 @query(f"""WITH {B.ARTICLES_SQL}, {B.DEVICES_SQL}, seen AS (SELECT o_custkey AS device_id, o_orderkey AS id FROM orders)
-SELECT DISTINCT device_id, id FROM article JOIN device ON topic = category OR category IS NULL AND topic LIKE 'Alert%' WHERE is_relevant AND r2_url IS NOT NULL AND pub_date > TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR
+SELECT DISTINCT device_id, id FROM article JOIN device ON topic = category OR category IS NULL AND topic LIKE 'Alert%' WHERE is_relevant AND r2_url IS NOT NULL AND pub_date + to_hours((id % 60)::INT) > TIMESTAMP '{AS_OF}' - INTERVAL 36 HOUR
 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.device_id = device.device_id AND seen.id = article.id)""")
 def unseen_by_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("id"))
-    return DL.unseen_articles(B.articles(spark, sf_dir), B.devices(spark, sf_dir), seen, AS_OF, hours=36)
+    arrived = B.articles(spark, sf_dir).withColumn("seen_at", F.col("pub_date") + F.make_dt_interval(hours=(F.col("id") % 60).cast("int")))
+    return DL.unseen_articles(arrived, B.devices(spark, sf_dir), seen, AS_OF, hours=36)
 
 
 @query(f"""WITH {B.DEVICES_SQL} SELECT device_id, topic, coalesce(priority, 'low') AS priority FROM device WHERE priority = 'high' OR priority IS NULL""")
@@ -523,6 +537,26 @@ def cluster_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DL.cluster_delta(known, clusters, merges, top).withColumn("articles", F.array_join(F.col("articles").cast("array<string>"), ","))
 
 
+@query("""WITH one AS (SELECT s_suppkey AS cluster_id, s_nationkey % 3 AS seq, 1 AS version FROM supplier), two AS (SELECT s_suppkey AS cluster_id, 3 + s_suppkey % 4 AS seq, 2 AS version FROM supplier WHERE s_acctbal > 2000),
+l AS (SELECT cluster_id, max(seq) AS seq, max(version)::BIGINT AS version FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1), p AS (SELECT n_nationkey AS client_id, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 7 END AS position FROM nation)
+SELECT client_id, cluster_id, version, seq::BIGINT AS seq FROM p JOIN l ON seq > coalesce(position, -1)""")
+def cluster_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters logged in three batches and again, in part, in four more; every client gets what came after its position."""
+    supplier, log, before = B.table(spark, sf_dir, "supplier"), None, None
+    for n in range(7):
+        first = supplier.where(F.col("s_nationkey") % 3 <= n).select(F.col("s_suppkey").alias("cluster_id"), F.when((F.col("s_acctbal") > 2000) & (3 + F.col("s_suppkey") % 4 <= n), 2).otherwise(1).cast("long").alias("version"))
+        log, before = durable(DL.change_log(log, before, first, n), "log"), first
+    positions = B.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("client_id"), F.when(F.col("n_nationkey") % 5 > 0, F.col("n_nationkey") % 7).cast("long").alias("position"))
+    return DL.changes_since(log, positions)
+
+
+@query("""SELECT doc_id AS id, lang AS topic, CASE lang WHEN 'en' THEN 'C1' WHEN 'fr' THEN 'C2' ELSE 'general' END AS channel FROM documents""")
+def message_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's channel by the configured topics; topics without one go to the default."""
+    topics = RO.topics(spark, "en:English?:C1;fr:French?:C2;de:German?")
+    return DL.topic_channels(B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic")), topics, "general")
+
+
 @query(f"""WITH {B.DEVICES_SQL}, d AS (SELECT doc_id AS id, (['1-URGENT', '2-HIGH', '3-MEDIUM', 'Alert: Near', '5-LOW'])[doc_id % 5 + 1] AS topic, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'Title ' || doc_id END AS title,
  CASE WHEN doc_id % 4 > 0 THEN n_chars % 4 END AS quality, CASE WHEN doc_id % 7 > 0 THEN 'https://' || source || '.example/' || doc_id END AS url, source FROM documents)
 SELECT device_id, id, coalesce(priority, 'low') AS priority, '{{"title":"' || coalesce(nullif(title, ''), 'No title available.') || '","quality":"' || coalesce(quality::VARCHAR, '2') || '","domain":"' || CASE WHEN url IS NULL THEN 'unknown' ELSE lower(regexp_extract(url, '://([^/?#:]+)', 1)) END || '","topic":"' || topic || '"}}' AS payload
@@ -615,7 +649,8 @@ def _pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PAIR_SQL} SELECT count(*) AS pairs, count_if(is_match)::BIGINT AS matched, count_if(is_match) / count(*) AS match_rate, count(expected) AS labelled, count_if(expected = is_match)::BIGINT AS correct, count_if(is_match AND NOT expected)::BIGINT AS false_positives,
-count_if(NOT is_match AND expected)::BIGINT AS false_negatives, avg(score) FILTER (WHERE is_match) AS score_matched, avg(score) FILTER (WHERE NOT is_match) AS score_other, avg(vector_score) FILTER (WHERE is_match) AS vector_matched, avg(vector_score) FILTER (WHERE NOT is_match) AS vector_other FROM m""")
+count_if(NOT is_match AND expected)::BIGINT AS false_negatives, avg(score) FILTER (WHERE is_match) AS score_matched, avg(score) FILTER (WHERE NOT is_match) AS score_other, avg(vector_score) FILTER (WHERE is_match) AS vector_matched, avg(vector_score) FILTER (WHERE NOT is_match) AS vector_other,
+avg(entity_score) FILTER (WHERE is_match) AS entity_matched, avg(entity_score) FILTER (WHERE NOT is_match) AS entity_other, avg(expected::INT) FILTER (WHERE is_match) AS shared_matched, avg(expected::INT) FILTER (WHERE NOT is_match) AS shared_other FROM m""")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.batch_stats(_pair_results(spark, sf_dir))
 

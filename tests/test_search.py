@@ -137,6 +137,11 @@ def test_pairs_and_their_files(spark, tmp_path):
     assert sum(p.source_id % 9 == p.target_id % 9 for p in pairs) >= 45
     assert EV.pair_set(articles, 10).count() == 45 and EV.random_pairs(articles.limit(1), 5).count() == 0
     assert EV.random_pairs(articles.limit(3), 50).count() == 3
+    first = spark.createDataFrame([(k,) for k in (5, 8, 13)], "id long")
+    drawn = [sorted(tuple(r) for r in EV.random_pairs(first, n, seed).collect()) for seed in range(12) for n in (1, 3)]
+    assert all(len(set(d)) == len(d) == (1 if k % 2 == 0 else 3) and {x for p in d for x in p} <= {5, 8, 13} and all(a < b for a, b in d) for k, d in enumerate(drawn)) and len({tuple(d) for d in drawn[::2]}) == 3
+    every = EV.random_pairs(articles, 60 * 59 // 2 - 1, 3).collect()
+    assert len({tuple(r) for r in every}) == 60 * 59 // 2 - 1
     EV.write_pairs(spark.createDataFrame(pairs), str(tmp_path / "pairs"))
     assert {(r.source_id, r.target_id) for r in EV.pair_list(spark.read.text(str(tmp_path / "pairs"))).collect()} == {(p.source_id, p.target_id) for p in pairs}
     results = spark.createDataFrame([(1, 2, True, 0.812, 0.9, 0.5, 2, "Match, success", None)], "source_id long, target_id long, is_match boolean, score double, vector_score double, entity_score double, overlap int, reason string, expected boolean")
@@ -218,11 +223,11 @@ def test_written_documents_and_seeds(spark, tmp_path):
     got = {r.category: [json.loads(x.value) for x in spark.read.text(f"{tmp_path}/docs/category={r.category}").collect()] for r in articles.select("category").distinct().collect()}
     one = next(d for d in got["a"] if d["id"] == 1)
     assert [s["id"] for s in one["similar_articles"]] == [3, 2] and one["similar_articles"][0]["title"] == "T3" and len(got["a"]) == 2 and got["b"][0]["similar_articles"] == []
-    (tmp_path / "seeds.csv").write_text("type,canonical,alias,source,confidence\norganization,International Machines,IM,SEED,0.9\nperson,Ann Lee,A. Lee,SEED,0.8\n")
+    (tmp_path / "seeds.csv").write_text("type,canonical,alias,source,confidence\norganization,International Machines,IM,SEED,0.9\nperson,Ann Lee,A. Lee,SEED,0.8\nperson,McDonald's,Mickey,SEED,0.8\n")
     none = spark.createDataFrame([], "name_lo string, name_hi string, type string")
     seeds = AL.seed_aliases(spark, str(tmp_path / "seeds.csv"))
     table = AL.approve_pending(AL.upsert_aliases(seeds.limit(0), seeds, none), "admin")
-    assert {(r.canonical, r.alias, r.status, r.approved_by) for r in table.collect()} == {("international machines", "im", "APPROVED", "admin"), ("ann lee", "a. lee", "APPROVED", "admin")}
+    assert {(r.canonical, r.alias, r.status, r.approved_by) for r in table.collect()} == {(N.normal_form("International Machines", "ORGANIZATION"), "im", "APPROVED", "admin"), ("ann lee", "a lee", "APPROVED", "admin"), ("mcdonald", "mickey", "APPROVED", "admin")}
 
 
 def test_batches_join_existing_clusters(spark, tmp_path):
