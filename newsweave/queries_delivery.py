@@ -14,6 +14,7 @@ from newsweave.operators import routing as RO
 from newsweave.queries import _ALIAS_SQL, _PAGES_SQL, _alias_tables, _keyed_pages, _upserted
 from newsweave.registry import query
 from newsweave.sources import bindings as B
+from newsweave.sources import pages as PG
 from newsweave.streaming import pipelines as ST
 
 # --- queues -------------------------------------------------------------------------------------------
@@ -51,10 +52,10 @@ def verdict_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RO.work_order(fresh("toxic = 1"), fresh("toxic <> 1")).select("kind", "article_url", "seen_at", "priority")
 
 
-@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN '' ELSE source || '.example' END || coalesce(substr(text, 1, 20), '')) AS title_domain_hash FROM documents""")
+@query(r"""SELECT page_id, sha256(lower(regexp_extract(url, '://([^/?#:]+)', 1)) || trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ ]+', ' ', 'g'))) AS title_domain_hash FROM pages""")
 def title_domain_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("https://"), "source", F.lit(".example/a")))
-    return B.table(spark, sf_dir, "documents").select("doc_id", T.title_domain_hash(url, F.substring("text", 1, 20)).alias("title_domain_hash"))  # the beginning stands for a title
+    """Domain and title of every page, as they are kept of a page that cannot be read."""
+    return PG.page_articles(B.table(spark, sf_dir, "pages")).select("page_id", "title_domain_hash")
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%B ') || day(o_orderdate) || strftime(o_orderdate, ', %Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') END AS found FROM orders""")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsweave.functions import text as T
+from newsweave.operators.dedup import next_in_queue
+from newsweave.plans.durable import durable
 from newsweave.plans.tables import Tables
 from newsweave.sources import feeds as FE
 
@@ -80,26 +82,95 @@ def assign_batches(read_leaders: Callable[[], DataFrame], write: Callable[[DataF
     return body
 
 
+def feed_entries(payloads: DataFrame) -> DataFrame:
+    """``normalized_url, url, title, published, feed_url`` of landed payloads, each URL once."""
+    decoded = FE.decoded_payloads(payloads)
+    json_like = F.coalesce(F.ltrim("text").startswith("{") | F.ltrim("text").startswith("["), F.lit(False))
+    entries = FE.json_entries(decoded.where(json_like)).unionByName(FE.xml_entries(decoded.where(~json_like)))
+    keyed = entries.withColumn("normalized_url", T.url_key(F.col("url"))).where("normalized_url IS NOT NULL")
+    return keyed.groupBy("normalized_url").agg(F.min(F.struct("url", "title", "published", "feed_url")).alias("e")).select("normalized_url", "e.*")
+
+
 def ingest_feeds(spark: SparkSession, landed: str, queue: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Landed payload files (Parquet, ``PAYLOADS``) to queue rows, each URL once.
 
     Runs through what has landed and stops, or with ``every`` (``"10 minutes"``) again and again. A batch is written
-    under its number, so that a repeated batch replaces its own rows.
+    under its number, so that a repeated batch replaces its own rows. The queue only grows; ``ingest_queue`` keeps one that is
+    cleaned and taken from.
     """
     payloads = spark.readStream.schema(PAYLOADS).parquet(landed)
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        decoded = FE.decoded_payloads(batch)
-        json_like = F.coalesce(F.ltrim("text").startswith("{") | F.ltrim("text").startswith("["), F.lit(False))
-        entries = FE.json_entries(decoded.where(json_like)).unionByName(FE.xml_entries(decoded.where(~json_like)))
-        keyed = entries.withColumn("normalized_url", T.url_key(F.col("url"))).where("normalized_url IS NOT NULL")
-        once = keyed.groupBy("normalized_url").agg(F.min(F.struct("url", "title", "published", "feed_url")).alias("e")).select("normalized_url", "e.*")
-        table_append(queue, ["normalized_url"])(once, batch_id)
+        table_append(queue, ["normalized_url"])(feed_entries(batch), batch_id)
+
+    writer = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def queue_tables(spark: SparkSession, root: str, buckets: int = 16) -> Tables:
+    """A queue (``queue``) and the keys of all URLs ever queued (``queued``), both by URL key."""
+    return Tables(spark, root, {"queue": (("normalized_url",), buckets), "queued": (("normalized_url",), buckets)})
+
+
+def ingest_queue(tables: Tables, landed: str, checkpoint: str, articles: Callable[[], DataFrame] | None = None, every: str | None = None, files: int | None = None, job: str = "feeds") -> StreamingQuery:
+    """As ``ingest_feeds``, into a queue table: each batch first takes rows that are articles by now out of the queue, then adds
+    entries that are neither articles nor were ever queued. ``articles`` gives the present article table (``normalized_url``).
+
+    A batch looks into the buckets of its own URLs; files are rewritten as they become many (``plans.tables``).
+    """
+    reader = tables.spark.readStream.schema(PAYLOADS)
+    payloads = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(landed)
+
+    def body(rows: DataFrame, batch_id: int) -> None:
+        with tables.batch(job, batch_id) as batch:
+            if batch.skipped:
+                return
+            fresh = durable(feed_entries(rows), "entries")
+            known = articles().select("normalized_url").where("normalized_url IS NOT NULL").distinct() if articles else None
+            if known is not None:
+                if batch.has("queue"):
+                    batch.remove("queue", durable(batch.read("queue").select("normalized_url").join(known, "normalized_url", "left_semi"), "done"))
+                fresh = fresh.join(known, "normalized_url", "left_anti")
+            if batch.has("queued"):
+                fresh = fresh.join(batch.read("queued", tables.buckets_of("queued", fresh)), "normalized_url", "left_anti")
+            fresh = durable(fresh.withColumn("seen_at", F.lit(batch_id).cast("long")), "fresh")
+            batch.append("queue", fresh)
+            batch.append("queued", fresh.select("normalized_url"))
 
     writer = payloads.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def take_from_queue(tables: Tables, n: int, turn: int, order: str = "oldest", job: str = "taker") -> DataFrame:
+    """The next ``n`` queue rows, taken out of the queue in the same commit; a repeated ``turn`` takes nothing more."""
+    with tables.batch(job, turn) as batch:
+        queue = batch.read("queue")
+        first = durable(next_in_queue(queue, 0 if batch.skipped else n, order), "taken")
+        batch.remove("queue", first)
+    return first
+
+
+def keep_counters(tables: Tables, name: str, count: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], job: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` body that keeps a table of counters right: ``count`` sums up a batch, ``merge`` puts rows of one key together.
+
+    Only the buckets of the batch's keys are rewritten. Nothing depends on the order of rows, so late ones count like others; a
+    batch that is repeated after its commit does not count twice.
+    """
+
+    def body(rows: DataFrame, batch_id: int) -> None:
+        with tables.batch(job, batch_id) as batch:
+            if not batch.skipped:
+                fresh = durable(count(rows), name)
+                batch.replace(name, fresh, lambda old: fresh if old is None else merge(old.unionByName(fresh)))
+
+    return body
+
+
+def merged_addresses(rows: DataFrame) -> DataFrame:
+    """Rows of ``address_counters`` put together by device and address."""
+    return rows.groupBy("device_id", "ip_address").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"))
+
+
 def table_append(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body that appends rows whose ``key`` is new to the table at ``path``, one folder a batch."""
 
