@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from newsweave.operators import delivery as DL
 from newsweave.operators import evaluation as EV
 from newsweave.operators import routing as RO
 from newsweave.queries import _ALIAS_SQL, _PAGES_SQL, _alias_tables, _keyed_pages, _upserted
+from newsweave.plans.durable import shared_dir
 from newsweave.registry import query
 from newsweave.sources import bindings as B
 from newsweave.sources import pages as PG
+from newsweave.streaming import items as IT
 from newsweave.streaming import pipelines as ST
 
 # --- queues -------------------------------------------------------------------------------------------
@@ -253,6 +257,27 @@ def processed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RO.processed_items(items, items.where("id % 30 = 0"), _verdicts(spark, sf_dir), found).select("id", "is_relevant", "category", "tiny_summary")
 
 
+@query(f"""WITH {_ANALYSIS_SQL}, it AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS hash, lang, d.source, complete FROM documents d JOIN ar USING (doc_id)),
+one AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id % 2, id) AS n FROM it)
+SELECT id, complete AS is_relevant, CASE WHEN complete THEN lang END AS category, CASE WHEN complete THEN first_value(id) OVER (PARTITION BY source, complete ORDER BY id % 2, id) END AS cluster_id FROM one WHERE n = 1""")
+def item_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two batches through the whole item pipeline: records, entities, aliases, clusters, similar articles, documents."""
+    docs = B.table(spark, sf_dir, "documents")
+    answers = _verdicts(spark, sf_dir).groupBy(F.col("article_id").alias("doc_id")).agg(F.collect_list(F.struct("question", "response")).alias("answers"))
+    entity = lambda name, level: F.struct(name.alias("name"), F.lit("EVENT").alias("type"), F.lit(level).alias("importance"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    items = docs.join(answers, "doc_id").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("normalized_url"), T.text_hash(F.coalesce("text", F.lit(""))).alias("hash"), F.sha2(F.col("doc_id").cast("string"), 256).alias("title_domain_hash"),
+        F.col("lang").alias("topic"), F.lit("matched_topic").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(n_chars % 300)").alias("pub_date"), nothing("string").alias("event_date"),
+        nothing("string").alias("alert"), nothing("string").alias("relation"), "answers", F.array(entity(F.col("source"), "PRIMARY"), entity(F.concat(F.col("lang"), F.lit(" speech")), "SECONDARY")).alias("entities"), nothing("array<float>").alias("embedding"),
+    )
+    tables = IT.item_tables(spark, f"{shared_dir(spark)}/items-{uuid.uuid4().hex}", 2)
+    for turn in range(2):
+        with tables.batch("items", turn) as batch:
+            IT.process_batch(batch, items.where(F.col("id") % 2 == turn), "2024-11-01 00:00:00")
+    return tables.read("records").select("id", "is_relevant", "category", "cluster_id")
+
+
 # --- pair lists and counters --------------------------------------------------------------------------
 
 @query("""SELECT o_orderkey AS source_id, o_custkey AS target_id, CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS expected FROM orders WHERE o_orderkey % 7 < 6""")

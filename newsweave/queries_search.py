@@ -15,7 +15,7 @@ from newsweave.operators import incremental as IN
 from newsweave.operators import matching as MA
 from newsweave.operators import similarity as SI
 from newsweave.operators import vectors as VE
-from newsweave.plans.durable import shared_dir
+from newsweave.plans.durable import durable, shared_dir
 from newsweave.queries import _cluster_sets, _mappings, _supplier_names, _vectors
 from newsweave.queries import _COS_SQL, _MAPS_SQL, _SETS_SQL
 from newsweave.registry import query
@@ -76,6 +76,22 @@ def combined_similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _combined(spark, sf_dir).withColumn("reason", F.regexp_replace("reason", r" \(.*\)$", ""))  # printed digits of ties differ between engines
 
 
+def fuzzy_search(spark: SparkSession, sf_dir: str, matches: DataFrame | None = None) -> DataFrame:
+    """The combined search with part names as entities' names, which differ by spelling; ``matches`` replaces the fuzzy matches."""
+    vectors, articles, links, names = _embedded(spark, sf_dir)
+    parts = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("spelled"))
+    names = names.join(parts, "entity_id").select("entity_id", F.col("spelled").alias("name"), "type")
+    found = MA.name_matches(names.select("name", "type"), names.select("name", "type")) if matches is None else matches
+    sources = vectors.where("id % 100 = 0").select(F.col("id").alias("article_id"))  # the search's query set
+    return SI.combined_search(vectors, articles, links, names, durable(found, "name-matches"), sources, AS_OF, k=10, vector_threshold=0.3, threshold=0.3, days=1000, window=(400, 100))
+
+
+@query()
+def fuzzy_similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar articles where entities whose names match fuzzily count as shared, each for one other at most."""
+    return fuzzy_search(spark, sf_dir)
+
+
 @query(_SEARCH_SQL + """ SELECT source_id, target_id, round(score, 6) AS score, CASE WHEN target_id % 2 = 0 THEN 'https://store.example/' || target_id ELSE 'Unknown URL' END AS json_url, CASE WHEN target_id % 2 = 0 THEN 'Title ' || target_id ELSE 'Unknown Title' END AS title,
 CASE WHEN target_id % 2 = 0 THEN target_id % 4 ELSE 0 END::INT AS quality_score, coalesce(primary_overlap, 0) AS primary_overlap, '60% vector similarity () + 40% entity similarity ()' AS similarity_formula FROM rk WHERE rank <= 10 AND score >= 0.3""")
 def similar_article_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +340,7 @@ def checked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TIMED_SQL} SELECT cluster_id, group_id FROM grp")
 def merge_groups_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All clusters in three batches, each compared with the index of those before; the same groups as at once."""
-    tables = IN.merge_tables(spark, f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}", 8)
+    tables = IN.merge_tables(spark, f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}", 2)
     sets, dates = _cluster_sets(spark, sf_dir), _dates(spark, sf_dir)
     for k in range(3):
         with tables.batch("merges", k) as batch:
@@ -399,7 +415,7 @@ def backfilled_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def clusters_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles in three batches, each assigned against the index of the leaders before it."""
-    tables = IN.cluster_tables(spark, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}", 8)
+    tables = IN.cluster_tables(spark, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}", 2)
     sets = B.primary_sets(spark, sf_dir)
     for k in range(3):
         with tables.batch("clusters", k) as batch:

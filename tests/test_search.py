@@ -255,3 +255,17 @@ def test_projections_find_near_vectors(spark):
     found = {(r.source_id, r.target_id): r.score for r in VE.lsh_top_k(df.where("id % 10 = 0"), df, 10, 0.8).collect()}
     assert len(exact) > 200 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
     assert all(found[p] == pytest.approx(exact[p]) for p in exact.keys() & found.keys())
+
+
+def test_fuzzy_search_equals_all_name_pairs(spark, sf_dir):
+    from newsweave import queries_search as QS
+
+    _, _, _, names = QS._embedded(spark, sf_dir)
+    parts = {r.p_partkey: r.p_name for r in B.table(spark, sf_dir, "part").collect()}
+    known = sorted({(parts[r.entity_id], r.type) for r in names.collect() if r.entity_id in parts})
+    both = {"PRODUCT", "ORGANIZATION"}
+    pairs = [(a, s, b, t) for a, s in known for b, t in known if (s == t or {s, t} <= both) and N.names_match(a, b, s)]
+    brute = spark.createDataFrame(pairs, "name_a string, type_a string, name_b string, type_b string")
+    columns = ["source_id", "target_id", "overlap", "primary_overlap", "score", "status", "rank"]
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*columns).collect())
+    assert rows(QS.fuzzy_similar_articles(spark, sf_dir)) == rows(QS.fuzzy_search(spark, sf_dir, brute)) != []
