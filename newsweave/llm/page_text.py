@@ -10,7 +10,8 @@ in (its ``article`` or ``main`` element, else the element that holds the block);
 is not furniture is kept, so short headings and paragraphs stay, and so are headings of a cluster outside of
 its region. Beside selected articles another region stands if it has as much content as the largest of them.
 Attributes and forms are only evidence of furniture: on a page without an unmarked article they do not count
-for an element that holds more than half of the page's text.
+for an element that holds more than half of the page's text. A name that merely begins or ends with a furniture word
+(``kwil-comments``) counts inside an article only for less than half of the article's text.
 
 Edge cases. Null, empty and text-free pages give an empty text. Unclosed and stray tags are tolerated;
 a construct on which the parser gives up is text. Repeated rows and null ids are kept, extra
@@ -36,30 +37,41 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form script style noscript template iframe svg button select textarea object canvas dialog menu head title label".split())
 MARKED = frozenset(
-    "alert disclaimer paywall ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "alert disclaimer paywall ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted adsbygoogle doubleclick outbrain taboola recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-# Words that may stand beside them in one name ("sidebar-left", "site-footer"); with any other word ("has-sidebar",
-# "ad-free", "comment-status-open") a name tells nothing.
+# Words that may stand beside them in one name ("sidebar-left", "reader-comments"): such a name marks furniture for sure.
 BESIDE = frozenset(
-    "area bar block bottom box button buttons col column container default first fixed global group horizontal inner item items large last left link links list main mobile module outer page panel primary right row secondary section side site small sticky top unit vertical wrap wrapper".split()
+    "area bar block bottom box button buttons col column container default feed first fixed global group horizontal inner item items large last left link links list main mobile module outer page panel post posts primary reader readers right row secondary section side site slot small sticky thread threads top unit user users vertical view widgets wrap wrapper".split()
 )
+# Words with which a name is about furniture that is not there, or about its state ("has-sidebar", "ad-free", "comment-status-open").
+ABOUT = frozenset("can closed count disabled enabled free has is no non not number off on open show status total with without".split())
 PAGE_TOP = frozenset("header masthead topbar".split())  # furniture outside of an article
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 SOFT = frozenset(["form"])  # may be wrapped around a whole page
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = BLOCKS - HEADINGS - frozenset("address caption dd dt figcaption li p pre summary".split())
 SIGMA = 1.0
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_SPACE = re.compile(r"\s+")
+SURE, MAYBE = 2, 1
+
 
+def _named(value: str, words: frozenset[str]) -> int:
+    """What the names in an attribute tell of ``words``: ``SURE``, ``MAYBE`` or 0. Names are cut at hyphens, digits and capitals.
 
-def _named(value: str, words: frozenset[str]) -> bool:
-    """Whether a name in a class or id attribute consists of ``words`` and words that may stand beside them."""
+    A name of ``words`` and of words that may stand beside them is sure. One that only begins or ends with such a word may name
+    furniture, unless it says that there is none.
+    """
+    found = 0
     for name in value.split():
-        parts = set(_WORD.findall(name))
-        if parts & words and parts <= words | MARKED | BESIDE:
-            return True
-    return False
-_SPACE = re.compile(r"\s+")
+        parts = [x.lower() for x in _WORD.findall(name)]
+        if not words.intersection(parts):
+            continue
+        if set(parts) <= words | MARKED | BESIDE:
+            return SURE
+        if (parts[0] in words or parts[-1] in words) and not ABOUT.intersection(parts):
+            found = MAYBE
+    return found
 
 
 class Place(NamedTuple):
@@ -83,6 +95,7 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.serial = 0
         self.place = Place()
+        self.doubtful: dict[int, int] = {}  # marks inside an article that count only for less than half of its text: the article
 
     def parse_html_declaration(self, i: int) -> int:
         try:
@@ -113,19 +126,21 @@ class _Lines(HTMLParser):
                 return True
         return False
 
-    def _is_marked(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]], region: int) -> int:
         if tag in SOFT:
-            return True
+            return SURE
         if tag in ("html", "body", "main"):
-            return False
+            return 0
+        found = 0
         for name, value in attrs:
-            value = (value or "").lower()
+            value = value or ""
             if name in ("class", "id"):
-                if _named(value, MARKED) or (not region and _named(value, PAGE_TOP)):
-                    return True
-            if name == "role" and value.strip() in ROLES:
-                return True
-        return False
+                found = max(found, _named(value, MARKED), 0 if region else _named(value, PAGE_TOP) // SURE * SURE)
+            if name == "aria-label":
+                found = max(found, _named("-".join(value.split()), MARKED) // SURE * SURE)
+            if name == "role" and value.strip().lower() in ROLES:
+                found = SURE
+        return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -145,8 +160,12 @@ class _Lines(HTMLParser):
         hard, marks, region, holder, heading = self._top()
         hard = hard or self._is_hard(tag, attrs, region)
         self.serial += 1
-        if self._is_marked(tag, attrs, region):
-            marks += (-self.serial if region else self.serial,)  # negative: inside an article, where a mark always counts
+        mark = self._marked(tag, attrs, region) if not hard else 0
+        if mark == MAYBE and region:
+            self.doubtful[self.serial] = region
+            marks += (self.serial,)
+        elif mark:
+            marks += (-self.serial if region else self.serial,)  # negative: inside an article, where a sure mark always counts
         if tag in ("article", "main") and not hard:
             region = self.serial
         if tag in HOLDERS:
@@ -200,12 +219,21 @@ def main_text(html: str | None) -> str:
     parser.close_line()
     lines = parser.lines
     held: dict[int, int] = {}  # characters in elements marked as furniture
+    within: dict[int, int] = {}  # and in articles
     for text, _, place in lines:
         for mark in place.marks if not place.hard else ():
             held[mark] = held.get(mark, 0) + len(text)
+        if not place.hard:
+            within[place.region] = within.get(place.region, 0) + len(text)
     total = sum(len(text) for text, _, place in lines if not place.hard)
     sure = any(place.region and not place.hard and not place.marks for _, _, place in lines)
-    furniture = np.array([place.hard or any(sure or m < 0 or 2 * held[m] <= total for m in place.marks) for _, _, place in lines], bool)
+
+    def counts(mark: int) -> bool:
+        if mark in parser.doubtful:
+            return 2 * held[mark] < within.get(parser.doubtful[mark], 0)
+        return sure or mark < 0 or 2 * held[mark] <= total
+
+    furniture = np.array([place.hard or any(map(counts, place.marks)) for _, _, place in lines], bool)
     if furniture.all():
         return ""
     ratios = np.array([0.0 if bad else len(text) / (tags + 1) for (text, tags, _), bad in zip(lines, furniture, strict=True)])
@@ -217,7 +245,7 @@ def main_text(html: str | None) -> str:
     for k in np.flatnonzero(chosen):
         place = _region(lines[k][2])
         content[place] = content.get(place, 0) + len(lines[k][0])
-    article = max((n for (within, _), n in content.items() if within), default=0)
+    article = max((n for (inside, _), n in content.items() if inside), default=0)
     kept = {place for place, n in content.items() if place[0] or n >= article}
     loose = not article  # an article has its headings inside
     return "\n".join(text for k, (text, _, place) in enumerate(lines) if not furniture[k] and (_region(place) in kept or loose and cluster[k] and place.heading))

@@ -504,6 +504,12 @@ def own_pages():
         ("<article>" + "".join(f"<p>{t}</p>" for t in long) + "</article>", "\n".join(long)),
         (f"<div><div class=menu>{links}</div><section>{paras}</section></div>", whole),
         ("<p>  one \n\t two  </p><!-- no --><p></p>", "one two"),
+        *[(f"<article>{paras}<div class='{name}'><p>{SAID}</p></div></article>", whole) for name in ("reader-comments", "user-comments", "post-comments", "comment-thread", "commentList", "CommentsSection", "ad-slot", "adsbygoogle", "kwil-comments", "comments_v2", "related-posts", "taboola-feed", "storyAds")],
+        *[(f"<article>{paras}<div class='{name}'><p>{SAID * 30}</p></div></article>", whole) for name in ("reader-comments", "commentList", "comment-thread")],
+        *[(f"<article>{paras}<{tag}><p>{SAID}</p></section></article>", whole) for tag in ("section aria-label='Comments'", "section aria-label='Reader comments'", "section id=user-comments")],
+        (f"<article>{paras}</article><div id='user-comments'><p>{SAID * 9}</p></div><div id='kwil-comments'><p>{SAID * 9}</p></div>", whole),
+        *[(f"<article><div class='{name}'>{paras}</div></article>", whole) for name in ("has-sidebar", "ad-free", "comment-status-open", "article-with-comments", "notice-of-meeting", "weather-alert")],
+        (f"<article aria-label='A comment on adverts'>{paras}<p class='ad-free'>Short.</p><p class='comment-status-open'>Shut.</p></article>", whole + "\nShort.\nShut."),
     ]
 
 
@@ -526,8 +532,15 @@ def brute_text(html):
     held = Counter(m for t, _, p in lines if not p.hard for m in p.marks for _ in t)
     total = sum(len(t) for t, _, p in lines if not p.hard)
     sure = any(p.region and not p.hard and not p.marks for _, _, p in lines)
+    of_region = Counter(p.region for t, _, p in lines if not p.hard for _ in t)
+
+    def counts(m):
+        if m in parser.doubtful:
+            return 2 * held[m] < of_region[parser.doubtful[m]]
+        return sure or m < 0 or 2 * held[m] <= total
+
     for _, _, p in lines:
-        bad.append(p.hard or any(sure or m < 0 or 2 * held[m] <= total for m in p.marks))
+        bad.append(p.hard or any(counts(m) for m in p.marks))
     if all(bad):
         return ""
     ratio = [0.0 if b else len(t) / (n + 1) for (t, n, _), b in zip(lines, bad)]
