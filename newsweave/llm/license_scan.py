@@ -6,7 +6,9 @@ or ``:``) and at a blank line. A known licence sentence is found where its words
 when it is wrapped over lines, with or without comment leaders, but not across a blank line; of two that
 begin at one place the longer counts. A document's identifiers, in text order, are then matched against
 rules: a rule holds when its identifiers occur in its order, other sentences may lie between. A licence that
-is part of another one's text (``PART_OF``) is not named beside it.
+is part of another one's text (``PART_OF``) is not named beside it, nor where the other's further sentence begins in unknown
+words. Sentences have slots where licences name a holder, so any holder's name counts; an identifier line with
+``OR``, ``AND`` or ``WITH`` names each of its licences.
 
 Scale. Everything happens inside a row, so there is no shuffle and no join. Texts without any of the anchor
 words (few words, one of which every known sentence has) are not searched at all, which loses nothing.
@@ -41,14 +43,26 @@ KNOWN = {_plain(text): name for name, text in SENTENCES.items()}
 ANCHORS = _cover(list(KNOWN))
 # Capitals cannot occur in the lower-cased text: S is a possible sentence end, H a blank line or an end of the text.
 PATTERN = "(?<=[SH])(" + "|".join(text.replace(" ", "[ S]") for text in sorted(KNOWN, key=len, reverse=True)) + ")(?=[SH])"
+_OPERATOR = (r"(spdx-license-identifier:[^\n]*?)[\x20\x09()]+(?:or|and)[\x20\x09(]+([a-z0-9])", "$1\nspdx-license-identifier: $2")
+TERMS = 4  # operators in one identifier line
+_WORDS = r"(?:[a-z0-9]+[ S]){1,15}?"
+_BY = "neither the name of the copyright holder nor the names of its contributors"
 STEPS = (
+    # an identifier line with operators names each of its licences, exceptions aside
+    (r"(spdx-license-identifier:[^\n]*?)[\x20\x09]+with[\x20\x09]+[a-z0-9.-]+", "$1"),
+    *[_OPERATOR] * TERMS,
     (r"\n(?:[^a-z0-9\n]*\n)+", "H"),
     (r"([.!?:])[\x20\x09-\x0D]+", "$1S"),
     (r"\n", "S"),
     (r"[^a-z0-9SH]+", " "),
     (r" ?S[ S]*", "S"),
     (r" ?S?H[ SH]*", "H"),
+    # slots: whoever's name must not be used
+    (rf"neither[ S]the[ S]names?[ S]of[ S]{_WORDS}nor[ S]the[ S]names?[ S]of[ S](?:its[ S]|their[ S]|the[ S])?contributors", _BY),
+    (rf"the[ S]names?[ S]of[ S]{_WORDS}may[ S]not[ S]be[ S]used[ S]to[ S]endorse", _BY + " may be used to endorse"),
 )
+# A licence that is part of another is not named either where the other's further sentence is begun in words that are not known.
+BEGUN = "[SH]neither the name"
 
 
 def _marked(text: Column) -> Column:
@@ -59,15 +73,25 @@ def _marked(text: Column) -> Column:
     return marked
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of ``text``, in order."""
+def _found(text: Column) -> Column:
+    """The identifiers of the known sentences of ``text`` in order (``ids``), and whether a longer licence is begun (``begun``)."""
     known = F.create_map(*[F.lit(x) for item in KNOWN.items() for x in item])
     low = lower_ascii(text)
     anchored = F.lit(False)
     for word in ANCHORS:
         anchored = anchored | F.contains(low, F.lit(word))
-    found = F.transform(F.regexp_extract_all(_marked(text), F.lit(PATTERN), F.lit(1)), lambda s: F.element_at(known, F.translate(s, "S", " ")))
-    return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
+
+    def read(marked: Column) -> Column:
+        ids = F.transform(F.regexp_extract_all(marked, F.lit(PATTERN), F.lit(1)), lambda s: F.element_at(known, F.translate(s, "S", " ")))
+        return F.struct(ids.alias("ids"), marked.rlike(BEGUN).alias("begun"))
+
+    none = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(False).alias("begun"))
+    return F.when(anchored, bind(_marked(text), read)).otherwise(none)
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of the known sentences of ``text``, in order."""
+    return _found(text)["ids"]
 
 
 def _holds(ids: Column, rule: tuple[str, ...]) -> Column:
@@ -77,10 +101,15 @@ def _holds(ids: Column, rule: tuple[str, ...]) -> Column:
 
 def licences(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licences`` (both joined by commas) for each row of ``docs``."""
-    rows = docs.select("doc_id", bind(sentence_ids(F.coalesce("text", F.lit(""))), lambda x: x).alias("ids"))
+    rows = docs.select("doc_id", bind(_found(F.coalesce("text", F.lit(""))), lambda x: x).alias("f")).select("doc_id", "f.ids", "f.begun")
     names = F.array(*[F.when(_holds(F.col("ids"), ids), F.lit(name)) for name, ids in RULES])
     whole = F.create_map(*[F.lit(x) for item in PART_OF.items() for x in item])
-    alone = bind(F.array_sort(F.array_distinct(F.array_compact(names))), lambda found: F.filter(found, lambda n: ~F.coalesce(F.array_contains(found, F.try_element_at(whole, n)), F.lit(False))))
+
+    def stands(found: Column, name: Column) -> Column:
+        larger = F.try_element_at(whole, name)
+        return ~F.coalesce(F.array_contains(found, larger) | F.col("begun"), F.lit(False)) | larger.isNull()
+
+    alone = bind(F.array_sort(F.array_distinct(F.array_compact(names))), lambda found: F.filter(found, lambda n: stands(found, n)))
     held = F.when(F.size("ids") == 0, F.lit("")).otherwise(F.array_join(alone, ","))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), held.alias("licences"))
 
@@ -100,7 +129,8 @@ ORACLE_SQL = f"""
 WITH known(plain, name) AS (VALUES {_values(list(KNOWN.items()))}),
 rules(licence, steps) AS (VALUES {_values([(lic, "%" + "%".join(f",{n}," for n in ids) + "%") for lic, ids in RULES])}),
 part_of(part, whole) AS (VALUES {_values(list(PART_OF.items()))}),
-m AS (SELECT doc_id, string_split({_marked_sql()}, 'H') AS blocks FROM documents WHERE regexp_matches(lower(text), '{"|".join(ANCHORS)}')),
+t AS MATERIALIZED (SELECT doc_id, {_marked_sql()} AS marked FROM documents WHERE regexp_matches(lower(text), '{"|".join(ANCHORS)}')),
+m AS (SELECT doc_id, string_split(marked, 'H') AS blocks FROM t), begun AS (SELECT doc_id FROM t WHERE regexp_matches(marked, '{BEGUN}')),
 b AS (SELECT doc_id, unnest(range(len(blocks))) AS block, unnest(blocks) AS words FROM m),
 p AS (SELECT doc_id, block, string_split(words, 'S') AS parts FROM b WHERE words <> ''),
 i AS (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p),
@@ -109,7 +139,8 @@ found AS (SELECT doc_id, block, i, j, name FROM j JOIN known ON plain = array_to
 hit AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.block = f.block AND g.i <= f.i AND g.j >= f.j AND g.j - g.i > f.j - f.i)),
 ids AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY block, i) AS ids, string_agg(',' || name || ',', '' ORDER BY block, i) AS run FROM hit GROUP BY doc_id),
 held AS (SELECT DISTINCT doc_id, licence FROM ids JOIN rules ON run LIKE steps),
-alone AS (SELECT * FROM held h WHERE NOT EXISTS (SELECT 1 FROM part_of JOIN held w ON w.licence = whole WHERE part = h.licence AND w.doc_id = h.doc_id)),
+alone AS (SELECT * FROM held h WHERE NOT EXISTS (SELECT 1 FROM part_of JOIN held w ON w.licence = whole WHERE part = h.licence AND w.doc_id = h.doc_id)
+  AND NOT (licence IN (SELECT part FROM part_of) AND doc_id IN (SELECT doc_id FROM begun))),
 lic AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM alone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
 FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN lic ON d.doc_id = lic.doc_id

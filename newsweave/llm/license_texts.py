@@ -52,6 +52,14 @@ SENTENCES = {
     "ccbyncnd-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "unlicense-free": "This is free and unencumbered software released into the public domain.",
     "unlicense-any": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "epl2-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "lgpl20-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gfdl13-free": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+    "wtfpl-copy": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
 }
 # Rules, each a licence and a sequence of sentence identifiers.
 RULES = (
@@ -92,11 +100,18 @@ RULES = (
     ("CC-BY-NC-ND-4.0", ("ccbyncnd-line",)),
     ("CC-BY-NC-ND-4.0", ("ccbyncnd-work",)),
     ("Unlicense", ("unlicense-free", "unlicense-any")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-line",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl2-line",)),
+    ("LGPL-2.0-or-later", ("lgpl20-free", "lgpl2-hope")),
+    ("GFDL-1.3-or-later", ("gfdl13-free",)),
+    ("WTFPL", ("wtfpl-copy",)),
 )
 # A licence whose sentences all stand in another one's text too.
 PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 
 # A licence can also be named by its identifier line.
-LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
+LICENCES = (*dict.fromkeys(name for name, _ in RULES), "Artistic-2.0", "PSF-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
 SENTENCES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in LICENCES}
 RULES += tuple((name, (f"spdx-{name.lower()}",)) for name in LICENCES)

@@ -133,6 +133,26 @@ def test_licences(spark, empty):
     assert license_scan.licences(empty).count() == 0
 
 
+def test_licences_with_slots_expressions_and_begun_sentences(spark):
+    s = license_scan.SENTENCES
+    bsd = "\n".join(["BSD", s["bsd-redist"], "1. " + s["bsd-source"], "2. " + s["bsd-binary"]])
+    holder = "3. Neither the name of the University\n * of Kwil, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        (bsd, "BSD-2-Clause"), (bsd + "\n" + holder, "BSD-3-Clause"), (bsd + "\n3. " + s["bsd-name"], "BSD-3-Clause"),
+        (bsd + "\n3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        (bsd + "\n3. Neither the names nor anything else may be used.", ""),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("SPDX-License-Identifier: (GPL-2.0-or-later AND (MIT OR ISC))\ncode", "GPL-2.0-or-later,ISC,MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\nx", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-only or nothing", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: MIT and\nApache-2.0", ""), (s["zlib-as-is"] + "\n" + s["zlib-grant"], "Zlib"), (s["boost-line"], "BSL-1.0"), (s["gfdl13-free"], "GFDL-1.3-or-later"), (None, ""), ("", ""), ("word " * 40_000 + "\n" + s["mit-line"], "MIT"),
+    ]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, (t, _) in enumerate(rows)] + [(None, s["mit-line"], 1, 2, 3)] * 2, "doc_id long, text string, ids int, begun int, f int")
+    got = {}
+    for r in license_scan.licences(df).collect():
+        got.setdefault(r.doc_id, []).append(r.licences)
+    assert got.pop(None) == ["MIT", "MIT"]
+    assert {k: v for k, (v,) in got.items()} == {k: want for k, (_, want) in enumerate(rows)}
+
+
 def test_rans_round_trip():
     rng = np.random.default_rng(1)
     blocks = [rng.zipf(1.3, n).astype(np.int64) % 50257 for n in (0, 1, 63, 64, 65, 20000, 70001)]
