@@ -14,10 +14,10 @@ def article_text(articles: DataFrame) -> DataFrame:
 
 
 def article_details(articles: DataFrame) -> DataFrame:
-    """``id, category, quality, title, tiny_summary, event_date``; quality 0 where it is missing."""
+    """``id, category, quality, title, tiny_summary, event_date, r2_url``; quality 0 where it is missing."""
     get = lambda k: F.get_json_object("analysis", f"$.{k}")
     quality = F.coalesce(get("quality").try_cast("int"), F.lit(0))
-    return articles.select("id", "category", quality.alias("quality"), get("tiny_title").alias("title"), "tiny_summary", T.lenient_date(get("pub_date")).alias("event_date"))
+    return articles.select("id", "category", quality.alias("quality"), get("tiny_title").alias("title"), "tiny_summary", T.lenient_date(get("pub_date")).alias("event_date"), (F.col("r2_url") if "r2_url" in articles.columns else F.lit(None).cast("string")).alias("r2_url"))
 
 
 def backfill_input(articles: DataFrame) -> DataFrame:

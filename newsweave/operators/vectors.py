@@ -66,8 +66,10 @@ def repair_rows(articles: DataFrame, vectors: DataFrame, size: int) -> DataFrame
     return found.join(article_text(articles), "id").join(details, "id").select("id", "status", "text", "pub_date", "event_date", "category", "quality")
 
 
-def listed_pairs(vectors: DataFrame) -> DataFrame:
-    """``a, b, score`` for all pairs (``a < b``) of a short list of vectors: a check of a handful of ids, not a search."""
+def listed_pairs(vectors: DataFrame, most: int = 1000) -> DataFrame:
+    """``a, b, score`` for all pairs (``a < b``) of a short list of vectors: a check of a handful of ids, not a search; more than ``most`` are refused."""
+    if vectors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vectors: use cosine_top_k")
     side = lambda s: vectors.select(F.col("id").alias(s), F.col("embedding").alias(f"e_{s}"))
     return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("e_a"), F.col("e_b")).alias("score"))
 

@@ -204,17 +204,17 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PG.page_articles(B.table(spark, sf_dir, "pages")).drop("title_domain_hash")
 
 
-_RECORD_SQL = "r AS (SELECT doc_id AS id, lang AS category, source AS tiny_summary, CASE WHEN lang = 'de' THEN NULL ELSE {'article_body': CASE WHEN lang = 'en' THEN text END, 'summary': source, 'tiny_title': source, 'pub_date': '2024-03-05', 'quality': n_chars % 4} END AS a FROM documents)"
+_RECORD_SQL = "r AS (SELECT doc_id AS id, lang AS category, source AS tiny_summary, CASE WHEN n_chars % 3 > 0 THEN 'https://store.example/' || doc_id END AS r2_url, CASE WHEN lang = 'de' THEN NULL ELSE {'article_body': CASE WHEN lang = 'en' THEN text END, 'summary': source, 'tiny_title': source, 'pub_date': '2024-03-05', 'quality': n_chars % 4} END AS a FROM documents)"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as article records; German ones were not analysed."""
     body = F.when(F.col("lang") == "en", F.col("text"))
     parts = F.struct(body.alias("article_body"), F.col("source").alias("summary"), F.col("source").alias("tiny_title"), F.lit("2024-03-05").alias("pub_date"), (F.col("n_chars") % 4).alias("quality"))
-    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("tiny_summary"), F.when(F.col("lang") != "de", F.to_json(parts)).alias("analysis"))
+    return B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("source").alias("tiny_summary"), F.when(F.col("lang") != "de", F.to_json(parts)).alias("analysis"), F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("https://store.example/"), "doc_id")).alias("r2_url"))
 
 
-@query(f"WITH {_RECORD_SQL} SELECT id, category, coalesce(a.quality, 0)::INT AS quality, a.tiny_title AS title, tiny_summary, a.pub_date AS event_date, length(coalesce(a.article_body, tiny_summary))::INT AS chars FROM r WHERE category IN ('en', 'de')")
+@query(f"WITH {_RECORD_SQL} SELECT id, category, coalesce(a.quality, 0)::INT AS quality, a.tiny_title AS title, tiny_summary, a.pub_date AS event_date, r2_url, length(coalesce(a.article_body, tiny_summary))::INT AS chars FROM r WHERE category IN ('en', 'de')")
 def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir).where("category IN ('en', 'de')")
     details = AR.article_details(records).withColumn("event_date", F.col("event_date").cast("string"))

@@ -350,13 +350,13 @@ def merge_groups_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(many, "group_id", "left_semi").select("cluster_id", "group_id")
 
 
-@query(f"""WITH {_SETS_SQL}, a AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 10 = 7), b AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 10 = 2), na AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT cluster_id, count(*) AS n FROM b GROUP BY 1),
+@query(f"""WITH {_SETS_SQL}, a AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 2 = 1), b AS (SELECT cluster_id, entity FROM cs WHERE cluster_id % 2 = 0), na AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT cluster_id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT a.cluster_id AS id, b.cluster_id AS other, count(*) AS k FROM a JOIN b USING (entity) GROUP BY 1, 2), s AS (SELECT id, other, k / (na.n + nb.n - k) AS sim FROM p JOIN na ON na.cluster_id = id JOIN nb ON nb.cluster_id = other)
 SELECT id, arg_min(other, (-sim, other)) AS cluster_id, max(sim) AS similarity FROM s WHERE sim >= 0.5 GROUP BY 1""")
 def best_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of one tenth of the articles against another tenth as the clusters that exist."""
+    """Sets of half of the articles against all clusters, which are those of the other half."""
     sets = _cluster_sets(spark, sf_dir).withColumnRenamed("cluster_id", "id")
-    return CL.best_cluster(sets.where("id % 10 = 7"), sets.where("id % 10 = 2"), 0.5)
+    return CL.best_cluster(sets.where("id % 2 = 1"), sets.where("id % 2 = 0"), 0.5)
 
 
 @query(f"""WITH {B.STORIES_SQL}, {B.ARTICLES_SQL}, l AS (SELECT cluster_id, max(pub_date) AS latest FROM story JOIN article ON id = article_id GROUP BY 1) SELECT x.cluster_id AS a, y.cluster_id AS b FROM l x JOIN l y ON y.cluster_id = x.cluster_id + 1 WHERE abs(x.latest::DATE - y.latest::DATE) <= 30""")
