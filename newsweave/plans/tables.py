@@ -7,6 +7,8 @@ snapshot depends on the number of tables and buckets, not on rows or batches: a
 folders is rewritten as one by the next append. Folders that neither the present nor the last snapshot names are
 deleted after a commit, so a reader may lag one batch behind.
 
+One job writes at a time: a batch that finds another's commit since it began fails and has to be repeated.
+
 Updates join the old rows of changed buckets only; where a batch's keys are few enough to be broadcast (rows and
 bytes are checked) the old rows are not exchanged at all.
 """
@@ -164,6 +166,8 @@ class Batch:
 
     def _commit(self) -> None:
         tables, state = self.tables, self.state
+        if tables.snapshot()["version"] != self.before["version"]:
+            raise RuntimeError("another job has committed since this batch began; repeat it")
         state["version"] += 1
         state["batches"][self.job] = self.batch_id
         place = f"{tables.root}/snapshots"

@@ -55,6 +55,18 @@ def test_tables_change_together(spark, tmp_path):
     assert rows(tables.read("b")) == []
 
 
+def test_a_commit_in_between_is_not_lost(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "t"), LAYOUTS)
+    with pytest.raises(RuntimeError, match="since this batch began"), tables.batch("slow", 0) as slow:
+        slow.append("b", pairs(spark, [(1, "slow")]))
+        with tables.batch("quick", 0) as quick:
+            quick.append("b", pairs(spark, [(2, "quick")]))
+    assert rows(tables.read("b")) == [(2, "quick")] and not tables.committed("slow", 0)
+    with tables.batch("slow", 0) as slow:
+        slow.append("b", pairs(spark, [(1, "slow")]))
+    assert rows(tables.read("b")) == [(1, "slow"), (2, "quick")]
+
+
 def test_many_batches_stay_few_files(spark, tmp_path):
     tables = Tables(spark, str(tmp_path / "t"), {"b": (("k",), 2)})
     counts = []
