@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_BYTES = 64 << 20
 
+#: Folders of the durable tables of the innermost open ``scratch``; None outside of any.
+_written: contextvars.ContextVar[dict[str, bool] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
@@ -39,11 +45,41 @@ def durable(df: DataFrame, name: str, replaces: DataFrame | None = None) -> Data
     df.write.option("compression", "zstd").parquet(path)
     if replaces is not None and getattr(replaces, "durable_path", None):
         delete_folder(spark, replaces.durable_path)
+    folders = _written.get()
+    if folders is not None:
+        folders[path] = False
     written = spark.read.schema(df.schema).parquet(path)
     written.durable_path = path
     return written
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose durable tables are deleted at its end, also when it raises.
+
+    The block gets a function that marks a durable table as kept and returns it: whatever a result is still read
+    from. Kept tables belong to the block around, if there is one, which may keep or delete them in its turn.
+    """
+    around, folders = _written.get(), {}
+
+    def keep(table: DataFrame) -> DataFrame:
+        folders[table.durable_path] = True
+        return table
+
+    token = _written.set(folders)
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        _written.reset(token)
+        for path, kept in folders.items():
+            if not (kept and done):
+                delete_folder(spark, path)
+            elif around is not None:
+                around.setdefault(path, False)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove an intermediate folder from whatever store it is in."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
