@@ -7,8 +7,9 @@ in the same order for every document. Bands of registers give candidate keys; tw
 register give a Jaccard estimate that is corrected for accidental collisions; what the estimate does
 not exclude is verified on the full shingle sets of the whole texts.
 
-Scale. Documents with equal sets collapse into one class first, on the map side; only classes of several
-documents or with links are looked up again by their rows. Within a key every class is compared with the
+Scale. Documents with equal sets (equal in size and two 64-bit sums over their elements) collapse into one class
+first, on the map side; a class is numbered when its table is written, so no two classes share a number. Only classes
+of several documents or with links are looked up again by their rows. Within a key every class is compared with the
 class of the key's smallest ``doc_id`` only (the document that would stay; a star, linear in the group); after
 the links found so far are closed into components, only pairs of one key that lie in different components are
 looked at, and the join itself drops those that cannot be linked. No cap on groups, no pairs within a component.
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.textscan import give_back, mix, shingle_sets, text_slices
-from newsweave.plans.durable import broadcast_if_small, durable
+from newsweave.llm.words import unused_names
+from newsweave.plans.durable import broadcast_if_small, durable, scratch
 from newsweave.plans.graph import connected_components
 
 REGISTERS = 256
@@ -43,6 +45,7 @@ FILL_ROUNDS = 96
 PLANES = 8  # longs of packed register bits: two planes of 256 bits
 ODD = 16  # longs of the odd sketch: 1,024 bits
 MAX_BROADCAST_IDS = 2_000_000
+SAME_SET = ["n_shingles", "set_a", "set_b"]  # rows that agree in these have one set
 MISS_PROBABILITY = 1e-7  # of a pair at the threshold, over all bands
 SLACK = 5.5  # standard deviations: a pair at the threshold falls below with a probability of 2e-8
 
@@ -205,14 +208,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
     Documents are linked when ``100 * intersection >= percent * union`` of their shingle sets;
     ``component_id`` is the smallest ``doc_id`` that links reach and ``kept`` marks that document. ``group`` is one
-    number for all rows of a component, null for empty sets.
+    number for all rows of a component of several rows, null for rows that are alone.
     """
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(durable(sketches(docs, percent / 100, width), "sketches"))
+        changed = keep(durable(_components(docs, rows, percent, width), "changed"))
+        found = rows.join(broadcast_if_small(changed, MAX_BROADCAST_IDS), SAME_SET, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", "group")
+
+
+def _components(docs: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """``n_shingles, set_a, set_b, component, group`` of each set of ``rows`` that has links or several rows."""
     threshold = percent / 100
-    rows = durable(sketches(docs, threshold, width), "sketches")
-    sets = rows.where("n_shingles > 0").withColumn("id", F.xxhash64("n_shingles", "set_a", "set_b"))
     owner = F.struct("doc_id", "text_key")
-    classes = sets.where("doc_id IS NOT NULL").groupBy("id").agg(F.min(owner).alias("rep"), F.min_by(F.struct("n_shingles", "bands", "planes", "odd"), owner).alias("s"), F.count("*").alias("n_rows"))
-    classes = durable(classes.select("id", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "s.*", "n_rows"), "classes")
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SAME_SET)
+    classes = classes.agg(F.min(owner).alias("rep"), F.min_by(F.struct("bands", "planes", "odd"), owner).alias("s"), F.count("*").alias("n_rows"))
+    numbered = classes.select(F.monotonically_increasing_id().alias("id"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), *SAME_SET, "s.*", "n_rows")
+    classes = durable(numbered, "classes")
 
     keys = classes.select(F.explode("bands").alias("key"), "id", "doc_id")
     firsts = keys.groupBy("key").agg(F.min(F.struct("doc_id", "id"))["id"].alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
@@ -242,14 +255,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     more = _verified(pairs, needed(pairs), percent, width)
     labels = connected_components(links.unionByName(more), "a", "b")
 
-    linked = labels.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
+    linked = labels.join(classes.select(F.col("id").alias("node"), "doc_id", *SAME_SET), "node")
     best = linked.groupBy("label").agg(F.min("doc_id").alias("component"))
-    linked = linked.join(best, "label").select(F.col("node").alias("id"), "component", F.col("label").alias("group"))
-    copies = classes.where("n_rows > 1").join(linked, "id", "left_anti").select("id", F.col("doc_id").alias("component"), F.col("id").alias("group"))
-    changed = broadcast_if_small(durable(linked.unionByName(copies), "changed"), MAX_BROADCAST_IDS)
-    found = rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "set_a", "set_b")).alias("id")).join(changed, "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", F.coalesce("group", "id").alias("group"))
+    linked = linked.join(best, "label").select(F.col("node").alias("id"), *SAME_SET, "component", F.col("label").alias("group"))
+    copies = classes.where("n_rows > 1").join(linked, "id", "left_anti").select("id", *SAME_SET, F.col("doc_id").alias("component"), F.col("id").alias("group"))
+    return linked.unionByName(copies).drop("id")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -257,17 +267,18 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
 
     Decided by row: where several rows of a component share the smallest id, the one of smallest text hash stays.
     """
-    found = durable(near_duplicates(docs, percent, width).where("doc_id IS NOT NULL"), "near")
-    first = found.where("kept AND group IS NOT NULL").groupBy("group", "doc_id").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.where("kept").join(broadcast_if_small(durable(first, "first"), MAX_BROADCAST_IDS), ["group", "doc_id"]).where("text_key <> first")
-    dropped = found.where("NOT kept").unionByName(later.select(*found.columns)).select("doc_id", "text_key").distinct()
-    again = found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
-    on = lambda df, name: broadcast_if_small(durable(df.toDF("__id", "__key"), name), MAX_BROADCAST_IDS)
-    left = keyed.join(on(dropped, "dropped"), ["__id", "__key"], "left_anti")
-    again = on(again, "again")
-    once = left.join(again, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
-    return left.join(again, ["__id", "__key"], "left_anti").unionByName(once).select(*docs.columns)
+    by_id, by_text = unused_names(docs, "id", "text")
+    with scratch(docs.sparkSession) as keep:
+        found = durable(near_duplicates(docs, percent, width).where("doc_id IS NOT NULL"), "near")
+        first = found.where("kept AND group IS NOT NULL").groupBy("group", "doc_id").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = found.where("kept").join(broadcast_if_small(durable(first, "first"), MAX_BROADCAST_IDS), ["group", "doc_id"]).where("text_key <> first")
+        dropped = found.where("NOT kept").unionByName(later.select(*found.columns)).select("doc_id", "text_key").distinct()
+        again = found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+        dropped, again = (broadcast_if_small(keep(durable(df.toDF(by_id, by_text), name)), MAX_BROADCAST_IDS) for df, name in ((dropped, "dropped"), (again, "again")))
+    keyed = docs.withColumns({by_id: F.col("doc_id").cast("long"), by_text: text_key()})
+    left = keyed.join(dropped, [by_id, by_text], "left_anti")
+    once = left.join(again, [by_id, by_text], "left_semi").dropDuplicates([by_id, by_text])
+    return left.join(again, [by_id, by_text], "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
@@ -25,3 +25,15 @@ def split_words(text: Column, gap: str = SPACE_RUN) -> Column:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambda functions."""
     return F.transform(F.array(value), body)[0]
+
+
+def unused_names(df: DataFrame, *stems: str) -> list[str]:
+    """One column name for each stem that ``df`` does not have (Spark compares names without regard to case)."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"own_{stem.lower()}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names.append(name)
+    return names

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweave.llm import decontaminate, license_scan, minhash, packing, page_text, quality, queries, rans, secret_scan, token_files, toxicity
+from newsweave.plans.durable import shared_dir
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,6 +94,28 @@ def test_near_duplicates(spark, edges, empty, percent):
     assert minhash.near_duplicates(empty, percent).count() == 0
 
 
+@pytest.mark.parametrize("constant", ["set_a", "set_b"])
+def test_sets_with_one_equal_fingerprint_stay_apart(spark, edges, constant):
+    want = sorted(map(str, minhash.near_duplicates(edges).drop("group").collect()))
+    sketches = minhash.sketches
+    with mock.patch.object(minhash, "sketches", lambda *a: sketches(*a).withColumn(constant, F.lit(0).cast("long"))):
+        assert sorted(map(str, minhash.near_duplicates(edges).drop("group").collect())) == want
+
+
+def test_near_duplicates_leave_only_what_results_read(spark, edges):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = minhash.near_duplicates(edges)
+    assert sorted(d.rsplit("-", 1)[0] for d in set(os.listdir(folder)) - before) == ["changed", "sketches"]
+    assert found.count() == edges.count()
+    before = set(os.listdir(folder))
+    kept = minhash.one_of_each(edges.withColumns({"own_id": F.lit(1), "Own_Text": F.lit("t"), "a.b": F.lit(2)}))
+    assert sorted(d.rsplit("-", 1)[0] for d in set(os.listdir(folder)) - before) == ["again", "dropped"]
+    rows = kept.collect()
+    assert kept.columns[-3:] == ["own_id", "Own_Text", "a.b"] and {r[-3:] for r in map(tuple, rows)} == {(1, "t", 2)}
+    assert sorted(map(str, (r[:2] for r in rows))) == sorted(map(str, (r[:2] for r in minhash.one_of_each(edges).collect())))
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
