@@ -1,8 +1,14 @@
 """Host-level quality rules, in DataFrame functions only.
 
 Every document is measured on its whole text. Rule failures are counted per host (``source``), each
-host's failure rate is shrunk towards all hosts by a beta prior fitted to the hosts' own rates (method
-of moments), and hosts whose shrunk rate exceeds ``MAX_HOST_RATE`` for any rule lose their documents.
+host's failure rate is shrunk by a beta prior, and hosts whose shrunk rate exceeds ``MAX_HOST_RATE`` for any
+rule lose their documents.
+
+The prior is fitted by moments of the beta-binomial distribution. Its mean is the failure rate of all documents
+(so hosts count by their documents). What hosts differ by is corrected for what chance makes hosts of their
+sizes differ by; the rest, as a share of the largest possible spread, is the correlation ``r`` of two
+documents of one host, and ``a + b = (1 - r) / r``. With ``r = 0`` hosts do not differ and every rate is the mean.
+The prior weighs at least ``MIN_PRIOR_DOCS`` documents, because a few large hosts that differ much can put ``r`` near 1.
 
 Scale. One pass over the texts writes a narrow table of counts; hosts come from a partial aggregation,
 so a host that holds a third of all rows is summed up on the map side. The verdicts are joined back by
@@ -10,8 +16,8 @@ broadcast only after a count has bounded them, otherwise by a shuffled join of n
 execution may split.
 
 Edge cases. A null text has no words and fails. Null hosts form one group of their own. An empty table
-gives no row. Repeated rows are judged and returned each. A prior needs two hosts with rates that
-differ less than independent documents would allow; otherwise the pooled rate alone (weight 1) is used.
+gives no row. Repeated rows are judged and returned each. One host alone, or hosts of one document each, say
+nothing about how hosts differ, and neither does a rule that all documents fail or none: ``r`` is 0 then.
 """
 
 from __future__ import annotations
@@ -20,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.llm.words import SPACES, bind, split_words
-from newsweave.plans.durable import broadcast_if_small, durable
+from newsweave.plans.durable import broadcast_if_small, durable, scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.5
 MAX_HOST_RATE = 0.5
+MIN_PRIOR_DOCS = 1
 MAX_BROADCAST_HOSTS = 100_000
 SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repetitive", "symbols")
@@ -82,22 +89,33 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     }
     hosts = measured.groupBy("source").agg(F.count("*").alias("n_docs"), *[F.count_if(c).alias(f"fails_{r}") for r, c in fails.items()])
     hosts = durable(hosts, "hosts")
-    priors = []
+    n = F.col("n_docs").cast("double")
+    sums = [F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("squares")]
+    for r in RULES:
+        f = F.col(f"fails_{r}").cast("double")
+        sums += [F.sum(f).alias(f"sum_{r}"), F.sum(f * f / n).alias(f"between_{r}")]
+    total = hosts.agg(*sums)  # one row
+    prior = []
     for r in RULES:
-        rate = F.col(f"fails_{r}") / F.col("n_docs")
-        mean, spread = F.avg(rate), F.var_pop(rate)
-        weight = mean * (1 - mean) / spread - 1
-        weight = F.when((spread > 0) & (weight > 0), weight).otherwise(F.lit(1.0))
-        priors += [mean.alias(f"mean_{r}"), weight.alias(f"weight_{r}")]
-    prior = hosts.agg(*priors)  # one row
-    shrunk = [((F.col(f"fails_{r}") + F.col(f"mean_{r}") * F.col(f"weight_{r}")) / (F.col("n_docs") + F.col(f"weight_{r}"))).alias(f"rate_{r}") for r in RULES]
-    rated = hosts.join(F.broadcast(prior)).select("source", "n_docs", *shrunk)
+        mean = F.col(f"sum_{r}") / F.col("docs")
+        largest = mean * (1 - mean)
+        spread = F.col(f"between_{r}") - F.col(f"sum_{r}") * mean  # of host rates around the mean, by documents
+        chance = F.col("hosts") - 1
+        room = F.col("docs") - F.col("squares") / F.col("docs") - chance
+        share = F.when((largest > 0) & (room > 0), (spread / largest - chance) / room).otherwise(F.lit(0.0))
+        prior += [mean.alias(f"mean_{r}"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1 / (1 + MIN_PRIOR_DOCS))).alias(f"share_{r}")]
+    rates = []
+    for r in RULES:  # (fails + a) / (n + a + b), numerator and denominator times r
+        share, own = F.col(f"share_{r}"), F.col(f"fails_{r}")
+        rates.append(((own * share + F.col(f"mean_{r}") * (1 - share)) / (n * share + 1 - share)).alias(f"rate_{r}"))
+    rated = hosts.join(F.broadcast(total.select(*prior))).select("source", "n_docs", *rates)
     return rated.withColumn("host_kept", F.greatest(*[f"rate_{r}" for r in RULES]) <= MAX_HOST_RATE)
 
 
 def _verdicts(measured: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed``, ``host_kept`` and ``kept``."""
-    verdicts = durable(host_verdicts(measured).select(F.col("source").alias("host"), "host_kept"), "verdicts")
+    with scratch(measured.sparkSession) as keep:
+        verdicts = keep(durable(host_verdicts(measured).select(F.col("source").alias("host"), "host_kept"), "verdicts"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     joined = measured.join(broadcast_if_small(verdicts, MAX_BROADCAST_HOSTS), F.col("source").eqNullSafe(F.col("host")), "left")
     return joined.withColumns({"base_failed": base, "kept": ~base & F.col("host_kept")})
@@ -117,9 +135,9 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
-      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 tri AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
@@ -129,11 +147,13 @@ m AS (SELECT w.doc_id, source, len(words)::BIGINT AS n_words, length(regexp_repl
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
 h AS (SELECT source, count(*) AS n, count_if(n_words < 50) AS f1, count_if(100 * n_repeat_words > 50 * n_words) AS f2, count_if(n_symbols > 0.5 * n_words) AS f3 FROM m GROUP BY source),
-p AS (SELECT avg(f1 / n) AS m1, var_pop(f1 / n) AS v1, avg(f2 / n) AS m2, var_pop(f2 / n) AS v2, avg(f3 / n) AS m3, var_pop(f3 / n) AS v3 FROM h),
-q AS (SELECT *, CASE WHEN v1 > 0 AND m1 * (1 - m1) / v1 - 1 > 0 THEN m1 * (1 - m1) / v1 - 1 ELSE 1.0 END AS w1,
-      CASE WHEN v2 > 0 AND m2 * (1 - m2) / v2 - 1 > 0 THEN m2 * (1 - m2) / v2 - 1 ELSE 1.0 END AS w2,
-      CASE WHEN v3 > 0 AND m3 * (1 - m3) / v3 - 1 > 0 THEN m3 * (1 - m3) / v3 - 1 ELSE 1.0 END AS w3 FROM p),
-v AS (SELECT source, greatest((f1 + m1 * w1) / (n + w1), (f2 + m2 * w2) / (n + w2), (f3 + m3 * w3) / (n + w3)) <= 0.5 AS host_kept FROM h, q)
+t AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(n * n)::DOUBLE AS squares FROM h),
+p AS (SELECT k, sum(f)::DOUBLE / sum(n)::DOUBLE AS m, sum(f::DOUBLE * f / n) - sum(f)::DOUBLE * sum(f)::DOUBLE / sum(n)::DOUBLE AS spread
+      FROM (SELECT n, unnest([1, 2, 3]) AS k, unnest([f1, f2, f3]) AS f FROM h) GROUP BY k),
+q AS (SELECT k, m, CASE WHEN m * (1 - m) > 0 AND docs - squares / docs - (hosts - 1) > 0
+      THEN least(greatest((spread / (m * (1 - m)) - (hosts - 1)) / (docs - squares / docs - (hosts - 1)), 0.0), 0.5) ELSE 0.0 END AS r FROM p, t),
+v AS (SELECT source, max((f * r + m * (1 - r)) / (n * r + 1 - r)) <= 0.5 AS host_kept
+      FROM (SELECT source, n, unnest([1, 2, 3]) AS k, unnest([f1, f2, f3]) AS f FROM h) JOIN q USING (k) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND host_kept AS kept, m.source, host_kept

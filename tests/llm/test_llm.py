@@ -148,6 +148,42 @@ def test_quality(spark, edges, empty, sf_dir):
     assert kept[100] and not kept[128] and not kept[0]
 
 
+def shrunk(hosts):
+    """Rates after shrinkage of ``(fails, documents)`` per host, by a beta prior with the moments of the hosts."""
+    n, f = np.array([h[1] for h in hosts], float), np.array([h[0] for h in hosts], float)
+    mean = f.sum() / n.sum()
+    chance = mean * (1 - mean) * sum((1 - k / n.sum()) for k in n)  # spread of hosts that differ by chance only
+    most = mean * (1 - mean) * sum(k * (1 - k / n.sum()) for k in n)  # spread of hosts whose documents are all alike
+    spread = sum(k * (x / k - mean) ** 2 for x, k in zip(f, n, strict=True))
+    r = min(1 / (1 + quality.MIN_PRIOR_DOCS), max(0.0, (spread - chance) / (most - chance))) if most > chance else 0.0
+    return [mean if r == 0 else (x + mean * (1 - r) / r) / (k + (1 - r) / r) for x, k in zip(f, n, strict=True)]
+
+
+HOSTS = {
+    "many of one document": [(k % 10 == 0, 1) for k in range(200)],
+    "one large": [(70, 100)],
+    "small beside large": [(90, 1000), (1, 1), (0, 1), (1, 2), (300, 400), (0, 50)],
+    "equal rates": [(10, 100), (20, 200), (5, 50)],
+    "all or nothing": [(40, 40), (0, 30), (0, 7)],
+}
+
+
+@pytest.mark.parametrize("case", HOSTS)
+def test_prior_of_hosts(spark, case):
+    hosts = HOSTS[case]
+    rows = [(None if h == 1 else f"h{h}", 10 if k < fails else 90) for h, (fails, n) in enumerate(hosts) for k in range(n)]
+    measured = spark.createDataFrame(rows, "source string, n_words long").selectExpr("*", "0L AS n_repeat_words", "0L AS n_symbols")
+    got = {r.source: r for r in quality.host_verdicts(measured).collect()}
+    for h, want in enumerate(shrunk(hosts)):
+        r = got[None if h == 1 else f"h{h}"]
+        assert r.n_docs == hosts[h][1] and r.rate_short == pytest.approx(want, abs=1e-9) and r.rate_symbols == 0
+        assert r.host_kept == (want <= 0.5)
+    if case == "many of one document":
+        assert all(r.host_kept for r in got.values())  # one failure of one document condemns no host
+    if case == "small beside large":
+        assert not got["h4"].host_kept and got[None].rate_short < 1  # not by its one document alone
+
+
 def test_licences(spark, empty):
     s = license_scan.SENTENCES
     rows = [(1, "Text.\nReleased under the MIT License.\nMore"), (2, s["mit-grant"] + "\n\nother words\n" + s["mit-notice"]), (3, s["mit-notice"] + " " + s["mit-grant"]), (4, None), (5, "licensed UNDER the apache license, version 2.0."), (6, "")]
