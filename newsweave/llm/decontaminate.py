@@ -6,7 +6,8 @@ corpus. Document words are joined with those prefix tokens; the token's position
 where the window could stand (positional bound), which must lie inside the document (length bound), and
 the item-sized stretch of words there is compared with the window.
 
-Scale. Only occurrences of prefix tokens leave the scan, with the few words of their window. Benchmark tables
+Scale. Only occurrences of prefix tokens leave the scan, with the few words of their window. Texts are cut into
+blocks of words first, so that a word travels with the words of its block and never with all of its document. Benchmark tables
 are broadcast only after a count of rows and bytes has bounded them; where the prefix tokens are too many,
 narrow word positions are shuffled, and each text once to meet its own candidates. Hits meet per document,
 never per item or window, so a passage that many documents share does not gather in one task.
@@ -21,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.words import bind, lower_ascii, split_words
-from newsweave.plans.durable import broadcast_if_small, durable, is_small
+from newsweave.llm.words import bind, count_words, lower_ascii, split_words, unused_names
+from newsweave.plans.durable import broadcast_if_small, durable, is_small, scratch
 
 WINDOW = 10
+BLOCK = 128
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -56,6 +58,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"text": F.coalesce("text", F.lit("")), "text_key": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def word_blocks(words: Column, size: int = BLOCK, reach: int = WINDOW - 1) -> Column:
+    """``array<struct<first, base, around>>``: ``size`` words from ``first`` on, with ``reach`` words before and after.
+
+    ``around`` begins at word ``base``. No words give null.
+    """
+
+    def block(w: Column, first: Column) -> Column:
+        base = F.greatest(first - reach, F.lit(0))
+        return F.struct(first.alias("first"), base.alias("base"), F.slice(w, base + 1, first - base + size + reach).alias("around"))
+
+    return bind(words, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda first: block(w, first))))
+
+
 def _hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     """``doc_id, text_key, start, width, window_id`` of every window that occurs in a document.
 
@@ -65,26 +80,26 @@ def _hits(keyed: DataFrame, windows: DataFrame) -> DataFrame:
     prefix = durable(prefix_tokens(windows, keyed), "prefix")
     shapes = prefix.groupBy("token").agg(F.collect_set(F.struct("offset", F.size("window").alias("width"))).alias("shapes"))
     shapes = durable(shapes, "shapes")
-    words = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     if is_small(shapes, MAX_BROADCAST_ROWS):
-        spread = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("at", "token"))
-        met = spread.join(F.broadcast(shapes), "token").select("doc_id", "text_key", "words", F.explode("shapes").alias("s"), (F.col("at") - F.col("s.offset")).alias("start"))
+        blocks = keyed.select("doc_id", "text_key", F.inline(word_blocks(words_of(F.col("text")))))
+        spread = blocks.select("*", F.posexplode("around").alias("at", "token")).where(F.col("at").between(F.col("first") - F.col("base"), F.col("first") - F.col("base") + (BLOCK - 1)))
+        met = spread.join(F.broadcast(shapes), "token").select("doc_id", "text_key", "base", F.col("around").alias("words"), F.explode("shapes").alias("s"), (F.col("at") - F.col("s.offset")).alias("start"))
     else:
+        words = keyed.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
         spread = words.select("doc_id", "text_key", F.posexplode("words").alias("at", "token"))
         places = spread.join(shapes, "token").select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.explode("shapes").alias("s"), (F.col("at") - F.col("s.offset")).alias("start"))
         places = places.groupBy("p_id", "p_key").agg(F.collect_set(F.struct("s", "start")).alias("places"))
         mine = words.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")))
-        met = mine.select("doc_id", "text_key", "words", F.explode("places").alias("p")).select("doc_id", "text_key", "words", "p.s", "p.start")
+        met = mine.select("doc_id", "text_key", F.lit(0).alias("base"), "words", F.explode("places").alias("p")).select("doc_id", "text_key", "base", "words", "p.s", "p.start")
     inside = met.where((F.col("start") >= 0) & (F.col("start") + F.col("s.width") <= F.size("words")))
     stretch = F.slice("words", F.col("start") + 1, F.col("s.width"))
-    found = inside.select("doc_id", "text_key", "start", F.col("s.width").alias("width"), stretch.alias("window"))
+    found = inside.select("doc_id", "text_key", (F.col("base") + F.col("start")).alias("start"), F.col("s.width").alias("width"), stretch.alias("window"))
     known = broadcast_if_small(prefix.select("window", "window_id"), MAX_BROADCAST_ROWS)
     return found.join(known, "window").select("doc_id", "text_key", "start", "width", "window_id").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
-    keyed = _keyed(docs.select("doc_id", "text"))
+def _contaminated(keyed: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``f_id, f_key, n_hit, items`` of each text in which a window occurs."""
     windows = durable(item_windows(benchmark), "windows")
     hits = durable(_hits(keyed, windows), "hits")
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.col("spans"), lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1)))))
@@ -93,9 +108,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = hits.select("doc_id", "text_key", "window_id").distinct().join(broadcast_if_small(owners, MAX_BROADCAST_ROWS), "window_id")
     items = items.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = by_doc.join(items, by_doc.doc_id.eqNullSafe(items.doc_id) & (by_doc.text_key == items.text_key), "left")
-    found = durable(found.select(by_doc.doc_id.alias("f_id"), by_doc.text_key.alias("f_key"), "n_hit", "items"), "contaminated")
-    counts = keyed.select("doc_id", "text_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = counts.join(broadcast_if_small(found, MAX_BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
+    return durable(found.select(by_doc.doc_id.alias("f_id"), by_doc.text_key.alias("f_key"), "n_hit", "items"), "contaminated")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(_contaminated(keyed, benchmark))
+        few = broadcast_if_small(found, MAX_BROADCAST_ROWS)
+    counts = keyed.select("doc_id", "text_key", count_words(lower_ascii(F.col("text")), GAP).cast("long").alias("n_words"))
+    joined = counts.join(few, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id",
@@ -109,11 +132,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no window occurs, whatever their id."""
-    hits = _hits(_keyed(docs.select("doc_id", "text")), durable(item_windows(benchmark), "windows"))
-    dirty = durable(hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dirty")
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = keyed["doc_id"].eqNullSafe(dirty["__id"]) & (keyed["__text_key"] == dirty["__key"])
-    return keyed.join(broadcast_if_small(dirty, MAX_BROADCAST_ROWS), met, "left_anti").drop("__text_key")
+    by_id, by_key, own_key = unused_names(docs, "id", "key", "text_key")
+    with scratch(docs.sparkSession) as keep:
+        hits = _hits(_keyed(docs.select("doc_id", "text")), durable(item_windows(benchmark), "windows"))
+        dirty = keep(durable(hits.select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct(), "dirty"))
+        few = broadcast_if_small(dirty, MAX_BROADCAST_ROWS)
+    keyed = docs.withColumn(own_key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(few, F.col("doc_id").eqNullSafe(F.col(by_id)) & (F.col(own_key) == F.col(by_key)), "left_anti").drop(own_key)
 
 
 ORACLE_SQL = r"""

@@ -22,6 +22,16 @@ def split_words(text: Column, gap: str = SPACE_RUN) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
+def count_words(text: Column, gap: str = SPACE_RUN) -> Column:
+    """``size(split_words(text, gap))`` without a copy of the words: only the first and last part can be empty."""
+
+    def inner(parts: Column) -> Column:
+        outside = (parts[0] == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+        return F.greatest(F.size(parts) - outside, F.lit(0))
+
+    return bind(F.split(F.coalesce(text, F.lit("")), gap), inner)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambda functions."""
     return F.transform(F.array(value), body)[0]

@@ -445,6 +445,43 @@ def test_stages_decide_by_row(spark):
     assert sum(r[0] == 5 for r in kept) == 1 and (6, None) in kept and (9, good(10)) in kept and len(kept) == len(rows) - 3
 
 
+def test_decontamination_of_long_texts(spark):
+    """Windows at every place of a block's edge, with and without generated code; a text of 20,000 words; counts of words."""
+    size = decontaminate.BLOCK
+    item = [f"v{i}" for i in range(12)]
+    rows = []
+    for at in [0, 1, size - 12, *range(size - 10, size + 3), 2 * size - 5, 2 * size]:
+        words = [f"A{i % 7}" for i in range(at)] + item + [f"b{i % 5}" for i in range(3 * size - at)]
+        rows.append((at, " ".join(words)))
+    long = [f"C{i % 900}" for i in range(20_000)]
+    for at in (size - 3, 9_999, 20_000 - 12):
+        long[at : at + 12] = item
+    rows += [(-1, " ".join(long)), (-2, " ".join(f"c{i % 900}" for i in range(20_000))), (-3, "  .. "), (-4, "One"), (-5, " One."), (-6, "v0 V1"), (-7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "v0 v1")], "item_id long, text string")
+    want = {at: (len(text.split()) if at >= 0 else 0, 12, 2) for at, text in rows if at is not None and at >= 0}
+    want |= {-1: (20_000, 36, 2), -2: (20_000, 0, 0), -3: (0, 0, 0), -4: (1, 0, 0), -5: (1, 0, 0), -6: (2, 2, 1), -7: (0, 0, 0)}
+    for generated in ("true", "false"):
+        spark.conf.set("spark.sql.codegen.wholeStage", generated)
+        try:
+            got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench).collect()}
+        finally:
+            spark.conf.unset("spark.sql.codegen.wholeStage")
+        assert got == want
+
+
+def test_decontamination_leaves_what_it_reads(spark, tmp_path):
+    """Only the table that the result is read from stays; columns of the corpus may have any name."""
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string").withColumns({"__id": F.lit("x"), "__key": F.lit("y"), "own_text_key": F.lit("z")})
+    bench = spark.createDataFrame([(1, "three")], "item_id long, text string")
+    with mock.patch("newsweave.plans.durable.shared_dir", lambda _: str(tmp_path)):
+        left = decontaminate.clean_rows(docs, bench)
+        assert [tuple(r) for r in left.collect()] == [(1, "one two", "x", "y", "z")] and left.columns == docs.columns
+        assert len(list(tmp_path.iterdir())) == 1
+        assert [r.n_hit for r in decontaminate.contamination(docs, bench).orderBy("doc_id").collect()] == [0, 1]
+        assert len(list(tmp_path.iterdir())) == 2
+
+
 def test_decontamination_without_broadcasts(spark, edges):
     bench = spark.createDataFrame([(1, "w1 w2"), (2, " ".join(f"w{i}" for i in range(40))), (3, "one two")], "item_id long, text string")
     want = sorted(map(tuple, decontaminate.contamination(edges, bench).collect()), key=repr)
