@@ -83,12 +83,15 @@ def cleaned_xml(body: Column) -> Column:
     return F.when(body.startswith("<?xml"), body).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), body))
 
 
-def json_entries(payloads: DataFrame) -> DataFrame:
-    """``feed_url, url, title, published`` of JSON feeds; entries without url and id go, dates that cannot be read stay raw."""
-    items = payloads.select("feed_url", F.explode(F.from_json("text", JSON_FEED)["items"]).alias("i"))
+def json_entries(payloads: DataFrame, numbered: bool = False) -> DataFrame:
+    """``feed_url, url, title, published`` of JSON feeds; entries without url and id go, dates that cannot be read stay raw.
+
+    ``numbered`` adds the ``position`` of an entry in its feed, from 0: entries may share a URL.
+    """
+    items = payloads.select("feed_url", F.posexplode(F.from_json("text", JSON_FEED)["items"]).alias("position", "i"))
     url = F.coalesce("i.url", "i.id")
     when = F.coalesce(F.date_format(T.feed_time(F.col("i.date_published")), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.col("i.date_published"))
-    return items.where(url.isNotNull()).select("feed_url", url.alias("url"), F.col("i.title").alias("title"), when.alias("published"))
+    return items.where(url.isNotNull()).select("feed_url", *["position"] * numbered, url.alias("url"), F.col("i.title").alias("title"), when.alias("published"))
 
 
 def xml_entries(payloads: DataFrame) -> DataFrame:
